@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import byte_bpe, chat, decontaminate, exact_dedup, sharding, simhash
+from plinth.llm import byte_bpe, chat, decontaminate, exact_dedup, sharding, simhash, warc
 from plinth.session import table
 
 
@@ -41,6 +41,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0), payloads=False).where("gap IS NULL")
+    return read.select(
+        warc.page_of(F.col("record_id")).cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_of(F.col("refers_to")).cast("long").alias("refers_to"),
+    )
+
+
 #: A conversation that holds the template's own control strings.
 _HOSTILE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -66,7 +77,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_decontaminate, op5_simhash, op7_chat, op8_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_decontaminate, op5_simhash, op6_warc, op7_chat, op8_exact_dedup, op10_byte_bpe)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 _ESCAPE = r"""regexp_replace(x, '([\[<])(\\*)(/?(?:INST\]|SYS\]|ROLE[:\]]|s>))', '\1\\\2\3', 'g')"""
@@ -85,6 +96,15 @@ m AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(i
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) || '00' AS h FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY b) AS kept FROM p)
+SELECT page_id, octet_length(b) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((CAST('0x' || substr(h, 1 + 2 * (i * 5 // 8), 4) AS INTEGER) >> (11 - i * 5 % 8)) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM k""",
     "op7_chat": rf"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS x FROM conversations
            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
