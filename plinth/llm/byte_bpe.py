@@ -20,10 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import column, map_arrow, utf8
+from plinth.llm.common import column, map_arrow, small, utf8
 
 #: Entries that a worker's memo of pieces or of pairs may hold before it starts anew.
-MEMO = 400_000
+MEMO = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -183,7 +183,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 
     def run(batches):
         encoder, split = _encoder(key, ranks.value), regex.compile(pattern).findall
-        for batch in batches:
+        for batch in small(batches, "__in"):
             texts = column(batch, "__in").to_pylist()
             yield _replaced(batch, ids, _lists([np.array(encoder.encode(t.decode("utf-8", "replace"), split), np.int32) for t in texts], pa.int32()))
 
@@ -199,18 +199,13 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", data: str = "decode
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches):
-        words = sorted(ranks.value, key=ranks.value.get)
-        size = np.array([len(w) for w in words], np.int64)
-        joined = np.frombuffer(b"".join(words), np.uint8)
-        start = np.cumsum(size) - size
-        for batch in batches:
+        words = pa.array(sorted(ranks.value, key=ranks.value.get), pa.binary())
+        for batch in small(batches, "__in", 1 << 20):
             lists = column(batch, "__in")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            ends = np.concatenate([[0], np.cumsum(size[flat])])
-            pick = np.repeat(start[flat] - ends[:-1], size[flat]) + np.arange(ends[-1])
-            offsets = ends[cuts].astype(np.int32)
-            yield _replaced(batch, data, pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(joined[pick])]))
+            joined = words.take(lists.flatten())  # the tokens' bytes lie one after another
+            ends = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + len(joined) + 1] if len(joined) else np.zeros(1, np.int32)
+            cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            yield _replaced(batch, data, pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends[cuts]), joined.buffers()[2] or pa.py_buffer(b"")]))
 
     rows = df.withColumn("__in", F.coalesce(F.col(ids), F.array().cast("array<int>")))
     return map_arrow(rows, run, _with(rows, data, "binary"))

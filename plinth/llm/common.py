@@ -59,18 +59,24 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def binary_views(column: pa.Array) -> Iterator[memoryview]:
-    """The values of a binary column without nulls, as views of its buffer."""
-    offsets = memoryview(column.buffers()[1]).cast("i")[column.offset : column.offset + len(column) + 1] if len(column) else [0]
-    data = memoryview(column.buffers()[2]) if len(column) and column.buffers()[2] else memoryview(b"")
-    for start, end in zip(offsets[:-1], offsets[1:], strict=True):
-        yield data[start:end]
-
-
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def small(batches: Iterable[pa.RecordBatch], name: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into ones of about ``limit`` bytes (or list items) in column ``name``, so that a worker holds little."""
+    import numpy as np
+
+    for batch in batches:
+        values = column(batch, name)
+        size = pa.compute.list_value_length(values) if pa.types.is_list(values.type) else pa.compute.binary_length(values)
+        part = np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[int, pa.Table]]:
     """Cut a task's rows, in order, into blocks of about ``limit`` bytes of text.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.byte_bpe import _replaced, _with
-from plinth.llm.common import column, map_arrow, utf8
+from plinth.llm.common import column, map_arrow, small, utf8
 
 #: Words are runs of 0-9, a-z (after lower-casing A-Z) and anything beyond ASCII.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -62,7 +62,7 @@ def _count(docs: DataFrame, shingles: list[bytes]) -> np.ndarray:
         numbers = {s: k for k, s in enumerate(sent.value)}
         starts, sizes = {s.split(b" ", 1)[0] for s in numbers}, sorted({s.count(b" ") + 1 for s in numbers})
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in small(batches, "__in"):
             for text in column(batch, "__in").to_pylist():
                 seen.update(k for _, k in _probe(words_of(text), starts, sizes, numbers))
         if seen:
@@ -80,7 +80,7 @@ def _mark(found: dict[bytes, list], runs: str, items: str, count: str):
     def mark(batches):
         table = found.value
         starts, sizes = {s.split(b" ", 1)[0] for s in table}, sorted({s.count(b" ") + 1 for s in table})
-        for batch in batches:
+        for batch in small(batches, "__in"):
             n_words, all_runs, all_items = [], [], []
             for text, old_runs, old_items in zip(*(column(batch, c).to_pylist() for c in ("__in", runs, items)), strict=True):
                 words = words_of(text)

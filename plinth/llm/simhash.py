@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import column, map_arrow, stored, utf8
+from plinth.llm.common import column, map_arrow, small, stored, utf8
 from plinth.llm.components import components
 
 BITS = 64
@@ -127,7 +127,7 @@ def trie_links(values: np.ndarray, budget: int, free: int = 0) -> np.ndarray:
 
 def _fingerprints(words: int, seed: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, "text"):
             prints = np.array([fingerprint(t, words, seed) for t in column(batch, "text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "row"), pa.array(prints.view(np.int64))], names=["doc_id", "row", "print"])
 
