@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import byte_bpe, chat, decontaminate, exact_dedup, lm, sharding, simhash, warc
+from plinth.llm import byte_bpe, chat, decontaminate, exact_dedup, lm, sharding, simhash, suffix_dedup, warc
 from plinth.session import table
 
 
@@ -69,6 +69,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     tokens = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
@@ -81,7 +85,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_lm, op4_decontaminate, op5_simhash, op6_warc, op7_chat, op8_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_lm, op4_decontaminate, op5_simhash, op6_warc, op7_chat, op8_exact_dedup, op9_suffix_dedup, op10_byte_bpe)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 _ESCAPE = r"""regexp_replace(x, '([\[<])(\\*)(/?(?:INST\]|SYS\]|ROLE[:\]]|s>))', '\1\\\2\3', 'g')"""
@@ -124,4 +128,18 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op9_suffix_dedup": """
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, doc_id, s, substr(h, 2 * s + 1, 100) AS x FROM (SELECT rid, doc_id, h, unnest(range(len(h) // 2 - 49)) AS s FROM d WHERE len(h) >= 100)),
+f AS (SELECT x, min(doc_id) AS first FROM w GROUP BY x HAVING count(*) > 1),
+hit AS (SELECT rid, s FROM w JOIN f USING (x) WHERE first < doc_id),
+run AS (SELECT rid, s, s - coalesce(lag(s) OVER (PARTITION BY rid ORDER BY s), -1000) > 50 AS new FROM hit),
+grp AS (SELECT rid, s, sum(CAST(new AS INT)) OVER (PARTITION BY rid ORDER BY s) AS g FROM run),
+span AS (SELECT rid, g, min(s) AS a, max(s) + 50 AS b FROM grp GROUP BY ALL),
+gap AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM span),
+cut AS (SELECT rid, count(*) AS n, sum(b - a) AS removed, max(b) AS last,
+               string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM gap JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (rid)""",
 }
