@@ -1,0 +1,61 @@
+"""The training-corpus pipeline: quality, exact copies, near copies, benchmark passages, tokens.
+
+Each stage takes what its predecessor kept and writes what it keeps to shared storage.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plinth.llm import byte_bpe, decontaminate, exact_dedup, quality, simhash
+from plinth.llm.common import stored
+from plinth.session import table
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps: good ones that aren't toxic."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near SimHashes, the one with the smallest doc_id."""
+    return simhash.drop_near_copies(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no ten words of a benchmark item occur."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids (the tokens), n_tokens and whether decoding gave the text's bytes back."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    back = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN), ranks)
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("round_trip"))
+
+
+STAGES = [
+    ("quality", classify),
+    ("exact_dedup", drop_copies),
+    ("simhash", drop_near_copies),
+    ("decontaminate", decontaminated),
+    ("byte_bpe", tokens),
+]
+
+#: The fitted classifier, near copies and tokens are beyond SQL; tests compare the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs

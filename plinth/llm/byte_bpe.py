@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from plinth.llm.common import column, map_arrow, small, utf8
 
 #: Entries that a worker's memo of pieces or of pairs may hold before it starts anew.
-MEMO = 300_000
+MEMO = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import byte_bpe, chat, decontaminate, exact_dedup, lm, sharding, simhash, suffix_dedup, warc
+from plinth.llm import byte_bpe, chat, decontaminate, exact_dedup, lm, quality, sharding, simhash, suffix_dedup, warc
 from plinth.session import table
 
 
@@ -24,6 +24,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -85,7 +89,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_lm, op4_decontaminate, op5_simhash, op6_warc, op7_chat, op8_exact_dedup, op9_suffix_dedup, op10_byte_bpe)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_lm, op4_decontaminate, op5_simhash, op6_warc, op7_chat, op8_exact_dedup, op9_suffix_dedup, op10_byte_bpe, pipeline)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 _ESCAPE = r"""regexp_replace(x, '([\[<])(\\*)(/?(?:INST\]|SYS\]|ROLE[:\]]|s>))', '\1\\\2\3', 'g')"""
