@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.functions import classify, dates, fuzzy, naming
+from plinth.functions import classify, dates, fuzzy, naming, vectors
 from plinth.functions import text as T
 from plinth.operators import alerts, digest, documents, permits, query, resolve, retrieve, roster, trends, upsert
 from plinth.plans import proxies as P
+from plinth.sources import html
 from plinth.session import table
+from plinth.streaming import signals as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -650,3 +652,80 @@ def job_diff(spark, d):
     new = e.where((F.col("ts") >= cut) & (F.col("firm_id") % 10 != 0)).select("firm_id", "place", "title", none.alias("location"))
     known = spark.createDataFrame([], "dedupe_key string")
     return roster.job_diff(old, new, known, F.lit("2024-01-31").cast("timestamp")).state.select("firm_id", "title", F.col("__change").alias("change"), "is_open")
+
+
+# Pages, streams --------------------------------------------------------------------------------
+
+
+@_query()
+def links_extract(spark, d):
+    p = table(spark, d, "pages")
+    return p.select("page_id", F.posexplode(html.links(F.col("html"), F.col("url"))).alias("place", "link"))
+
+
+@_query()
+def press_facts(spark, d):
+    # Half of the pages get a sentence about a development, which the made-up prose lacks.
+    more = F.concat(F.lit("<p>The developer broke ground on a mixed-use project of 240 units on 12.5 acres in Reston, a $120 million development by Comstock Partners.</p>"), F.col("html"))
+    p = table(spark, d, "pages").select("url", F.when(F.col("page_id") % 2 == 0, more).otherwise(F.col("html")).alias("html"))
+    return html.announcements(p)
+
+
+@_query()
+def team_parse(spark, d):
+    one = F.concat(F.lit('<div class="team-member"><h3>Ann Mary'), F.lit(' Lee</h3><p>Vice President, Leasing</p><a href="mailto:a@example.org">mail</a></div>'))
+    p = table(spark, d, "pages").select("url", F.concat(one, "html").alias("html"))
+    return html.team_members(p)
+
+
+@_query("SELECT count(*) AS n_pages, sum(CASE WHEN strpos(html, '<h1>') > 0 THEN 1 ELSE 0 END)::BIGINT AS with_headline FROM pages")
+def page_headlines(spark, d):
+    p = table(spark, d, "pages")
+    return p.agg(F.count("*").alias("n_pages"), F.count_if(F.contains("html", F.lit("<h1>"))).alias("with_headline"))
+
+
+@_query("SELECT dedupe_key, count(*) AS n FROM (SELECT DISTINCT dedupe_key FROM signals) GROUP BY 1", "signals")
+def stream_signal_dedupe(spark, d):
+    s = P.signal_columns(streams.parquet_stream(spark, d, "events.parquet"))
+    return streams.finished(spark, streams.deduplicated(s).select("dedupe_key")).groupBy("dedupe_key").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT time_bucket(INTERVAL 5 DAY, occurred_at, TIMESTAMP '1970-01-01') AS start, firm_id, count(*) AS n, round(sum(score), 6) AS score FROM signals GROUP BY ALL", "signals")
+def stream_tumbling(spark, d):
+    s = P.signal_columns(streams.parquet_stream(spark, d, "events.parquet"))
+    r = streams.finished(spark, streams.tumbling(s, "5 days").select(F.col("window.start").alias("start"), "firm_id", "n", "score"), streams.to_snapshot)
+    return r.withColumn("score", F.round("score", 6))
+
+
+@_query("SELECT start, signal_type, count(*) AS n FROM (SELECT signal_type, unnest([time_bucket(INTERVAL 1 DAY, occurred_at, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 1 DAY, occurred_at, TIMESTAMP '1970-01-01') - INTERVAL 1 DAY]) AS start FROM signals) GROUP BY ALL", "signals")
+def stream_sliding(spark, d):
+    s = P.signal_columns(streams.parquet_stream(spark, d, "events.parquet"))
+    return streams.finished(spark, streams.sliding(s, "2 days", "1 day").select(F.col("window.start").alias("start"), "signal_type", "n"), streams.to_snapshot)
+
+
+@_query(", g AS (SELECT firm_id, occurred_at, occurred_at - lag(occurred_at) OVER (PARTITION BY firm_id ORDER BY occurred_at) >= INTERVAL 6 HOUR AS new FROM signals), k AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY firm_id ORDER BY occurred_at ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT firm_id, min(occurred_at) AS start, count(*) AS n FROM k GROUP BY firm_id, s", "signals")
+def stream_session(spark, d):
+    s = P.signal_columns(streams.parquet_stream(spark, d, "events.parquet"))
+    return streams.finished(spark, streams.sessions(s, "6 hours").select("firm_id", F.col("session_window.start").alias("start"), "n"), streams.to_snapshot)
+
+
+@_query()
+def stream_rate_limit(spark, d):
+    e = streams.parquet_stream(spark, d, "events.parquet")
+    requests = e.select((F.col("user_id") % 10).alias("uid"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    return streams.finished(spark, streams.rate_limited(requests, 3, 1800.0))
+
+
+@_query("SELECT source AS source_id, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE source IN ('src1', 'src2') GROUP BY source")
+def extract_selection(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.col("text").alias("raw_text"))
+    names = docs.select("source_id").distinct()
+    kind = F.when(F.col("source_id") == "src1", "news").when(F.col("source_id") == "src2", "press_release").otherwise("careers")
+    sources = names.select(F.col("source_id").alias("id"), F.lit(None).cast("string").alias("firm_id"), kind.alias("kind"), F.lit(None).cast("string").alias("scrape_task"))
+    return documents.extraction_input(docs, sources, "press_release").groupBy("source_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+@_query()
+def embed_chunks(spark, d):
+    chunks = documents.chunk_text(table(spark, d, "documents"), "doc_id", "text")
+    return chunks.select("doc_id", "chunk_index", vectors.embedder()("text").alias("embedding")).select("doc_id", "chunk_index", F.size("embedding").alias("size"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))

@@ -42,3 +42,22 @@ def workers_find_package(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables in ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name below the folder that driver and executors share, removed when the session ends.
+
+    That is ``spark.checkpoint.dir``; where the session names none (tests), one is made and set.
+    """
+    import posixpath
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="plinth-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = posixpath.join(base if "://" in base or base.startswith("file:") else "file://" + base, f"{name}-{uuid.uuid4().hex}")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
