@@ -2,7 +2,7 @@
 
 A suffix is of type L if it is larger than the one after it, else S; an S suffix after
 an L one starts a star substring. Star substrings are sorted by induction, named, and
-their names sorted by recursion; from the sorted star suffixes, one pass in ascending
+their names sorted by recursion (in memory as soon as they fit); from the sorted star suffixes, one pass in ascending
 order induces all L suffixes and one in descending order all S suffixes.
 
 Both passes run on a priority queue of tuples (key, position, common prefix), which
@@ -35,16 +35,22 @@ class DiskQueue:
         self.cuts, self.spill, self.limit = cuts, spill, held
         self.parts: list[list] = [[] for _ in cuts]
         self.now, self.held = 0, 0
+        steps = np.diff(cuts[1:])
+        #: Where ranges hold one key each, a key's range follows from it.
+        self.shift = int(cuts[1]) - 1 if len(cuts) > 1 and (steps == 1).all() else None
         self.head = self._none()
 
     @staticmethod
     def _none():
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def push(self, key: np.ndarray, at: np.ndarray, shared: np.ndarray) -> None:
         if not len(key):
             return
-        part = (np.searchsorted(self.cuts, key, "right") - 1).astype(np.uint16)
+        if self.shift is None:
+            part = (np.searchsorted(self.cuts, key, "right") - 1).astype(np.uint16)
+        else:
+            part = np.clip(key - self.shift, 0, len(self.parts) - 1).astype(np.uint16)
         if part[0] != part[-1] or (part != part[0]).any():
             order = np.argsort(part, kind="stable")
             key, at, shared, part = key[order], at[order], shared[order], part[order]
@@ -68,7 +74,7 @@ class DiskQueue:
 
     @staticmethod
     def _from_disk(data: bytes, n: int):
-        return np.frombuffer(data, np.int64, n), np.frombuffer(data, np.int32, n, 8 * n), np.frombuffer(data, np.int32, n, 12 * n)
+        return tuple(np.frombuffer(data, np.int32, n, k * n) for k in (0, 4, 8))
 
     def first(self, n: int):
         """The first n tuples, or fewer; None when nothing is left."""
@@ -153,12 +159,12 @@ class _Since:
 def _induce(queue: DiskQueue, text: np.ndarray, wanted: np.ndarray, key_of, since: _Since | None, compare):
     """Pop all tuples, pushing each one's predecessor if it is ``wanted``; yields (key, position, common prefix)."""
     last, bulk = None, 1024
-    none = np.iinfo(np.int64).max
+    none = np.iinfo(np.int32).max
     while (got := queue.first(bulk)) is not None:
         key, at, shared = got
         before = at - 1
         fits = (at > 0) & wanted[before]
-        to = np.full(len(at), none)
+        to = np.full(len(at), none, np.int32)
         to[fits] = key_of(text[before[fits]])
         # A tuple can go with those before it unless one of these induces a smaller one.
         late = key[1:] > np.minimum.accumulate(to)[:-1]
@@ -184,19 +190,19 @@ def _passes(text, is_s, stars, shared, cuts_up, cuts_down, spill, held, base, co
     """All suffixes in descending order and common prefixes with the next larger one, from star suffixes in order."""
     top = int(text.max())
     up = DiskQueue(cuts_up, spill, held)
-    up.push(2 * text[stars].astype(np.int64) + 1, stars, shared)
+    up.push(2 * text[stars] + 1, stars, shared)
     since = _Since(2 * base, 2 * (top - base) + 2) if compare else None
-    found = [(a[~is_s[a]], s[~is_s[a]]) for _, a, s in _induce(up, text, ~is_s, lambda c: 2 * c.astype(np.int64), since, compare)]
+    found = [(a[~is_s[a]], s[~is_s[a]]) for _, a, s in _induce(up, text, ~is_s, lambda c: 2 * c, since, compare)]
     at, near = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int32))
     # In descending order a suffix's neighbour is the one that followed it in ascending order.
     near = np.append(near[1:], UNKNOWN).astype(np.int32)
-    symbol = text[at].astype(np.int64)
+    symbol = text[at]
     if len(at):
         near[np.append(symbol[1:] != symbol[:-1], True)] = UNKNOWN
     down = DiskQueue(cuts_down, spill, held)
     down.push(2 * (top - symbol[::-1]) + 1, at[::-1], near[::-1])
     since = _DownSince(top, base) if compare else None
-    return _induce(down, text, is_s, lambda c: 2 * (top - c.astype(np.int64)), since, compare)
+    return _induce(down, text, is_s, lambda c: 2 * (top - c), since, compare)
 
 
 class _DownSince(_Since):
@@ -253,12 +259,33 @@ def _sorted_stars(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray, cuts, s
     order = np.concatenate([*found, stars[-1:]])[::-1]  # the last suffix is induced by none; it is the smallest
     names = _names(text, stars, order)
     if int(names.max()) + 1 < len(names):
-        order = stars[suffix_array(names, spill, held)]
+        order = stars[doubled(names) if len(names) <= held else suffix_array(names, spill, held)]
     return order
 
 
+def doubled(names: np.ndarray) -> np.ndarray:
+    """Suffixes in ascending order by prefix doubling, in memory: where the recursion ends. The last name is the smallest and occurs once."""
+    rank = np.cumsum(np.bincount(names))[names] - np.bincount(names)[names]
+    open_ = np.flatnonzero(np.bincount(names)[names] > 1)
+    step = 1
+    while len(open_):
+        own, then = rank[open_], rank[open_ + step]
+        order = np.argsort(own << 32 | then)
+        open_, own, then = open_[order], own[order], then[order]
+        at = np.arange(len(open_))
+        group = np.diff(own, prepend=-1) != 0
+        part = group | (np.diff(then, prepend=-1) != 0)
+        start = np.maximum.accumulate(np.where(part, at, 0))
+        rank[open_] = own + start - np.maximum.accumulate(np.where(group, at, 0))
+        open_ = open_[~(part & np.append(part[1:], True))]
+        step *= 2
+    out = np.empty(len(names), np.int32)
+    out[rank] = np.arange(len(names), dtype=np.int32)
+    return out
+
+
 def suffix_array(text: np.ndarray, spill=None, held: int = HELD) -> np.ndarray:
-    """The suffixes of ``text`` in ascending order. Its last symbol must be its smallest and occur once."""
+    """The suffixes of ``text`` (int32, symbols below 2**30) in ascending order. Its last symbol must be its smallest and occur once."""
     return np.concatenate([a for a, _ in _descending(text, 0, spill, held, None)])[::-1]
 
 

@@ -1,7 +1,7 @@
 """Suffix-array dedup: removes byte strings that earlier documents hold already.
 
 1. Copies. A document whose whole text a smaller doc_id has is removed without sorting.
-2. Anchors. In each window of ``length`` bytes the substring of 16 bytes with the
+2. Anchors. In each window of ``length`` bytes the substring of 24 bytes with the
    smallest hash is its anchor, so equal windows have equal anchors. Tasks send each
    distinct anchor of a block of documents once, packed by hash; what comes back is
    whether documents with another id hold it too.
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from plinth.llm.common import blocks, column, grouped, map_arrow, read_rows, shared_dir, stored, utf8
 from plinth.llm.induced import HELD, suffixes_with_prefixes
 
-#: Bytes of an anchor (two words of 8); text in a block; text for each bucket of anchors.
-ANCHOR, BLOCK_BYTES, BUCKET_BYTES = 16, 12 << 20, 48 << 20
+#: Bytes of an anchor (three words of 8: fewer are often shared by chance); text in a block; text for each bucket of anchors.
+ANCHOR, BLOCK_BYTES, BUCKET_BYTES = 24, 12 << 20, 48 << 20
 _CHUNK = 1 << 20
 _LAST = 2**63 - 1
 
@@ -50,13 +50,15 @@ def _words(data: np.ndarray) -> np.ndarray:
 def _hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the ANCHOR bytes from each place on."""
     w = _words(data)
-    if len(w) <= 8:
+    n = len(data) - ANCHOR + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    h = w[:-8] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
-    g = w[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    g ^= g >> np.uint64(29)
-    h += g
+    h = w[:n] * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(8, ANCHOR, 8):
+        h ^= h >> np.uint64(32)
+        h += w[at : at + n]
+        h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(29)
     h *= np.uint64(0x165667B19E3779F9)
     h ^= h >> np.uint64(31)
     return h
@@ -244,7 +246,7 @@ def least_owners(strings: list[bytes], docs: np.ndarray, length: int, spill=None
     raw = np.append(text.astype(np.uint8), np.zeros(8, np.uint8))
     text += m
     text[end] = np.arange(m - 1, -1, -1)  # each string ends in a symbol of its own, the last in the smallest
-    left = np.repeat(end, size + 1) - np.arange(len(text))
+    left = np.repeat(end.astype(np.int32), size + 1) - np.arange(len(text), dtype=np.int32)
     words = _words(raw)
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -262,8 +264,9 @@ def least_owners(strings: list[bytes], docs: np.ndarray, length: int, spill=None
             live = live[out[live] > k]
         return out.astype(np.int32)
 
-    owner = np.repeat(np.asarray(docs, np.int64), size + 1)
-    out = np.empty(len(text), np.int64)
+    names, rank = np.unique(np.asarray(docs, np.int64), return_inverse=True)
+    owner = np.repeat(rank.astype(np.int32), size + 1)
+    out = np.empty(len(text), np.int32)
     held_at, held_own = [], []  # the last group, which may go on in the next bulk
 
     def close(at: np.ndarray, own: np.ndarray, cuts: np.ndarray) -> None:
@@ -284,7 +287,7 @@ def least_owners(strings: list[bytes], docs: np.ndarray, length: int, spill=None
             close(at[cuts[0] : last], own[cuts[0] : last], cuts[:-1] - cuts[0])
         held_at, held_own = [at[last:]], [own[last:]]
     close(np.concatenate(held_at), np.concatenate(held_own), np.zeros(1, np.int64))
-    return out[left >= length]
+    return names[out[left >= length]]
 
 
 def _spill_to(folder: str):
@@ -412,7 +415,7 @@ def _remove(copies: str, told: str, length: int, texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, shard_bytes: int = 64 << 20, held: int = HELD, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, shard_bytes: int = 8 << 20, held: int = HELD, texts: bool = True) -> DataFrame:
     """One row for each row of ``docs``: doc_id, row, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes; null without ``texts``).
 
     Removes each byte that a string of ``length`` bytes covers which also starts in a
@@ -425,8 +428,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     strings, ``held`` the queue entries that a shard holds in memory; more go to shared
     storage.
     """
-    if length < 2 * ANCHOR:
-        raise ValueError(f"length must be at least {2 * ANCHOR}")
+    if length < ANCHOR + 8:
+        raise ValueError(f"length must be at least {ANCHOR + 8}")
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), F.monotonically_increasing_id().alias("row"), utf8(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
