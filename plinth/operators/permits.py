@@ -62,16 +62,16 @@ def ingest_permits(records: DataFrame, old: DataFrame, firms: DataFrame, aliases
     last = last.withColumn("mention_id", F.concat_ws("\x1f", F.col(order).cast("string"), "locality", F.col("permit_number").cast("string"))).withColumn("id", permit_id(F.col("locality"), F.col("permit_number")))
     mentions = last.where(named).select("mention_id", F.col("applicant_name_raw").alias("text"), "address", F.lit(None).cast("string").alias("phone"), "parcel_id")
     told = with_alias_memory(resolve(mentions, firms))
-    hit = told.select("mention_id", "status", F.col("firm_id").alias("firm_id"), F.col("method").alias("resolution_method"), F.when(F.col("status") == "resolved", F.col("confidence")).alias("resolution_confidence"))
+    hit = told.select("mention_id", F.col("status").alias("told"), F.col("firm_id").alias("firm_id"), F.col("method").alias("resolution_method"), F.when(F.col("status") == "resolved", F.col("confidence")).alias("resolution_confidence"))
     rows = last.join(hit, "mention_id", "left")
-    permits = upsert(old.drop("__change"), rows.drop("mention_id", "status", "mention_field", "raw", "source_url"), ["locality", "permit_number"], overwrite=["resolution_method", "resolution_confidence"], keep=["id"])
+    permits = upsert(old.drop("__change"), rows.drop("mention_id", "told", "mention_field", "raw", "source_url"), ["locality", "permit_number"], overwrite=["resolution_method", "resolution_confidence"], keep=["id"])
     merged = permits.join(rows.select("locality", "permit_number"), ["locality", "permit_number"], "left_semi")
     # The signal speaks of the record, the firm is the permit's.
     spoken = rows.drop("firm_id", "id").join(merged.select("locality", "permit_number", "firm_id"), ["locality", "permit_number"])
     fresh = new_only(permit_signals(spoken, now), signals, ["dedupe_key"], ["id"])
     queued = review_queue(told.join(last.select("mention_id", F.col("id").alias("origin_id")), "mention_id"), queue, "permits")
     learned = learned_aliases(told, aliases)
-    n = rows.agg(F.count_if(F.col("status") == "resolved").alias("resolved"), F.count_if(F.col("status") == "ambiguous").alias("ambiguous"), F.count_if(F.col("status").isNull() | F.col("status").isin("unmatched", "rejected")).alias("unattributed"))
+    n = rows.agg(F.count_if(F.col("told") == "resolved").alias("resolved"), F.count_if(F.col("told") == "ambiguous").alias("ambiguous"), F.count_if(F.col("told").isNull() | F.col("told").isin("unmatched", "rejected")).alias("unattributed"))
     changed = permits.agg(F.count_if(F.col("__change") == "insert").alias("created"), F.count_if(F.col("__change") == "update").alias("updated"))
     stats = changed.crossJoin(n).crossJoin(fresh.agg(F.count("*").alias("signals_created")))  # one row each
     return PermitBatch(permits, fresh, learned, queued, stats)

@@ -713,7 +713,7 @@ def stream_session(spark, d):
 def stream_rate_limit(spark, d):
     e = streams.parquet_stream(spark, d, "events.parquet")
     requests = e.select((F.col("user_id") % 10).alias("uid"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
-    return streams.finished(spark, streams.rate_limited(requests, 3, 1800.0))
+    return streams.finished(spark, streams.rate_limited(requests, 2, 21600.0))
 
 
 @_query("SELECT source AS source_id, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE source IN ('src1', 'src2') GROUP BY source")

@@ -260,6 +260,7 @@ def live_records(spark: SparkSession, name: str, locality: str, config: dict, si
     from plinth.session import workers_find_package
 
     workers_find_package(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PermitFeed)
     adapter = get_adapter(name, locality, config)
     adapter.validate()
