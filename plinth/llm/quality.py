@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.byte_bpe import _replaced, _with
-from plinth.llm.common import column, map_arrow, small, utf8
+from plinth.llm.common import column, columns_of, map_arrow, small, utf8
 
 #: Documents that each head is trained on, at most (about: a share of all, by hash).
 SAMPLE = 20_000
 BITS = 18
 _SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _RUN = re.compile(rb"([^\w\s])\1\1")
-_WORD = re.compile(r"[^\W\d_]+")
+_BEYOND = bytes(range(128, 256))
+_NOT_LETTERS = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122))
+_APART = bytes(32 if b in _SYMBOLS else b for b in range(256))
 
 
 class Measures(NamedTuple):
@@ -47,30 +49,37 @@ class Measures(NamedTuple):
     mean_length: float
     commonest: float
     repeated_lines: float  # of lines
-    letters: float  # of characters
+    letters: float  # of characters; those beyond ASCII count as letters
     repeated_pairs: float  # of pairs of neighbouring words
     packed: float  # size after deflation, of bytes
 
 
+#: Repetition is looked for where fewer of the words than this are distinct: above, it can't reach a threshold.
+_VARIED = 0.7
+
+
 def measure(data: bytes) -> Measures:
     words = data.split()
     n = max(1, len(words))
     counts = Counter(words)
     lines = [line for line in data.split(b"\n") if line.strip()]
-    text = data.decode("utf-8", "replace")
+    symbols = (len(data) - len(data.translate(None, _SYMBOLS))) / max(1, len(data))
+    ascii_ = len(data.translate(None, _BEYOND))
+    chars = len(data.decode("utf-8", "replace")) if ascii_ < len(data) else ascii_
+    varied = len(counts) / n >= _VARIED
     return Measures(
         len(words),
         len(counts) / n,
-        (len(data) - len(data.translate(None, _SYMBOLS))) / max(1, len(data)),
-        len(_RUN.findall(data)) / n,
-        sum(c for w, c in counts.items() if w in (b"|", b"/", b"-", b"*")) / n,
-        sum(c for w, c in counts.items() if len(w) > 1 and w.isupper()) / n,
-        len(text.translate({32: None, 10: None})) / n,
+        symbols,
+        len(_RUN.findall(data)) / n if symbols > 0.04 else 0.0,
+        sum(counts.get(w, 0) for w in (b"|", b"/", b"-", b"*")) / n,
+        sum(c for w, c in counts.items() if w.isupper() and len(w) > 1) / n,
+        sum(map(len, words)) / n * chars / max(1, len(data)),
         max(counts.values(), default=0) / n,
         1 - len(set(lines)) / max(1, len(lines)),
-        sum(map(len, _WORD.findall(text))) / max(1, len(text)),
-        1 - len(set(pairwise(words))) / max(1, len(words) - 1),
-        len(zlib.compress(data, 1)) / max(1, len(data)),
+        (chars - ascii_ + len(data.translate(None, _NOT_LETTERS))) / max(1, chars),
+        0.0 if varied else 1 - len(set(pairwise(words))) / max(1, len(words) - 1),
+        0.5 if varied else len(zlib.compress(data, 1)) / max(1, len(data)),
     )
 
 
@@ -85,7 +94,7 @@ LABELLERS = (
     ("no_word_prevails", lambda m: m.words >= 20 and m.commonest > 0.2, lambda m: m.commonest < 0.1),
     ("lines_differ", lambda m: m.repeated_lines > 0.4, lambda m: m.repeated_lines < 0.1),
     ("mostly_letters", lambda m: m.words >= 8 and m.letters < 0.7, lambda m: m.letters > 0.76),
-    ("pairs_differ", lambda m: m.words >= 20 and m.repeated_pairs > 0.35, lambda m: m.repeated_pairs < 0.15),
+    ("pairs_differ", lambda m: m.words >= 20 and m.repeated_pairs > 0.35, lambda m: m.repeated_pairs < 0.3),
     ("hard_to_pack", lambda m: m.words >= 20 and m.packed < 0.22, lambda m: m.packed > 0.3),
 )
 
@@ -143,11 +152,8 @@ def _bins(m: Measures) -> list[bytes]:
 def features(data: bytes, m: Measures | None) -> np.ndarray:
     """Hashed features of a document: its distinct lower-case words, and with ``m`` shapes of words and binned measures."""
     mask = (1 << BITS) - 1
-    crc = zlib.crc32
-    if m is None:
-        return np.unique(np.fromiter((crc(w) & mask for w in {w.strip(_SYMBOLS) for w in set(data.lower().split())}), np.int32))
-    shapes = {w.translate(_SHAPE)[:6] for w in set(data.split())}
-    return np.unique(np.fromiter((crc(w) & mask for w in (*_bins(m), *shapes)), np.int32))
+    found = list(set(data.lower().translate(_APART).split())) if m is None else [*_bins(m), *set(data.translate(_SHAPE).split())]
+    return np.unique(np.fromiter(map(zlib.crc32, found), np.int64, len(found)) & mask).astype(np.int32)
 
 
 _SHAPE = bytes(120 if chr(b).islower() or b > 127 else 88 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
@@ -278,4 +284,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None = None, key: str =
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    return classify(docs, fit(docs, labels, key, text, sample), text).where("__kept").select(*docs.columns)
+    return classify(docs, fit(docs, labels, key, text, sample), text).where("__kept").select(*columns_of(docs))
