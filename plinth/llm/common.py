@@ -53,9 +53,16 @@ def utf8(column: str | Column) -> Column:
     return F.coalesce(c.cast("binary"), F.lit(b""))
 
 
+#: Bytes in a batch that goes to or from a Python worker: texts can be long, and a task holds several batches.
+BATCH_BYTES = 8 << 20
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with the package importable on the workers."""
-    workers_find_package(df.sparkSession)
+    """``df.mapInArrow`` with the package importable on the workers, and the session's batches held small."""
+    spark = df.sparkSession
+    workers_find_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != f"{BATCH_BYTES}b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     return df.mapInArrow(function, schema)
 
 
@@ -63,6 +70,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def columns_of(df: DataFrame) -> list[str]:
+    """The columns' names, quoted. Names that begin with two underscores are the operators' own."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
 def small(batches: Iterable[pa.RecordBatch], name: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into ones of about ``limit`` bytes (or list items) in column ``name``, so that a worker holds little."""
     import numpy as np
