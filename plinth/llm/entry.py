@@ -52,11 +52,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0), payloads=False).where("gap IS NULL")
     return read.select(
-        warc.page_of(F.col("record_id")).cast("long").alias("page_id"),
+        warc.page_of(F.col("record_id")).try_cast("long").alias("page_id"),
         "payload_bytes",
         "payload_digest",
         "record_type",
-        warc.page_of(F.col("refers_to")).cast("long").alias("refers_to"),
+        warc.page_of(F.col("refers_to")).try_cast("long").alias("refers_to"),
     )
 
 
