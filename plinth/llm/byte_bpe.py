@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import column, map_arrow, small, utf8
+from plinth.llm.common import column, columns_of, map_arrow, small, utf8
 
 #: Entries that a worker's memo of pieces or of pairs may hold before it starts anew.
 MEMO = 200_000
@@ -158,7 +158,7 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _with(df: DataFrame, name: str, kind: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in (name, "__in")), f"`{name}` {kind}"])
+    return ", ".join([*(f"{q} {f.dataType.simpleString()}" for q, f in zip(columns_of(df), df.schema.fields, strict=True) if f.name not in (name, "__in")), f"`{name}` {kind}"])
 
 
 def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:

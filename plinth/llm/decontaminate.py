@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.byte_bpe import _replaced, _with
-from plinth.llm.common import column, map_arrow, small, utf8
+from plinth.llm.common import column, columns_of, map_arrow, small, utf8
 
 #: Words are runs of 0-9, a-z (after lower-casing A-Z) and anything beyond ASCII.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -158,4 +158,4 @@ def mark_contamination(
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", window: int = 10) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs, with all their columns."""
     marked = mark_contamination(docs, items, text, window=window, n_words="__words", runs="__runs", item_ids="__items")
-    return marked.where(F.size("__runs") == 0).select(*docs.columns)
+    return marked.where(F.size("__runs") == 0).select(*columns_of(docs))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import column, map_arrow
+from plinth.llm.common import column, columns_of, map_arrow
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -200,4 +200,4 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", normal
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
     rows = with_digests(docs, key, text, normalise)
     keep = live_rows(rows, key).select(F.col("keep_row").alias("__row"))
-    return rows.join(keep, "__row", "left_semi").select(*docs.columns)
+    return rows.join(keep, "__row", "left_semi").select(*columns_of(docs))

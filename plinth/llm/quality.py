@@ -3,11 +3,11 @@
 Heuristic labellers look at each document and vote good, bad or nothing. How often each
 pattern of votes occurs is counted over all documents; expectation-maximisation on
 these counts estimates each labeller's accuracies and the share of good documents, and
-gives each pattern a posterior. A linear scorer over hashed features (words, shapes of
-words, and binned measures) learns the posteriors of a bounded sample of documents.
+gives each pattern a posterior. A linear scorer over hashed features (shapes of words
+and binned measures) learns the posteriors of a bounded sample of documents.
 
 A second head of the same scorer learns the human label ``toxic`` from a bounded
-sample of labelled documents. A document is kept if the first head finds it good and
+sample of labelled documents, over hashed words and their beginnings. A document is kept if the first head finds it good and
 the second doesn't find it toxic.
 """
 
@@ -29,6 +29,10 @@ from plinth.llm.common import column, columns_of, map_arrow, small, utf8
 
 #: Documents that each head is trained on, at most (about: a share of all, by hash).
 SAMPLE = 20_000
+#: Documents of the sample that must have a feature; the pull of weights for toxicity towards zero.
+LEAST_DOCS, LASSO = 4, 0.06
+#: Bytes of a word's beginning that are a feature of their own; from which toxicity on documents go.
+PREFIX, MOST_TOXIC = 5, 0.4
 BITS = 18
 _SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _RUN = re.compile(rb"([^\w\s])\1\1")
@@ -150,27 +154,34 @@ def _bins(m: Measures) -> list[bytes]:
 
 
 def features(data: bytes, m: Measures | None) -> np.ndarray:
-    """Hashed features of a document: its distinct lower-case words, and with ``m`` shapes of words and binned measures."""
+    """Hashed features of a document: its distinct lower-case words and their first bytes, or with ``m`` shapes of words and binned measures."""
     mask = (1 << BITS) - 1
-    found = list(set(data.lower().translate(_APART).split())) if m is None else [*_bins(m), *set(data.translate(_SHAPE).split())]
+    if m is None:
+        words = set(data.lower().translate(_APART).split())
+        found = [*words, *{b"\0" + w[:PREFIX] for w in words if len(w) > PREFIX}]
+    else:
+        found = [*_bins(m), *set(data.translate(_SHAPE).split())]
     return np.unique(np.fromiter(map(zlib.crc32, found), np.int64, len(found)) & mask).astype(np.int32)
 
 
 _SHAPE = bytes(120 if chr(b).islower() or b > 127 else 88 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 
 
-def train_scorer(rows: list[np.ndarray], targets: np.ndarray, passes: int = 4, rate: float = 0.3, l1: float = 0.0, seed: int = 3) -> np.ndarray:
+def train_scorer(rows: list[np.ndarray], targets: np.ndarray, passes: int = 4, rate: float = 0.3, l1: float = 0.0, least_docs: int = 1, seed: int = 3) -> np.ndarray:
     """Weights of a logistic scorer over hashed features, the bias last: AdaGrad steps, with soft targets, a document at a time.
 
-    ``l1`` pulls weights towards zero, so that features of few documents carry none.
+    Features of fewer than ``least_docs`` documents have no weight, or the scorer would
+    learn documents by heart; ``l1`` pulls weights towards zero.
     """
-    w, g2 = np.zeros((1 << BITS) + 1), np.full((1 << BITS) + 1, 1e-2)
+    n = 1 << BITS
+    w, g2 = np.zeros(n + 1), np.full(n + 1, 1e-2)
+    seen = np.bincount(np.concatenate(rows), minlength=n) if rows else np.zeros(n, np.int64)
+    rows = [np.append(f[seen[f] >= least_docs], n) for f in rows]
     rng = np.random.default_rng(seed)
     for _ in range(passes):
         for i in rng.permutation(len(rows)):
-            f = np.append(rows[i], 1 << BITS)
-            scale = 1 / np.sqrt(len(f))
-            g = (targets[i] - 1 / (1 + np.exp(-np.clip(w[f].sum() * scale, -30, 30)))) * scale
+            f = rows[i]
+            g = targets[i] - 1 / (1 + np.exp(-np.clip(w[f].sum(), -30, 30)))
             g2[f] += g * g
             step = rate / np.sqrt(g2[f])
             moved = w[f] + step * g
@@ -179,8 +190,7 @@ def train_scorer(rows: list[np.ndarray], targets: np.ndarray, passes: int = 4, r
 
 
 def apply_scorer(w: np.ndarray, f: np.ndarray) -> float:
-    f = np.append(f, 1 << BITS)
-    return float(1 / (1 + np.exp(-np.clip(w[f].sum() / np.sqrt(len(f)), -30, 30))))
+    return float(1 / (1 + np.exp(-np.clip(w[f].sum() + w[-1], -30, 30))))
 
 
 def _patterns(batches):
@@ -234,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
     weak = expectation_maximisation(counts)
     n = sum(counts.values())
     patterns, found, _ = _sample(rows.withColumn("target", F.lit(0.0)), n, sample, False)
-    quality = train_scorer(found, np.array([weak.of(p) for p in patterns]))
+    quality = train_scorer(found, np.array([weak.of(p) for p in patterns]), rate=0.05, least_docs=LEAST_DOCS)
     if not found:
         quality[-1] = 10.0
     toxic = None
@@ -246,11 +256,11 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
             told = told.where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) < int(share * 1_000_000))
         _, found, target = _sample(rows.join(told, "key"), 1, 1, True)
         if len(found) and 0 < target.mean() < 1:
-            toxic = train_scorer(found, target, passes=8, l1=2e-3)
+            toxic = train_scorer(found, target, passes=6, rate=0.1, l1=LASSO, least_docs=LEAST_DOCS)
     return Classifier(weak, quality, toxic)
 
 
-def classify(docs: DataFrame, classifier: Classifier, text: str = "text", least: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, classifier: Classifier, text: str = "text", least: float = 0.5, most_toxic: float = MOST_TOXIC) -> DataFrame:
     """``docs`` with __votes, __posterior, __score, __toxic and __kept; all other columns stay, as does every row.
 
     A document is kept if its score is at least ``least`` and its toxicity at most

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import column, map_arrow, small, stored, utf8
+from plinth.llm.common import column, columns_of, map_arrow, small, stored, utf8
 from plinth.llm.components import components
 
 BITS = 64
@@ -211,4 +211,4 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
     keep = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    return rows.join(keep.select(F.col("first.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    return rows.join(keep.select(F.col("first.row").alias("__row")), "__row", "left_semi").select(*columns_of(docs))

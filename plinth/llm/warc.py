@@ -95,7 +95,12 @@ def parse_record(data, offset: int, length: int) -> tuple[Record, int]:
     end = data.find(b"\r\n\r\n", 0, HEADER_BYTES)
     if end < 0:
         raise ValueError("no end of the header")
-    field = _fields(bytes(data[:end]))
+    head = bytes(data[:end])
+    if re.search(rb"WARC/1\.\d\r\n", head[len(VERSION) :]):
+        raise ValueError("another record begins inside the header")
+    if any(b":" not in line for line in head.split(b"\r\n")[1:]):
+        raise ValueError("a header line is no field")
+    field = _fields(head)
     size = field.get("content-length", "")
     if not size.isdecimal() or "warc-type" not in field:
         raise ValueError("a header field is missing")
