@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import grouped, map_arrow, stored
+from plinth.llm.common import columns_of, grouped, map_arrow, stored
 
 BUCKET_BYTES = 32 << 20
 
@@ -53,8 +53,8 @@ def external_shuffle(docs: DataFrame, n_shards: int = 16, seed: int = 17, key: s
     n_buckets = int(size // bucket_bytes) + 1
     at = F.xxhash64(F.lit(seed), F.col(key), F.monotonically_increasing_id())
     scattered = docs.withColumn("__at", at).withColumn("__bucket", F.pmod(F.col("__at"), F.lit(n_buckets)).cast("int"))
-    met = scattered.repartition(n_buckets, "__bucket").sortWithinPartitions("__bucket", "__at")
-    kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "__bucket int", "__place long"])
+    met = scattered.repartitionById(n_buckets, F.col("__bucket")).sortWithinPartitions("__bucket", "__at")
+    kind = ", ".join([*(f"{q} {f.dataType.simpleString()}" for q, f in zip(columns_of(docs), docs.schema.fields, strict=True)), "__bucket int", "__place long"])
     written = stored(map_arrow(met, _shuffle(seed), kind), "shuffled")
     counts = sorted((r[0], r[1]) for r in written.groupBy("__bucket").count().collect())  # a number for each 32 MB of input
     total, first = 0, []
