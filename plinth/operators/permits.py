@@ -101,9 +101,9 @@ def enrich_with_owners(permits: DataFrame, owners: DataFrame, firms: DataFrame,
     rows = with_parcel_owners(unattributed_with_parcel(permits, locality), owners).withColumn("mention_id", F.concat_ws("\x1f", F.coalesce(F.date_format("filed_date", "yyyy-MM-dd"), F.lit("9999")), F.col("permit_number").cast("string")))
     none = F.lit(None).cast("string")
     told = with_alias_memory(resolve(rows.where("owner_name IS NOT NULL").select("mention_id", F.col("owner_name").alias("text"), none.alias("address"), none.alias("phone"), none.alias("parcel_id")), firms))
-    hit = rows.join(told.select("mention_id", "status", F.col("firm_id").alias("found_id"), "method", "confidence"), "mention_id", "left")
-    change = hit.where("owner_name IS NOT NULL").select("locality", "permit_number", "owner_name", "status", "found_id", "method", "confidence")
-    got = F.col("status") == "resolved"
+    hit = rows.join(told.select("mention_id", F.col("status").alias("told"), F.col("firm_id").alias("found_id"), "method", "confidence"), "mention_id", "left")
+    change = hit.where("owner_name IS NOT NULL").select("locality", "permit_number", "owner_name", "told", "found_id", "method", "confidence")
+    got = F.col("told") == "resolved"
     after = permits.join(change, ["locality", "permit_number"], "left").withColumns(
         {
             "applicant_name_raw": F.coalesce("owner_name", "applicant_name_raw"),
@@ -117,7 +117,7 @@ def enrich_with_owners(permits: DataFrame, owners: DataFrame, firms: DataFrame,
     stats = hit.agg(
         F.count("*").alias("examined"),
         F.count_if(got).alias("attributed"),
-        F.count_if(F.col("status") == "ambiguous").alias("queued"),
+        F.count_if(F.col("told") == "ambiguous").alias("queued"),
         F.count_if(F.col("owner_name").isNull()).alias("no_owner"),
         F.count_if(F.col("owner_name").isNotNull() & ~F.coalesce(got, F.lit(False))).alias("unresolved"),
     )
