@@ -1,14 +1,11 @@
 """What the training-data operators share: shared storage, Arrow maps, block numbering.
 
 Shared storage is the folder in ``spark.checkpoint.dir``; every executor and the
-driver see it. Where the session names none (tests), one is made and set.
+driver see it (``plinth.session.shared_dir``).
 """
 
 from __future__ import annotations
 
-import posixpath
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -16,20 +13,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.session import workers_find_package
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder, removed when the session ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="plinth-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = posixpath.join(base if "://" in base or base.startswith("file:") else "file://" + base, f"{name}-{uuid.uuid4().hex}")
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+from plinth.session import shared_dir, workers_find_package
 
 
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

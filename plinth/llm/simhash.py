@@ -30,6 +30,8 @@ BITS = 64
 FRONTIER = 1 << 20
 #: A pair of nodes with at most so many pairs of leaves is compared directly.
 LEAF_PAIRS = 32
+#: Fingerprints that a task of the walk holds, about.
+TASK_PRINTS = 2_000_000
 
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
@@ -174,7 +176,9 @@ def links(prints: DataFrame, budget: int = 4) -> DataFrame:
     bands = _bands(budget)
     turned = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("print", BITS - a - w).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for k, (a, w) in enumerate(bands)]
     rows = prints.select("print").distinct().select("print", F.explode(F.array(*turned)).alias("at")).select("print", "at.band", "at.value")
-    return map_arrow(rows.repartition("band", "value").select("band", "print"), _walk(budget, bands), "a long, b long")
+    # A task holds the fingerprints of its subtrees: eight bytes each, twice while they are sorted.
+    n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.count() * len(bands) // TASK_PRINTS + 1)
+    return map_arrow(rows.repartition(n, "band", "value").select("band", "print"), _walk(budget, bands), "a long, b long")
 
 
 def classes(prints: DataFrame, budget: int = 4) -> DataFrame:
