@@ -66,9 +66,10 @@ def pending_deliveries(fresh: DataFrame) -> DataFrame:
 def _listed(matched: DataFrame, most: int, line: Column) -> DataFrame:
     """Of each alert the first ``most`` lines, in order of time and id, and the number of signals."""
     order = Window.partitionBy("alert_id").orderBy(F.asc_nulls_first("occurred_at"), "signal_id")
-    rows = matched.withColumn("__n", F.row_number().over(order))
-    kept = F.transform(F.sort_array(F.collect_list(F.when(F.col("__n") <= most, F.struct("__n", line.alias("line"))))), lambda x: x["line"])
-    return rows.groupBy("alert_id", "alert_name").agg(kept.alias("lines"), F.count("*").alias("n"))
+    # The filter on row_number keeps the first few of each task before the shuffle; the count is a partial sum.
+    first = matched.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
+    lines = first.groupBy("alert_id", "alert_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("__n", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    return lines.join(matched.groupBy("alert_id").agg(F.count("*").alias("n")), "alert_id")
 
 
 def email_bodies(matched: DataFrame, product: str = "Plinth") -> DataFrame:

@@ -39,9 +39,12 @@ def sections(signals: DataFrame, firms: DataFrame, as_of: Column, least: float =
 
     The narrative is a list of the first ten lines; ``narrate`` (firm name, twenty lines) may write another.
     """
-    rows = ranked(digest_signals(signals, as_of, least, days))
+    chosen = digest_signals(signals, as_of, least, days)
+    first = ranked(chosen).where(F.col("rank") <= max(LINES, PROMPT_LINES))
     top = lambda n, mark: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= n, F.struct("rank", "line")))), lambda x: F.concat(F.lit(mark), x["line"])), "\n")
-    g = rows.groupBy("firm_id").agg(F.max("score").alias("max_score"), F.count("*").alias("n_signals"), F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), lambda x: x["id"]).alias("signal_ids"), top(LINES, "- ").alias("narrative"), top(PROMPT_LINES, "").alias("prompt"))
+    lines = first.groupBy("firm_id").agg(top(LINES, "- ").alias("narrative"), top(PROMPT_LINES, "").alias("prompt"))
+    ids = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), lambda x: x["id"])
+    g = chosen.groupBy("firm_id").agg(F.max("score").alias("max_score"), F.count("*").alias("n_signals"), ids.alias("signal_ids")).join(lines, "firm_id")
     out = g.join(firms.select(F.col("id").alias("firm_id"), F.col("name").alias("firm_name")), "firm_id")
     if narrate is not None:
         out = out.withColumn("narrative", F.coalesce(F.udf(narrate, "string")("firm_name", "prompt"), "narrative"))

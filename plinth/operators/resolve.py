@@ -124,12 +124,10 @@ def with_alias_memory(resolutions: DataFrame, order: str = "mention_id") -> Data
     an adjudicator resolved, all later rows of this key are matched as aliases, also
     those that would not have been resolved by themselves.
     """
-    memo = F.col("method").isin("fuzzy", "corroborated", "llm")
-    w = Window.partitionBy("canonical").orderBy(order)
-    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
-    learned = F.first(F.when(memo, F.col("firm_id")), ignorenulls=True).over(so_far)
-    hit = learned.isNotNull() & (F.col("canonical") != "") & ~F.coalesce(F.col("method").isin("exact", "alias"), F.lit(False))
-    out = resolutions.withColumn("__learned", F.when(hit, learned))
+    memo = F.col("method").isin("fuzzy", "corroborated", "llm") & (F.col("canonical") != "")
+    first = resolutions.where(memo).groupBy("canonical").agg(F.min_by("firm_id", order).alias("__firm"), F.min(order).alias("__from"))
+    later = (F.col(order) > F.col("__from")) & ~F.coalesce(F.col("method").isin("exact", "alias"), F.lit(False))
+    out = resolutions.join(first, "canonical", "left").withColumn("__learned", F.when(later, F.col("__firm"))).select(*resolutions.columns, "__learned")
     was = F.col("__learned").isNotNull()
     return out.withColumns(
         {
