@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm.common import columns_of, grouped, map_arrow, stored
 
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -56,12 +56,10 @@ def external_shuffle(docs: DataFrame, n_shards: int = 16, seed: int = 17, key: s
     met = scattered.repartitionById(n_buckets, F.col("__bucket")).sortWithinPartitions("__bucket", "__at")
     kind = ", ".join([*(f"{q} {f.dataType.simpleString()}" for q, f in zip(columns_of(docs), docs.schema.fields, strict=True)), "__bucket int", "__place long"])
     written = stored(map_arrow(met, _shuffle(seed), kind), "shuffled")
-    counts = sorted((r[0], r[1]) for r in written.groupBy("__bucket").count().collect())  # a number for each 32 MB of input
-    total, first = 0, []
-    for bucket, n in counts:
-        first.append((bucket, total))
-        total += n
-    before = spark.createDataFrame(first, "__bucket int, __first long")
+    counts = written.groupBy("__bucket").count().toArrow().sort_by("__bucket")  # two numbers for each 16 MB of input
+    n = counts.column("count").to_numpy()
+    total = int(n.sum())
+    before = spark.createDataFrame(pa.table({"__bucket": counts.column("__bucket"), "__first": pa.array(np.cumsum(n) - n, pa.int64())}))
     out = written.join(before, "__bucket").withColumn("__place", F.col("__first") + F.col("__place"))
     out = out.withColumn("shard", F.expr(f"CAST((__place * {n_shards}L) DIV {max(total, 1)}L AS INT)"))
     start = F.expr(f"(CAST(shard AS BIGINT) * {max(total, 1)}L + {n_shards - 1}L) DIV {n_shards}L")
