@@ -20,7 +20,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Tuples that are popped at once, at most; tuples that a queue holds in memory.
-BULK, HELD = 1 << 17, 8 << 20
+BULK, HELD = 1 << 17, 4 << 20
 UNKNOWN, FAR = -1, 1 << 30
 
 
@@ -218,7 +218,9 @@ class _DownSince(_Since):
 def _names(text: np.ndarray, stars: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The rank of each star substring among distinct ones; ``order`` has the stars by their substrings."""
     end = np.append(stars[1:], stars[-1])
-    place = np.searchsorted(stars, order)
+    number = np.empty(len(text), np.int32)
+    number[stars] = np.arange(len(stars), dtype=np.int32)
+    place = number[order]
     size = end[place] - order
     a, b = order[:-1], order[1:]
     same = np.zeros(len(order), bool)
@@ -265,8 +267,9 @@ def _sorted_stars(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray, cuts, s
 
 def doubled(names: np.ndarray) -> np.ndarray:
     """Suffixes in ascending order by prefix doubling, in memory: where the recursion ends. The last name is the smallest and occurs once."""
-    rank = np.cumsum(np.bincount(names))[names] - np.bincount(names)[names]
-    open_ = np.flatnonzero(np.bincount(names)[names] > 1)
+    times = np.bincount(names)
+    rank = (np.cumsum(times) - times)[names]
+    open_ = np.flatnonzero((times > 1)[names])
     step = 1
     while len(open_):
         own, then = rank[open_], rank[open_ + step]

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from plinth.llm.common import blocks, column, grouped, map_arrow, read_rows, sha
 from plinth.llm.induced import HELD, suffixes_with_prefixes
 
 #: Bytes of an anchor (three words of 8: fewer are often shared by chance); text in a block; text for each bucket of anchors.
-ANCHOR, BLOCK_BYTES, BUCKET_BYTES = 24, 12 << 20, 48 << 20
-_CHUNK = 1 << 20
+ANCHOR, BLOCK_BYTES, BUCKET_BYTES = 24, 8 << 20, 48 << 20
+_CHUNK, _RUNS = 1 << 20, 1 << 14
 _LAST = 2**63 - 1
 
 
@@ -82,18 +83,22 @@ class Runs:
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.start = np.cumsum(size) - size
         width = length - ANCHOR + 1
+        owners = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+        ends = (self.start + size - length).astype(np.int32)
         doc, first, count, mark = [], [], [], []
+        low, places = np.uint64((1 << 21) - 1), np.arange(_CHUNK + length, dtype=np.uint64)
         for at in range(0, len(data) - length + 1, _CHUNK):
             h = _hashes(data[at : at + _CHUNK + length - 1])
-            low = np.uint64((1 << 21) - 1)
-            best = _least((h & ~low) | np.arange(len(h), dtype=np.uint64), width)  # equal hashes: the first place
-            place = (best & low).astype(np.int64)
-            owner = np.searchsorted(self.start, np.arange(at, at + len(place)), "right") - 1
-            own = np.arange(at, at + len(place)) + length <= self.start[owner] + size[owner]
-            new = np.flatnonzero(np.diff(place, prepend=-1) | np.diff(owner, prepend=-1) | np.diff(own.view(np.int8), prepend=-1))
+            best = _least((h & ~low) | places[: len(h)], width)  # equal hashes: the first place
+            place = (best & low).astype(np.int32)
+            owner = owners[at : at + len(place)]
+            own = np.arange(at, at + len(place), dtype=np.int32) <= ends[owner]
+            change = np.ones(len(place), bool)
+            change[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]) | (own[1:] != own[:-1])
+            new = np.flatnonzero(change)
             many = np.diff(np.append(new, len(place)))
             new, many = new[own[new]], many[own[new]]
-            doc.append(owner[new])
+            doc.append(owner[new].astype(np.int64))
             first.append(new + at)
             count.append(many)
             mark.append(h[place[new]])
@@ -103,12 +108,13 @@ class Runs:
 
 def _anchors(runs: Runs, ids: np.ndarray, n_buckets: int):
     """Distinct anchors by bucket and hash: bucket, hash, least and greatest doc_id."""
-    order = np.argsort(runs.mark, kind="stable")
+    order = np.argsort(runs.mark)
     mark, own = runs.mark[order], ids[runs.doc[order]]
     cuts = np.flatnonzero(np.diff(mark, prepend=mark[:1] + np.uint64(1))) if len(mark) else np.zeros(0, np.int64)
     mark, least, most = mark[cuts], np.minimum.reduceat(own, cuts) if len(cuts) else own, np.maximum.reduceat(own, cuts) if len(cuts) else own
-    bucket = (mark % np.uint64(n_buckets)).astype(np.int64)
+    bucket = (mark % np.uint64(n_buckets)).astype(np.uint16 if n_buckets < 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
+    bucket = bucket.astype(np.int64)
     return bucket[order], mark[order], least[order], most[order]
 
 
@@ -232,7 +238,7 @@ def _cut_strings(copies: str, told: str, length: int, n_buckets: int, n_shards:
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             where = runs.first[pick] - runs.start[runs.doc[pick]]
-            yield _table([{"bucket": -1, "block": block, "marks": np.concatenate([part.live[runs.doc[pick]], where, place[which]]).tobytes(), "docs": b"", "also": b""}], _ASK)
+            yield _table([{"bucket": -1, "block": block, "marks": np.concatenate([part.live[runs.doc[pick]], where, place[which]]).astype(np.int32).tobytes(), "docs": b"", "also": b""}], _ASK)
 
     return run
 
@@ -247,15 +253,18 @@ def least_owners(strings: list[bytes], docs: np.ndarray, length: int, spill=None
     text += m
     text[end] = np.arange(m - 1, -1, -1)  # each string ends in a symbol of its own, the last in the smallest
     left = np.repeat(end.astype(np.int32), size + 1) - np.arange(len(text), dtype=np.int32)
-    words = _words(raw)
+    eights = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    top = len(eights) - 1
+
+    def words(at: np.ndarray) -> np.ndarray:
+        return eights[np.minimum(at, top)].view(np.uint64)[:, 0]
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.minimum(left[a], left[b])
         live = np.arange(len(a))
         k = 0
         while len(live):
-            x, y = a[live] + k, b[live] + k
-            differ = words[np.minimum(x, len(words) - 1)] ^ words[np.minimum(y, len(words) - 1)]
+            differ = words(a[live] + k) ^ words(b[live] + k)
             hit = differ != 0
             low = (np.bitwise_count((differ[hit] & (~differ[hit] + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64)
             out[live[hit]] = np.minimum(out[live[hit]], k + low)
@@ -338,7 +347,7 @@ def _answer_strings(length: int, folder: str, held: int):
             start = np.cumsum(windows) - windows
             for block, which in zip(rows.column("block").to_pylist(), asked, strict=True):
                 n = windows[which]
-                flat = least[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                flat = least[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]  # a block's windows in this shard
                 cuts = np.flatnonzero(np.diff(flat, prepend=flat[0] ^ 1))
                 yield _table([{"part": block >> 24, "block": block, "bucket": shard, "data": flat[cuts].tobytes(), "lengths": np.concatenate([np.diff(np.append(cuts, len(flat))), n]).astype(np.int32).tobytes() + len(cuts).to_bytes(8, "little")}], _TOLD)
 
@@ -346,27 +355,17 @@ def _answer_strings(length: int, folder: str, held: int):
 
 
 def _with_runs(answer):
-    """Answers of shards; rows of shard -1 go on as they are."""
+    """Answers of shards; the rows of shard -1, which come first, go on as they are."""
 
     def run(batches):
-        kept: list[pa.RecordBatch] = []
-
-        def asked():
-            for batch in batches:
-                own = pa.compute.less(column(batch, "bucket"), 0)
-                kept.append(batch.filter(own))
-                yield batch.filter(pa.compute.invert(own))
-
-        def passed_on():
-            while kept:
-                batch = kept.pop()
-                for block, data in zip(column(batch, "block").to_pylist(), column(batch, "marks").to_pylist(), strict=True):
-                    yield _table([{"part": block >> 24, "block": block, "bucket": -1, "data": data, "lengths": b""}], _TOLD)
-
-        for out in answer(asked()):
-            yield from passed_on()
-            yield out
-        yield from passed_on()
+        batches = iter(batches)
+        for batch in batches:
+            own = pa.compute.less(column(batch, "bucket"), 0)
+            mine, rest = batch.filter(own), batch.filter(pa.compute.invert(own))
+            for block, data in zip(column(mine, "block").to_pylist(), column(mine, "marks").to_pylist(), strict=True):
+                yield _table([{"part": block >> 24, "block": block, "bucket": -1, "data": data, "lengths": b""}], _TOLD)
+            if rest.num_rows:
+                yield from answer(chain([rest], batches))
 
     return run
 
@@ -381,7 +380,7 @@ def _remove(copies: str, told: str, length: int, texts: bool):
             change = np.zeros(int(size.sum()) + 1, np.int32)
             answers = _of_block(got, block)
             if answers:
-                doc, where, place = np.frombuffer(answers[0][1], np.int64).reshape(3, -1)
+                doc, where, place = np.frombuffer(answers[0][1], np.int32).reshape(3, -1)
                 least, windows = [], []
                 for _, data, lengths in answers[1:]:
                     n = int.from_bytes(lengths[-8:], "little")
@@ -390,13 +389,15 @@ def _remove(copies: str, told: str, length: int, texts: bool):
                     windows.append(counts[n:])
                 least, windows = np.concatenate(least), np.concatenate(windows).astype(np.int64)
                 first = np.cumsum(windows) - windows
-                n = windows[place]
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                hit = least[np.repeat(first[place], n) + inner] < np.repeat(part.ids[doc], n)
-                at = (np.repeat(start[doc] + where, n) + inner)[hit]
-                np.add.at(change, at, 1)
-                np.add.at(change, at + length, -1)
-            covered = np.cumsum(change[:-1]) > 0
+                for k in range(0, len(place), _RUNS):
+                    d, p = doc[k : k + _RUNS], place[k : k + _RUNS]
+                    n = windows[p]
+                    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    hit = least[np.repeat(first[p], n) + inner] < np.repeat(part.ids[d], n)
+                    at = (np.repeat(start[d] + where[k : k + _RUNS], n) + inner)[hit]
+                    np.add.at(change, at, 1)
+                    np.add.at(change, at + length, -1)
+            covered = np.cumsum(change[:-1], dtype=np.int32) > 0
             out = []
             for i, text in enumerate(part.texts):
                 mask = covered[start[i] : start[i] + size[i]]
@@ -415,7 +416,7 @@ def _remove(copies: str, told: str, length: int, texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, shard_bytes: int = 8 << 20, held: int = HELD, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, shard_bytes: int = 6 << 20, held: int = HELD, texts: bool = True) -> DataFrame:
     """One row for each row of ``docs``: doc_id, row, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes; null without ``texts``).
 
     Removes each byte that a string of ``length`` bytes covers which also starts in a
@@ -443,11 +444,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     scan = rows.select("id", "row", "text")
     ask = "bucket int, block long, marks binary, docs binary, also binary"
-    asked = map_arrow(scan, _ask_anchors(copies, length, n_buckets), ask).repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+    asked = map_arrow(scan, _ask_anchors(copies, length, n_buckets), ask).repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket")
     anchors = shared_dir(spark, "anchors")
     map_arrow(asked, _answer_anchors, _TOLD_KIND).write.partitionBy("part").parquet(anchors)
 
-    cut = map_arrow(scan, _cut_strings(copies, anchors, length, n_buckets, n_shards), ask).repartition(n_shards, F.when(F.col("bucket") < 0, F.xxhash64("block")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
+    cut = map_arrow(scan, _cut_strings(copies, anchors, length, n_buckets, n_shards), ask).repartitionById(n_shards, F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("block"), F.lit(n_shards))).otherwise(F.col("bucket")).cast("int")).sortWithinPartitions("bucket")
     strings = shared_dir(spark, "strings")
     map_arrow(cut, _with_runs(_answer_strings(length, shared_dir(spark, "runs"), held)), _TOLD_KIND).write.partitionBy("part").parquet(strings)
 

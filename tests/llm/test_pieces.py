@@ -382,3 +382,18 @@ def test_training_helps():
     assert model.log_p(y, near.astype(np.int64), far.astype(np.int64)).mean() > before + 0.4
     again = lm._fresh(v, shape).load(np.frombuffer(model.pack()))
     assert np.array_equal(again.out, model.out) and np.array_equal(again.bias, model.bias)
+
+
+def test_least_owners_of_many_strings():
+    """Bulks of suffixes follow one another while prefixes are still compared."""
+    rng = np.random.default_rng(3)
+    for _ in range(120):
+        base = bytes(rng.integers(97, 97 + int(rng.integers(2, 5)), 400).tolist()) + "é".encode() * 30
+        strings = sorted({base[a : a + int(rng.integers(50, 90))] for a in rng.integers(0, 380, int(rng.integers(2, 80))).tolist()})
+        docs = rng.permutation(len(strings)).tolist()
+        least: dict = {}
+        for x, d in zip(strings, docs, strict=True):
+            for i in range(len(x) - 49):
+                least[x[i : i + 50]] = min(d, least.get(x[i : i + 50], d))
+        want = [least[x[i : i + 50]] for x in strings for i in range(len(x) - 49)]
+        assert suffix_dedup.least_owners(strings, np.array(docs), 50).tolist() == want
