@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm import byte_bpe, decontaminate, exact_dedup, quality, simhash
-from plinth.llm.common import stored
+from plinth.llm.common import forget, shared_dir, stored
 from plinth.session import table
 
 
@@ -55,7 +55,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = shared_dir(spark, name)
+        docs = stored(stage(spark, docs, sf_dir), name, path)
+        if before:
+            forget(spark, before)
+        before = path
     return docs

@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 from plinth.session import shared_dir, workers_find_package
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """``df`` written as Parquet to shared storage and read back: cuts the lineage."""
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to shared storage (to ``path``, or a new folder) and read back: cuts the lineage."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    path = path or shared_dir(spark, name)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import stored
+from plinth.llm.common import forget, shared_dir, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops, repeated edges and both directions are allowed. An empty table gives no rows.
     """
-    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    spark = edges.sparkSession
+    path = shared_dir(spark, "edges")
+    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", path)
     last = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,7 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, path = path, shared_dir(spark, "edges")
+        edges = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", path)
+        forget(spark, before)
         now = edges.agg(F.count("*").alias("n"), F.countDistinct("u").alias("k"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
         if now == last:
             break

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import blocks, column, grouped, map_arrow, read_rows, shared_dir, stored, utf8
+from plinth.llm.common import blocks, column, forget, grouped, map_arrow, read_rows, shared_dir, stored, utf8
 
 #: Text in a block; text for each bucket of words.
 BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 96 << 20
@@ -359,7 +359,9 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", shape: S
     flat = sum(np.frombuffer(r.sums) for r in sums) / sum(r.n for r in sums) if sums else np.frombuffer(_fresh(v, shape).pack())
     kind = "doc_id " + docs.schema[key].dataType.simpleString() + ", held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     # Stored, so that the blocks are those of this plan, whatever is made of the result.
-    return stored(map_arrow(rows, _score(sent, sc.broadcast(flat), shape, n_buckets, path), kind), "scores")
+    out = stored(map_arrow(rows, _score(sent, sc.broadcast(flat), shape, n_buckets, path), kind), "scores")
+    forget(spark, path)
+    return out
 
 
 def _both(top: int):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import blocks, column, grouped, map_arrow, read_rows, shared_dir, stored, utf8
+from plinth.llm.common import blocks, column, forget, grouped, map_arrow, read_rows, shared_dir, stored, utf8
 from plinth.llm.induced import HELD, suffixes_with_prefixes
 
 #: Bytes of an anchor (three words of 8: fewer are often shared by chance); text in a block; text for each bucket of anchors.
@@ -449,9 +449,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     map_arrow(asked, _answer_anchors, _TOLD_KIND).write.partitionBy("part").parquet(anchors)
 
     cut = map_arrow(scan, _cut_strings(copies, anchors, length, n_buckets, n_shards), ask).repartitionById(n_shards, F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("block"), F.lit(n_shards))).otherwise(F.col("bucket")).cast("int")).sortWithinPartitions("bucket")
-    strings = shared_dir(spark, "strings")
-    map_arrow(cut, _with_runs(_answer_strings(length, shared_dir(spark, "runs"), held)), _TOLD_KIND).write.partitionBy("part").parquet(strings)
+    strings, spilled = shared_dir(spark, "strings"), shared_dir(spark, "runs")
+    map_arrow(cut, _with_runs(_answer_strings(length, spilled, held)), _TOLD_KIND).write.partitionBy("part").parquet(strings)
 
     kind = "doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     # Stored, so that the blocks are those of this plan, whatever is made of the result.
-    return stored(map_arrow(rows, _remove(copies, strings, length, texts), kind), "kept")
+    out = stored(map_arrow(rows, _remove(copies, strings, length, texts), kind), "kept")
+    for path in (copies, anchors, strings, spilled):
+        forget(spark, path)
+    return out
