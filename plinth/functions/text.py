@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ CHUNK_TOKENS, OVERLAP_TOKENS, TOKENS_PER_WORD = 450, 50, 1.3
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, line ends too."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def content_hash(text: Column) -> Column:
@@ -32,11 +34,8 @@ def content_hash(text: Column) -> Column:
 
 
 def has_any(text: Column, markers) -> Column:
-    """True where a text holds one of the markers."""
-    found = F.lit(False)
-    for marker in markers:
-        found = found | F.contains(text, F.lit(marker))
-    return found
+    """True where a text holds one of the markers: one pattern, so that the text is worked out once."""
+    return F.coalesce(text.rlike("|".join(re.escape(m) for m in markers)), F.lit(False))
 
 
 def looks_like_challenge(text: Column) -> Column:
@@ -44,7 +43,8 @@ def looks_like_challenge(text: Column) -> Column:
 
 
 def split_words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    body = strip(text)
+    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\s+"))
 
 
 def word_count(text: Column) -> Column:
