@@ -36,7 +36,8 @@ PREFIX, MOST_TOXIC = 5, 0.4
 BITS = 18
 _SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _RUN = re.compile(rb"([^\w\s])\1\1")
-_BEYOND = bytes(range(128, 256))
+_WORD = re.compile(r"[^\W\d_]+")
+_ASCII = bytes(range(128))
 _NOT_LETTERS = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122))
 _APART = bytes(32 if b in _SYMBOLS else b for b in range(256))
 
@@ -53,13 +54,22 @@ class Measures(NamedTuple):
     mean_length: float
     commonest: float
     repeated_lines: float  # of lines
-    letters: float  # of characters; those beyond ASCII count as letters
+    letters: float  # of characters
     repeated_pairs: float  # of pairs of neighbouring words
     packed: float  # size after deflation, of bytes
 
 
-#: Repetition is looked for where fewer of the words than this are distinct: above, it can't reach a threshold.
-_VARIED = 0.7
+def _letters(data: bytes) -> tuple[int, int]:
+    """Characters of a text, and those of them that are letters."""
+    n = len(data.translate(None, _NOT_LETTERS))
+    if data.isascii():
+        return len(data), n
+    try:
+        chars, beyond = len(data.decode()), data.translate(None, _ASCII).decode()
+        return chars, n + sum(map(len, _WORD.findall(beyond)))
+    except UnicodeDecodeError:
+        text = data.decode("utf-8", "replace")
+        return len(text), sum(map(len, _WORD.findall(text)))
 
 
 def measure(data: bytes) -> Measures:
@@ -68,22 +78,20 @@ def measure(data: bytes) -> Measures:
     counts = Counter(words)
     lines = [line for line in data.split(b"\n") if line.strip()]
     symbols = (len(data) - len(data.translate(None, _SYMBOLS))) / max(1, len(data))
-    ascii_ = len(data.translate(None, _BEYOND))
-    chars = len(data.decode("utf-8", "replace")) if ascii_ < len(data) else ascii_
-    varied = len(counts) / n >= _VARIED
+    chars, letters = _letters(data)
     return Measures(
         len(words),
         len(counts) / n,
         symbols,
-        len(_RUN.findall(data)) / n if symbols > 0.04 else 0.0,
+        len(_RUN.findall(data)) / n,
         sum(counts.get(w, 0) for w in (b"|", b"/", b"-", b"*")) / n,
         sum(c for w, c in counts.items() if w.isupper() and len(w) > 1) / n,
         sum(map(len, words)) / n * chars / max(1, len(data)),
         max(counts.values(), default=0) / n,
         1 - len(set(lines)) / max(1, len(lines)),
-        (chars - ascii_ + len(data.translate(None, _NOT_LETTERS))) / max(1, chars),
-        0.0 if varied else 1 - len(set(pairwise(words))) / max(1, len(words) - 1),
-        0.5 if varied else len(zlib.compress(data, 1)) / max(1, len(data)),
+        letters / max(1, chars),
+        1 - len(set(pairwise(words))) / max(1, len(words) - 1),
+        len(zlib.compress(data, 1)) / max(1, len(data)),
     )
 
 
@@ -98,7 +106,7 @@ LABELLERS = (
     ("no_word_prevails", lambda m: m.words >= 20 and m.commonest > 0.2, lambda m: m.commonest < 0.1),
     ("lines_differ", lambda m: m.repeated_lines > 0.4, lambda m: m.repeated_lines < 0.1),
     ("mostly_letters", lambda m: m.words >= 8 and m.letters < 0.7, lambda m: m.letters > 0.76),
-    ("pairs_differ", lambda m: m.words >= 20 and m.repeated_pairs > 0.35, lambda m: m.repeated_pairs < 0.3),
+    ("pairs_differ", lambda m: m.words >= 20 and m.repeated_pairs > 0.35, lambda m: m.repeated_pairs < 0.15),
     ("hard_to_pack", lambda m: m.words >= 20 and m.packed < 0.22, lambda m: m.packed > 0.3),
 )
 

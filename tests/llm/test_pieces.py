@@ -349,6 +349,35 @@ def test_measures_of_odd_texts():
         assert all(np.isfinite(m)) and len(quality.votes(m)) == len(quality.LABELLERS)
 
 
+def vote_of(name, text):
+    return quality.votes(quality.measure(text))[[n for n, *_ in quality.LABELLERS].index(name)]
+
+
+def test_every_document_is_packed():
+    """Distinct words may pack badly; a text that packs well never counts as hard to pack."""
+    varied = " ".join(f"Kundennummer{k:020d}" for k in range(1000)).encode()
+    assert quality.measure(varied).packed < 0.22 and vote_of("hard_to_pack", varied) == "b"
+    assert vote_of("hard_to_pack", b"x" * 10_000) == "-"
+
+
+def test_symbol_runs_count_where_symbols_are_few():
+    text = " ".join(f"reasonable{k}" + ("!!!" if k % 8 == 0 else "") for k in range(400)).encode()
+    m = quality.measure(text)
+    assert m.symbols < 0.04 and m.symbol_runs == 0.125 and vote_of("no_symbol_runs", text) == "b"
+
+
+def test_only_letters_beyond_ascii_are_letters():
+    assert quality.measure("é漢ß".encode()).letters == 1
+    assert quality.measure("é。🎉٣".encode()).letters == 0.25
+    assert vote_of("mostly_letters", " ".join(["🎉🎉🎉"] * 20).encode()) == "b"
+
+
+def test_a_fifth_of_repeated_pairs_is_no_good_vote():
+    words = [f"w{k}" for k in range(80)]
+    text = " ".join(words + words[:21]).encode()
+    assert 0.15 < quality.measure(text).repeated_pairs < 0.3 and vote_of("pairs_differ", text) == "-"
+
+
 # LM
 
 
