@@ -538,6 +538,25 @@ def page_split_chunks(spark, d):
     return documents.chunk_text(docs, "doc_id", "text").select("doc_id", "chunk_index", "page_number", F.sha2("text", 256).alias("text_hash"))
 
 
+
+_PAGED_WHOLE = "concat('lost ', '<!-- page:', doc_id % 9 + 1, ' -->', left(text, length(text) // 2), '\n<!-- page:40 -->  <!--  page:41-->', substr(text, length(text) // 2 + 1))"
+
+
+@_query(
+    f"""WITH t AS (SELECT doc_id, {_PAGED_WHOLE} AS x FROM documents),
+p AS (SELECT doc_id, unnest(list_zip(regexp_extract_all(x, '<!--\\s*page:(\\d+)\\s*-->', 1), regexp_split_to_array(x, '<!--\\s*page:\\d+\\s*-->')[2:])) AS z, generate_subscripts(regexp_extract_all(x, '<!--\\s*page:(\\d+)\\s*-->', 1), 1) AS s FROM t),
+w AS (SELECT doc_id, s, CAST(z[1] AS INT) AS page, list_filter(regexp_split_to_array(z[2], '\\s+'), lambda v: v <> '') AS w FROM p),
+c AS (SELECT doc_id, s, page, w, unnest(range(CASE WHEN len(w) <= 346 THEN 1 ELSE 1 + CAST(ceil((len(w) - 346) / 308) AS BIGINT) END)) AS k FROM w WHERE len(w) > 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, k) - 1 AS INT) AS chunk_index, page AS page_number, sha256(array_to_string(w[k * 308 + 1 : k * 308 + 346], ' ')) AS text_hash FROM c"""
+)
+def page_split_chunks_whole(spark, d):
+    """The whole text of every document, a half on each side of an empty page."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    body = F.concat(F.lit("lost "), F.lit("<!-- page:"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(" -->"), F.left("text", half), F.lit("\n<!-- page:40 -->  <!--  page:41-->"), F.substring("text", half + 1, F.length("text")))
+    docs = table(spark, d, "documents").select("doc_id", body.alias("text"))
+    return documents.chunk_text(docs, "doc_id", "text").select("doc_id", "chunk_index", "page_number", F.sha2("text", 256).alias("text_hash"))
+
+
 _VECTOR = [round(((i * 37) % 64 - 31.5) / 100, 4) for i in range(64)]
 _DIST = "1 - list_sum(list_transform(list_zip(e, q), lambda z: z[1] * z[2])) / sqrt(list_sum(list_transform(e, lambda z: z * z)) * list_sum(list_transform(q, lambda z: z * z)))"
 _VECS = f"WITH v AS (SELECT vec_id AS id, label AS firm_id, CAST(embedding AS DOUBLE[]) AS e, CAST({_VECTOR} AS DOUBLE[]) AS q FROM embeddings), r AS (SELECT id, firm_id, {_DIST} AS distance FROM v)"

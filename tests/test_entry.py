@@ -38,3 +38,14 @@ def test_query(spark, duck, tmp_path, name):
     names = ", ".join(f'"{k}"' for k, _ in kinds[0])
     for a, b in (("want", "got"), ("got", "want")):
         assert duck.sql(f"SELECT {names} FROM {a} EXCEPT ALL SELECT {names} FROM {b}").fetchall() == []
+
+
+def test_page_split_reads_the_whole_text_of_every_document(spark, duck):
+    """As many chunks as the words of both halves need; none of a document's words is left out."""
+    halves = "unnest([left(text, length(text) // 2), substr(text, length(text) // 2 + 1)])"
+    words = duck.sql(f"SELECT doc_id, len(list_filter(regexp_split_to_array(h, '\\s+'), lambda v: v <> '')) AS n FROM (SELECT doc_id, {halves} AS h FROM documents)").fetchall()
+    want: dict = {}
+    for k, n in words:
+        want[k] = want.get(k, 0) + (n > 0) + max(0, -(-(n - 346) // 308))
+    got = catalogue.QUERIES["page_split_chunks_whole"](spark, SF).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got} == {k: n for k, n in want.items() if n}
