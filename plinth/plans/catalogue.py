@@ -246,6 +246,19 @@ def parcel_owner_enrich(spark, d):
     return permits.with_parcel_owners(p, owners).select("permit_number", "parcel_id", "owner_name")
 
 
+
+_ALL_PARCELS = "SELECT permit_number, locality, CASE WHEN permit_number % 3 = 0 THEN permit_number % 120 END AS parcel_id FROM permits"
+
+
+@_query(f", p AS ({_ALL_PARCELS}) SELECT permit_number, parcel_id, s_name AS owner_name FROM p LEFT JOIN supplier ON s_suppkey = parcel_id", "permits")
+def parcel_owner_enrich_all(spark, d):
+    """All permits, most of them without a parcel."""
+    k = F.col("permit_number")
+    p = P.permits(spark, d).select("permit_number", F.when(k % 3 == 0, k % 120).alias("parcel_id"))
+    owners = table(spark, d, "supplier").select(F.col("s_suppkey").alias("parcel_id"), F.col("s_name").alias("owner_name"))
+    return permits.with_parcel_owners(p, owners).select("permit_number", "parcel_id", "owner_name")
+
+
 _OLD_NEW = "o AS (SELECT locality, permit_number, firm_id, status, valuation_usd FROM permits WHERE filed_date < DATE '1998-07-01'), n AS (SELECT locality, permit_number, CASE WHEN permit_number % 2 = 0 THEN firm_id + 1 END AS firm_id, CASE WHEN permit_number % 5 <> 0 THEN 'X' END AS status, CASE WHEN permit_number % 7 <> 0 THEN valuation_usd * 2 END AS valuation_usd FROM permits WHERE filed_date >= DATE '1998-01-01')"
 
 

@@ -176,6 +176,26 @@ def project_upsert(spark, d):
     return projects.ingest_announcements(ann, old, known, _now()).projects.select("canonical_name", "unit_count")
 
 
+
+@_query(
+    """, o AS (SELECT DISTINCT ON (p_name) p_name AS name, p_size AS unit_count FROM part WHERE p_partkey % 2 = 0 ORDER BY p_name, p_partkey),
+n AS (SELECT DISTINCT ON (p_name) p_name AS name, CASE WHEN p_partkey % 3 <> 0 THEN p_size * 2 END AS unit_count FROM part WHERE p_partkey % 2 <> 0 OR p_partkey % 5 = 0 ORDER BY p_name, p_partkey DESC)
+SELECT coalesce(o.name, n.name) AS canonical_name, CAST(coalesce(n.unit_count, o.unit_count) AS INT) AS unit_count FROM o FULL JOIN n USING (name)""",
+    "firms",
+)
+def project_upsert_all(spark, d):
+    """Every part is a project, an announcement or both."""
+    none, k = F.lit(None), F.col("p_partkey")
+    part = table(spark, d, "part")
+    old = upsert.first_rows(part.where("p_partkey % 2 = 0"), ["p_name"], ["p_partkey"]).select(F.col("p_name").alias("id"), F.col("p_name").alias("name"), F.col("p_name").alias("canonical_name"), none.cast("string").alias("locality"), F.col("p_size").alias("unit_count"), F.lit("proposed").alias("status"))
+    ann = part.where("p_partkey % 2 <> 0 OR p_partkey % 5 = 0").select(
+        k.alias("ann_id"), F.col("p_name").alias("headline"), F.col("p_name").alias("project_name"), F.array().cast("array<string>").alias("firm_names"), *[none.cast("string").alias(c) for c in ("project_type", "locality", "address", "summary")],
+        F.when(k % 3 != 0, F.col("p_size") * 2).alias("unit_count"), none.cast("int").alias("square_feet"), none.cast("double").alias("acreage"), none.cast("double").alias("est_value_usd"), none.cast("date").alias("announced_date"),
+    )
+    known = spark.createDataFrame([], "dedupe_key string")
+    return projects.ingest_announcements(ann, old, known, _now()).projects.select("canonical_name", "unit_count")
+
+
 @_query("SELECT CASE WHEN p_partkey % 2 = 0 THEN lower(p_name) ELSE p_brand END AS canonical_name, count(*) AS n FROM part GROUP BY 1")
 def canonical_backfill(spark, d):
     p = table(spark, d, "part").select(F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 2 != 0, F.col("p_brand")).alias("canonical_name"))
@@ -202,6 +222,18 @@ def careers_surge(spark, d):
     return got.signals.select("firm_id", F.get_json_object("payload", "$.open_after").cast("long").alias("open_after"))
 
 
+
+@_query("SELECT user_id AS firm_id, count(*) AS open_after FROM (SELECT DISTINCT user_id, CASE WHEN user_id % 3 = 0 THEN event_id % 40 ELSE event_id % 6 END AS t FROM events) GROUP BY user_id HAVING count(*) >= 5")
+def careers_surge_all(spark, d):
+    """A first crawl of all firms; two thirds of them have fewer roles."""
+    none = F.lit(None).cast("string")
+    role = F.when(F.col("user_id") % 3 == 0, F.col("event_id") % 40).otherwise(F.col("event_id") % 6)
+    e = table(spark, d, "events").select(F.col("user_id").alias("firm_id"), F.col("event_id").alias("place"), F.concat(F.lit("Analyst "), role.cast("string")).alias("title"), none.alias("location"))
+    old = spark.createDataFrame([], "id string, firm_id long, title string, location string, is_open boolean, first_seen_at timestamp, last_seen_at timestamp, closed_at timestamp")
+    got = roster.job_diff(old, e, spark.createDataFrame([], "dedupe_key string"), _now())
+    return got.signals.select("firm_id", F.get_json_object("payload", "$.open_after").cast("long").alias("open_after"))
+
+
 # PDF
 
 
@@ -213,6 +245,23 @@ def scanned_documents(spark, d):
     return pdf.documents_from_pages(pages).select("doc_id", "page_count", "is_scanned")
 
 
+
+@_query(
+    """WITH t AS (SELECT doc_id, coalesce(text, '') AS x, CASE WHEN doc_id % 4 = 0 THEN 45 ELSE 1000 END AS w FROM documents),
+p AS (SELECT doc_id, x, w, unnest(range(greatest(1, (length(x) + w - 1) // w))) AS k FROM t)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(count(*) AS INT) AS page_count, avg(CASE WHEN length(trim(substr(x, k * w + 1, w))) < 40 THEN 1.0 ELSE 0.0 END) >= 0.8 AS is_scanned FROM p GROUP BY doc_id"""
+)
+def scanned_documents_all(spark, d):
+    """Each document's own text on pages of 1000 characters, or of 45 where it depends on blanks and the last page."""
+    w = F.when(F.col("doc_id") % 4 == 0, 45).otherwise(1000)
+    t = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("x"), w.alias("w"))
+    last = F.greatest(F.lit(1), F.ceil(F.length("x") / F.col("w"))).cast("int")
+    pages = t.select(F.col("doc_id").cast("string").alias("doc_id"), "x", "w", F.explode(F.sequence(F.lit(1), last)).alias("page"))
+    text = F.substring("x", (F.col("page") - 1) * F.col("w") + 1, F.col("w"))
+    pages = pages.select("doc_id", "page", text.alias("text"), text.alias("markdown"))
+    return pdf.documents_from_pages(pages).select("doc_id", "page_count", "is_scanned")
+
+
 @_query(f"SELECT event_id AS id, list_contains({_LIST(('hiring_surge', 'asset_class_pivot', 'geographic_expansion', 'permit_volume_anomaly'))}, CASE event_type WHEN 'click' THEN 'hiring_surge' ELSE 'x' END) AS is_lead, dayname(ts) AS day FROM events")
 def lead_types(spark, d):
     r = digest.ranked(P.signals(spark, d))

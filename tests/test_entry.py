@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from plinth.plans import catalogue, more  # noqa: F401  more registers its queries
+from plinth.plans import proxies as P
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -49,3 +50,14 @@ def test_page_split_reads_the_whole_text_of_every_document(spark, duck):
         want[k] = want.get(k, 0) + (n > 0) + max(0, -(-(n - 346) // 308))
     got = catalogue.QUERIES["page_split_chunks_whole"](spark, SF).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in got} == {k: n for k, n in want.items() if n}
+
+
+def test_queries_meet_all_rows(spark, duck):
+    """As many permits and documents as there are; both kinds of document and of parcel."""
+    parcels = catalogue.QUERIES["parcel_owner_enrich_all"](spark, SF).collect()
+    assert len(parcels) == P.permits(spark, SF).count() and {r.parcel_id is None for r in parcels} == {True, False}
+    scanned = catalogue.QUERIES["scanned_documents_all"](spark, SF).collect()
+    assert len(scanned) == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
+    assert len({r.page_count for r in scanned}) > 3 and {r.is_scanned for r in scanned} == {True, False}
+    surges = {r.firm_id % 3 for r in catalogue.QUERIES["careers_surge_all"](spark, SF).collect()}
+    assert surges == {0, 1, 2}
