@@ -117,13 +117,53 @@ def grouped(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield int(at), pa.Table.from_batches(held)
 
 
-def read_rows(path: str, columns: list[str]) -> pa.Table | None:
-    """On an executor: the Parquet rows in a shared folder; None where there is none."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(path)
-    if store.get_file_info(at).type == fs.FileType.NotFound:
-        return None
-    files = [f for f in store.get_file_info(fs.FileSelector(at)) if f.path.endswith(".parquet")]
-    return pa.concat_tables([pq.ParquetFile(store.open_input_file(f.path)).read(columns) for f in files]) if files else None
+def write_answers(answers: DataFrame, path: str, parts: int) -> None:
+    """Write rows (part, block, bucket, …) so that each part, a partition of the passes over a table, finds its own in one file, sorted by block and bucket.
+
+    The rows are shuffled by part first: a file for each part, however many buckets
+    answered. Negative parts are notes that no pass reads by part; they are spread by bucket.
+    """
+    to = F.when(F.col("part") < 0, F.pmod("bucket", F.lit(parts))).otherwise(F.pmod("part", F.lit(parts)))
+    met = answers.repartitionById(parts, to.cast("int")).sortWithinPartitions("part", "block", "bucket")
+    met.write.partitionBy("part").parquet(path)
+
+
+class Answers:
+    """On an executor: the answers for this task's blocks, read on as the blocks come."""
+
+    def __init__(self, path: str, names: list[str], rows: int = 256):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        folder = f"{path}/part={TaskContext.get().partitionId()}"
+        store, at = fs.FileSystem.from_uri(folder)
+        found = store.get_file_info(fs.FileSelector(at, allow_not_found=True))
+        files = [f.path for f in found if f.path.endswith(".parquet")]
+        if len(files) > 1:
+            raise RuntimeError(f"more than one file of answers in {folder}")
+        self.batches = iter(pq.ParquetFile(store.open_input_file(files[0])).iter_batches(rows, columns=names)) if files else iter(())
+        self.names, self.held = names, None
+
+    def of(self, block: int) -> list[list]:
+        """The columns of a block's rows, without the block's number; blocks are asked for in ascending order."""
+        found = []
+        while True:
+            if self.held is None:
+                self.held = next(self.batches, None)
+                if self.held is None:
+                    break
+            numbers = column(self.held, "block").to_numpy()
+            a, b = (int(x) for x in numbers.searchsorted([block, block + 1]))
+            if b > a:
+                found.append(self.held.slice(a, b - a))
+            if b < len(numbers):
+                self.held = self.held.slice(b)
+                break
+            self.held = None
+        return [[v for part in found for v in column(part, name).to_pylist()] for name in self.names if name != "block"]
+
+
+def parts_of(df: DataFrame) -> int:
+    """How many partitions a pass over ``df``, a stored table, has."""
+    return df.rdd.getNumPartitions()

@@ -2,8 +2,9 @@
 
 A suffix is of type L if it is larger than the one after it, else S; an S suffix after
 an L one starts a star substring. Star substrings are sorted by induction, named, and
-their names sorted by recursion (in memory as soon as they fit); from the sorted star suffixes, one pass in ascending
-order induces all L suffixes and one in descending order all S suffixes.
+their names sorted by recursion, whose base case are BASE names; from the sorted star
+suffixes, one pass in ascending order induces all L suffixes and one in descending order
+all S suffixes.
 
 Both passes run on a priority queue of tuples (key, position, common prefix), which
 keeps ranges of keys apart and puts them on disk when its memory is used up. Tuples are
@@ -19,21 +20,24 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Tuples that are popped at once, at most; tuples that a queue holds in memory.
-BULK, HELD = 1 << 17, 4 << 20
+#: Tuples that are popped at once, at most; tuples that a queue holds in memory; names that the recursion's base case sorts.
+BULK, HELD, BASE = 1 << 17, 1 << 19, 1 << 18
 UNKNOWN, FAR = -1, 1 << 30
 
 
 class DiskQueue:
     """A priority queue of (key, position, common prefix); equal keys leave in the order in which they came.
 
-    ``cuts`` are the first keys of its ranges. ``spill`` stores the bytes of a run
-    outside memory and returns a function that reads them back, once.
+    ``cuts`` are the first keys of its ranges. ``spill`` stores bytes outside memory and
+    returns a function (offset, length) that reads a part of them back; each part is read
+    once, and with length 0 the function removes what was stored. What a queue holds of
+    ranges that aren't being popped yet goes there, as one piece sorted by range.
     """
 
-    def __init__(self, cuts: np.ndarray, spill: Callable[[bytes], Callable[[], bytes]] | None = None, held: int = HELD):
+    def __init__(self, cuts: np.ndarray, spill: Callable[[bytes], Callable[[int, int], bytes]] | None = None, held: int = HELD):
         self.cuts, self.spill, self.limit = cuts, spill, held
         self.parts: list[list] = [[] for _ in cuts]
+        self.later: list = []
         self.now, self.held = 0, 0
         steps = np.diff(cuts[1:])
         #: Where ranges hold one key each, a key's range follows from it.
@@ -47,33 +51,60 @@ class DiskQueue:
     def push(self, key: np.ndarray, at: np.ndarray, shared: np.ndarray) -> None:
         if not len(key):
             return
+        if self.now + 1 < len(self.parts):
+            later = key >= self.cuts[self.now + 1]
+            if later.all():
+                self.later.append((key, at, shared))
+            else:
+                now = ~later
+                self.parts[self.now].append((key[now], at[now], shared[now]))
+                if later.any():
+                    self.later.append((key[later], at[later], shared[later]))
+        else:
+            self.parts[self.now].append((key, at, shared))
+        self.held += len(key)
+        if self.spill and self.held > self.limit:
+            self._deal()
+            self._to_disk()
+
+    def _deal(self) -> None:
+        """Put what came for later ranges into these."""
+        if not self.later:
+            return
+        key, at, shared = (np.concatenate(x) for x in zip(*self.later, strict=True))
+        self.later = []
         if self.shift is None:
             part = (np.searchsorted(self.cuts, key, "right") - 1).astype(np.uint16)
         else:
             part = np.clip(key - self.shift, 0, len(self.parts) - 1).astype(np.uint16)
-        if part[0] != part[-1] or (part != part[0]).any():
-            order = np.argsort(part, kind="stable")
-            key, at, shared, part = key[order], at[order], shared[order], part[order]
-        starts = np.flatnonzero(np.diff(part, prepend=part[0] + 1 if part[0] < 65535 else 0))
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
+        order = np.argsort(part, kind="stable")
+        key, at, shared, part = key[order], at[order], shared[order], part[order]
+        starts = np.flatnonzero(np.diff(part.astype(np.int32), prepend=-1)).tolist()
+        for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
             self.parts[part[a]].append((key[a:b], at[a:b], shared[a:b]))
-        self.held += len(key)
-        if self.spill and self.held > self.limit:
-            self._to_disk()
 
     def _to_disk(self) -> None:
+        data, open_ = [], []
         for k in range(self.now + 1, len(self.parts)):
             run = [x for x in self.parts[k] if not callable(x)]
             if run:
-                data = [np.concatenate(x) for x in zip(*run, strict=True)]
-                back = self.spill(b"".join(x.tobytes() for x in data))
-                n = len(data[0])
-                # Runs stand in the order in which they came.
-                self.parts[k] = [x for x in self.parts[k] if callable(x)] + [lambda back=back, n=n: self._from_disk(back(), n)]
-                self.held -= n
+                data.append(b"".join(np.concatenate(x).tobytes() for x in zip(*run, strict=True)))
+                open_.append(k)
+        if not open_:
+            return
+        back, at, left = self.spill(b"".join(data)), 0, [len(open_)]
+        for k, piece in zip(open_, data, strict=True):
+            # Runs stand in the order in which they came.
+            self.parts[k] = [x for x in self.parts[k] if callable(x)] + [lambda at=at, size=len(piece): self._from_disk(back, at, size, left)]
+            at += len(piece)
+            self.held -= len(piece) // 12
 
     @staticmethod
-    def _from_disk(data: bytes, n: int):
+    def _from_disk(back, at: int, size: int, left: list[int]):
+        data, n = back(at, size), size // 12
+        left[0] -= 1
+        if not left[0]:
+            back(0, 0)
         return tuple(np.frombuffer(data, np.int32, n, k * n) for k in (0, 4, 8))
 
     def first(self, n: int):
@@ -82,7 +113,10 @@ class DiskQueue:
             fresh = self.parts[self.now]
             if fresh:
                 self.parts[self.now] = []
-                runs = [x() if callable(x) else x for x in fresh]
+                runs = []
+                for x in fresh:
+                    runs.append(x() if callable(x) else x)
+                    self.held += len(runs[-1][0]) if callable(x) else 0
                 key, at, shared = (np.concatenate(x) for x in zip(self.head, *runs, strict=True))
                 if (key[1:] < key[:-1]).any():
                     order = np.argsort(key, kind="stable")
@@ -92,6 +126,7 @@ class DiskQueue:
                 return tuple(x[:n] for x in self.head)
             if self.now + 1 == len(self.parts):
                 return None
+            self._deal()
             self.now += 1
 
     def drop(self, n: int) -> None:
@@ -261,12 +296,12 @@ def _sorted_stars(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray, cuts, s
     order = np.concatenate([*found, stars[-1:]])[::-1]  # the last suffix is induced by none; it is the smallest
     names = _names(text, stars, order)
     if int(names.max()) + 1 < len(names):
-        order = stars[doubled(names) if len(names) <= held else suffix_array(names, spill, held)]
+        order = stars[doubled(names) if len(names) <= min(held, BASE) else suffix_array(names, spill, held)]
     return order
 
 
 def doubled(names: np.ndarray) -> np.ndarray:
-    """Suffixes in ascending order by prefix doubling, in memory: where the recursion ends. The last name is the smallest and occurs once."""
+    """Suffixes in ascending order by prefix doubling: the recursion's base case. The last name is the smallest and occurs once."""
     times = np.bincount(names)
     rank = (np.cumsum(times) - times)[names]
     open_ = np.flatnonzero((times > 1)[names])

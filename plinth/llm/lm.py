@@ -6,21 +6,23 @@ up the counts and sends them back to the blocks that asked, in the order they as
 in; a second pass over the same blocks reads them. So counts cover every word of every
 text, no table of words is broadcast, and no word is a hot key.
 
-Model. Its outputs are the commonest words, the end of a text, and one class for all
-other words, inside which a word has its add-one share. Two words of context predict
-an output vector: the sum of a vector for each, by position; the score of an output is
-its dot product with that vector, plus a bias. Context words beyond the commonest are
-told apart by their last bytes. Training is in numpy, over all training texts: each
-task runs minibatches in which all positions share their noise words, so that both
-passes are matrix products, and the tasks' parameters are averaged. For scoring, the
+Model. Its outputs are the commonest words, the end of a text, and classes of all other
+words by their last two bytes; inside a class a word has its add-one share. Two words of
+context, numbered in the same way, predict an output vector: the sum of a vector for
+each, by position; the score of an output is its dot product with that vector, plus a
+bias. Training is in numpy, over all training texts, in rounds: in each, every task
+runs minibatches over its share of the round's texts, in which all positions share their
+noise words, so that both passes are matrix products; then the tasks' parameters and
+step sizes are averaged, and the next round starts from the average. For scoring, the
 normaliser of each distinct context of a block is computed by matrix products, so the
-probabilities sum to one over all known words and one unknown word.
+probabilities sum to one over all known words and one unknown word of each class.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from heapq import nsmallest
 from itertools import count
 from typing import NamedTuple
 
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import blocks, column, forget, grouped, map_arrow, read_rows, shared_dir, stored, utf8
+from plinth.llm.common import Answers, blocks, column, forget, grouped, map_arrow, parts_of, shared_dir, stored, utf8, write_answers
 
 #: Text in a block; text for each bucket of words.
 BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 96 << 20
@@ -38,7 +40,7 @@ MOD, HELD = 7, 2
 
 
 class Shape(NamedTuple):
-    """outputs: words with an output of their own; endings: classes of other context words; size: of vectors."""
+    """outputs: words with an output of their own; endings: classes of other words; size: of vectors; rounds: averagings."""
 
     outputs: int = 768
     endings: int = 256
@@ -46,6 +48,7 @@ class Shape(NamedTuple):
     noise: int = 64
     batch: int = 1024
     rate: float = 0.08
+    rounds: int = 3
     seed: int = 5
 
 
@@ -87,9 +90,12 @@ def _ask(n_buckets: int):
                 if not out and len(ids):
                     np.add.at(seen, ids, 1)
             cuts = np.flatnonzero(np.diff(found.bucket[found.order], prepend=-1, append=-1)).tolist() if found.words else [0]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                part = found.order[a:b]
-                yield _row(bucket=int(found.bucket[part[0]]), block=block, words=b" ".join([found.words[i] for i in part.tolist()]), counts=seen[part].tobytes(), ends=0, tokens=0)
+            for k in range(0, len(cuts) - 1, _ROWS):
+                own = [found.order[a:b] for a, b in zip(cuts[k : k + _ROWS], cuts[k + 1 : k + _ROWS + 1], strict=False)]
+                yield _rows(
+                    bucket=[int(found.bucket[p[0]]) for p in own], block=[block] * len(own), words=[b" ".join([found.words[i] for i in p.tolist()]) for p in own],
+                    counts=[seen[p].tobytes() for p in own], ends=[0] * len(own), tokens=[0] * len(own),
+                )
             yield _row(bucket=-1, block=block, words=b"", counts=b"", ends=int((~held).sum()), tokens=int(seen.sum()))
 
     return run
@@ -98,13 +104,26 @@ def _ask(n_buckets: int):
 _ASKED = "bucket int, block long, words binary, counts binary, ends long, tokens long"
 
 
-def _row(**values) -> pa.RecordBatch:
+#: Rows in a batch that leaves a task.
+_ROWS = 512
+
+
+def _rows(**values) -> pa.RecordBatch:
     kinds = {"bucket": pa.int32(), "block": pa.int64(), "ends": pa.int64(), "tokens": pa.int64(), "part": pa.int32()}
-    return pa.RecordBatch.from_pydict({k: pa.array([v], kinds.get(k, pa.binary())) for k, v in values.items()})
+    return pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in values.items()})
+
+
+def _row(**values) -> pa.RecordBatch:
+    return _rows(**{k: [v] for k, v in values.items()})
 
 
-def _answer(top: int):
-    """Totals of a bucket, back to each block; its commonest words (block -1) with its number of known words."""
+def ending(word: bytes, endings: int) -> int:
+    """The class of a word that has no output of its own."""
+    return zlib.crc32(word[-2:]) % endings
+
+
+def _answer(top: int, endings: int):
+    """Totals of a bucket, back to each block; as part -1 its commonest words, and its words and their tokens by class."""
 
     def run(batches):
         for bucket, rows in grouped(batches, "bucket"):
@@ -115,11 +134,43 @@ def _answer(top: int):
                 asked.append(names)
                 for w, n in zip(names, np.frombuffer(counts.as_py(), np.int64).tolist(), strict=True):
                     total[w] += n
-            for block, names in zip(rows.column("block").to_pylist(), asked, strict=True):
-                yield _row(part=block >> 24, block=block, bucket=bucket, words=b"", counts=np.fromiter(map(total.__getitem__, names), np.int64, len(names)).tobytes(), tokens=0)
+            numbers = rows.column("block").to_pylist()
+            for k in range(0, len(numbers), _ROWS):
+                own, names = numbers[k : k + _ROWS], asked[k : k + _ROWS]
+                yield _rows(
+                    part=[n >> 24 for n in own], block=own, bucket=[bucket] * len(own), words=[b""] * len(own),
+                    counts=[np.fromiter(map(total.__getitem__, x), np.int64, len(x)).tobytes() for x in names], tokens=[0] * len(own),
+                )
             known = [(n, w) for w, n in total.items() if n]
-            known.sort(key=lambda x: (-x[0], x[1]))
-            yield _row(part=-1, block=-1, bucket=bucket, words=b" ".join(w for _, w in known[:top]), counts=np.array([n for n, _ in known[:top]], np.int64).tobytes(), tokens=len(known))
+            by_class = np.zeros((2, endings), np.int64)
+            kinds = np.fromiter((ending(w, endings) for _, w in known), np.int64, len(known))
+            np.add.at(by_class[0], kinds, np.fromiter((n for n, _ in known), np.int64, len(known)))
+            by_class[1] = np.bincount(kinds, minlength=endings)
+            best = nsmallest(top, known, key=_commonest)
+            yield _row(part=-1, block=0, bucket=bucket, words=b" ".join(w for _, w in best), counts=by_class.tobytes() + np.array([n for n, _ in best], np.int64).tobytes(), tokens=0)
+
+    return run
+
+
+def _commonest(word: tuple[int, bytes]) -> tuple[int, bytes]:
+    return -word[0], word[1]
+
+
+def _merge(top: int, endings: int):
+    """Notes of buckets (part -1, part -2) as one of each kind for a task."""
+
+    def run(batches):
+        best: list[tuple[int, bytes]] = []
+        by_class = np.zeros((2, endings), np.int64)
+        ends = tokens = 0
+        for batch in batches:
+            for words, counts, e, t in zip(*(column(batch, c).to_pylist() for c in ("words", "counts", "block", "tokens")), strict=True):
+                ends, tokens = ends + e, tokens + t
+                if counts:
+                    data = np.frombuffer(counts, np.int64)
+                    by_class += data[: 2 * endings].reshape(2, endings)
+                    best = nsmallest(top, best + list(zip(data[2 * endings :].tolist(), words.split(b" "), strict=False)), key=_commonest)
+        yield _row(part=0, block=ends, bucket=0, words=b" ".join(w for _, w in best), counts=by_class.tobytes() + np.array([n for n, _ in best], np.int64).tobytes(), tokens=tokens)
 
     return run
 
@@ -135,38 +186,30 @@ class Vocabulary(NamedTuple):
     tokens: int  # N, ends too
     types: int  # V, the end too
     ends: int
+    other_tokens: np.ndarray  # of each class
+    other_types: np.ndarray
 
-    def classes(self, shape: Shape):
-        """Numbers of words: as outputs (end: 0, others: 1) and as context (start: 0)."""
-        return {w: k + 2 for k, w in enumerate(self.words)}
-
-    @property
-    def other_tokens(self) -> int:
-        return self.tokens - self.ends - int(self.counts.sum())
-
-    @property
-    def other_types(self) -> int:
-        return self.types - bool(self.ends) - len(self.words)
+    def numbers(self) -> dict[bytes, int]:
+        """Numbers of words: 0 is the end, or as context the start of a text; then the classes; then the commonest words."""
+        return {w: k + 1 + len(self.other_types) for k, w in enumerate(self.words)}
 
     def unigram(self) -> np.ndarray:
-        """Counts of the outputs; the class of other words holds the unknown one."""
-        return np.concatenate([[self.ends], [self.other_tokens + 1], self.counts]).astype(np.float64)
+        """Counts of the outputs; each class has one unknown word."""
+        return np.concatenate([[self.ends], self.other_tokens + 1, self.counts]).astype(np.float64)
 
 
-def _numbers(words: list[bytes], known: dict[bytes, int], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """For distinct words: output numbers and context numbers."""
-    out = np.fromiter((known.get(w, 1) for w in words), np.int32, len(words))
-    base = len(known) + 2
-    context = np.array([k if k > 1 else base + zlib.crc32(w[-2:]) % shape.endings for k, w in zip(out.tolist(), words, strict=True)], np.int32)
-    return out, context
+def _numbers(words: list[bytes], known: dict[bytes, int], shape: Shape) -> np.ndarray:
+    """For distinct words: their numbers as outputs and as context."""
+    return np.fromiter((known.get(w) or 1 + ending(w, shape.endings) for w in words), np.int32, len(words))
 
 
-def _stream(found: Indexed, out: np.ndarray, context: np.ndarray, which) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _stream(found: Indexed, number: np.ndarray, which) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all positions of the texts in ``which``: output, the word before, the one before that."""
     y, near, far = [], [], []
     for ids in (found.texts[i] for i in which):
-        c = np.concatenate([np.zeros(2, np.int32), context[ids]])
-        y.append(np.append(out[ids], np.int32(0)))
+        own = number[ids]
+        c = np.concatenate([np.zeros(2, np.int32), own])
+        y.append(np.append(own, np.int32(0)))
         near.append(c[1:])
         far.append(c[:-1])
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int32) for x in (y, near, far))
@@ -182,22 +225,24 @@ class LogBilinear:
         self.far = (rng.standard_normal((n_context, shape.size)) * 0.1).astype(np.float32)
         self.out = (rng.standard_normal((n_out, shape.size)) * 0.1).astype(np.float32)
         self.bias = bias.astype(np.float32)
+        self.squares = [np.full(p.shape, 0.1, np.float32) for p in self.parts()]
 
     def parts(self) -> list[np.ndarray]:
         return [self.near, self.far, self.out, self.bias]
 
-    def pack(self) -> bytes:
-        return np.concatenate([p.ravel() for p in self.parts()]).astype(np.float64).tobytes()
+    def pack(self) -> np.ndarray:
+        """Parameters and step sizes, as one array."""
+        return np.concatenate([p.ravel() for p in self.parts() + self.squares]).astype(np.float64)
 
     def load(self, flat: np.ndarray) -> LogBilinear:
-        at = 0
-        for name in ("near", "far", "out", "bias"):
-            p = getattr(self, name)
-            setattr(self, name, flat[at : at + p.size].reshape(p.shape).astype(np.float32))
+        at, parts = 0, []
+        for p in self.parts() + self.squares:
+            parts.append(flat[at : at + p.size].reshape(p.shape).astype(np.float32))
             at += p.size
+        self.near, self.far, self.out, self.bias, *self.squares = parts
         return self
 
-    def train(self, y: np.ndarray, near: np.ndarray, far: np.ndarray, noise_p: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray]) -> None:
+    def train(self, y: np.ndarray, near: np.ndarray, far: np.ndarray, noise_p: np.ndarray, rng: np.random.Generator) -> None:
         """One pass of noise-contrastive estimation in shuffled minibatches, with AdaGrad steps."""
         s = self.shape
         log_noise = np.log(s.noise * noise_p).astype(np.float32)
@@ -214,7 +259,7 @@ class LogBilinear:
             to_out = np.concatenate([pull[:, None] * q, push.T @ q])
             to_bias = np.concatenate([pull, push.sum(0)])
             rows = np.concatenate([w, drawn])
-            for p, g2, i, g in zip(self.parts(), squares, (a, b, rows, rows), (to_q, to_q, to_out, to_bias), strict=True):
+            for p, g2, i, g in zip(self.parts(), self.squares, (a, b, rows, rows), (to_q, to_q, to_out, to_bias), strict=True):
                 self._step(p, g2, i, g)
 
     def _step(self, p: np.ndarray, g2: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
@@ -243,26 +288,25 @@ class LogBilinear:
 
 def _fresh(v: Vocabulary, shape: Shape) -> LogBilinear:
     p = v.unigram() + 1e-3
-    return LogBilinear(len(p), len(v.words) + 2 + shape.endings, shape, np.log(p / p.sum()))
+    return LogBilinear(len(p), len(p), shape, np.log(p / p.sum()))
 
 
-def _train(sent, shape: Shape):
-    """Each task's parameters after a pass over its training texts, times its positions."""
+def _train(sent, start, shape: Shape, number: int):
+    """Each task's parameters after a pass over its training texts of a round, times its positions."""
 
     def run(batches):
         v = sent.value
-        known = v.classes(shape)
+        known, n = v.numbers(), 0
         noise = (v.unigram() + 1e-3) ** 0.75
         noise /= noise.sum()
-        model, n = _fresh(v, shape), 0
-        squares = [np.full(p.shape, 0.1, np.float32) for p in model.parts()]
+        model = _fresh(v, shape).load(start.value)
         for block, rows in blocks(batches, "text", BLOCK_BYTES):
             found = index_block(rows.column("text").to_pylist(), 1)
-            y, near, far = _stream(found, *_numbers(found.words, known, shape), range(len(found.texts)))
-            model.train(y, near, far, noise, np.random.default_rng([shape.seed, block]), squares)
+            y, near, far = _stream(found, _numbers(found.words, known, shape), range(len(found.texts)))
+            model.train(y, near, far, noise, np.random.default_rng([shape.seed, number, block]))
             n += len(y)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(np.frombuffer(model.pack()) * n).tobytes()], pa.binary())], names=["n", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(model.pack() * n).tobytes()], pa.binary())], names=["n", "sums"])
 
     return run
 
@@ -278,30 +322,25 @@ def _add(batches):
 
 def _score(sent, weights, shape: Shape, n_buckets: int, answers: str):
     def run(batches):
-        from pyspark import TaskContext
-
         v = sent.value
-        known, model = v.classes(shape), _fresh(v, shape).load(weights.value)
+        known, model = v.numbers(), _fresh(v, shape).load(weights.value)
         got = None
         for block, rows in blocks(batches, "text", BLOCK_BYTES):
-            if got is None:
-                got = read_rows(f"{answers}/part={TaskContext.get().partitionId()}", ["block", "bucket", "counts"])
-                got = got.sort_by([("block", "ascending"), ("bucket", "ascending")]) if got else None
+            got = got or Answers(answers, ["block", "bucket", "counts"])
             found = index_block(rows.column("text").to_pylist(), n_buckets)
             c = np.zeros(len(found.words), np.int64)
-            if len(c):
-                told = got.filter(pa.compute.equal(got.column("block"), block)).column("counts").to_pylist() if got else []
-                told = np.frombuffer(b"".join(told), np.int64)
-                if len(told) != len(c):
-                    raise RuntimeError("the blocks differ from those of the first pass: score a stored table")
-                c[found.order] = told
-            out, context = _numbers(found.words, known, shape)
-            y, near, far = _stream(found, out, context, range(len(found.texts)))
+            told = np.frombuffer(b"".join(got.of(block)[1]), np.int64)
+            if len(told) != len(c):
+                raise RuntimeError("the blocks differ from those of the first pass: score a stored table")
+            c[found.order] = told
+            number = _numbers(found.words, known, shape)
+            y, near, far = _stream(found, number, range(len(found.texts)))
             size = np.array([len(t) + 1 for t in found.texts])
             first = np.cumsum(size) - size
             base = np.log10((c + 1) / (v.tokens + v.types + 1))
             base_end = np.log10((v.ends + 1) / (v.tokens + v.types + 1))
-            inside = np.where(out == 1, np.log((c + 1) / (v.other_tokens + v.other_types + 1)), 0.0)
+            kind = np.clip(number - 1, 0, shape.endings - 1)
+            inside = np.where(number <= shape.endings, np.log((c + 1) / (v.other_tokens[kind] + v.other_types[kind] + 1)), 0.0)
             token_p = model.log_p(y, near.astype(np.int64), far.astype(np.int64))
             token_p += np.concatenate([np.append(inside[t], 0.0) for t in found.texts])
             yield from pa.Table.from_arrays(
@@ -329,34 +368,40 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", shape: S
     that training texts hold, train_tokens is their number of tokens N, base_score is the
     sum of log10((c + 1) / (N + V + 1)) and score the model's log10 probability of the whole
     text. Without training texts all words are unknown. An empty table gives no rows; other
-    columns are not read. ``docs`` must be a stored table: it is read three times in the
-    same partitions.
+    columns are not read. ``docs`` must be a stored table: it is read once for the counts, once
+    for each round of training and once for scoring, in the same partitions.
+
+    The network has a fixed size, whatever the corpus: ``shape.outputs`` words have vectors
+    of their own, all other words share those of their class, one of ``shape.endings``, and
+    are told apart inside it by their counts only. The counts cover all words and grow with
+    the corpus. Scores depend slightly on how texts are dealt to tasks, as each task trains
+    on its own between averagings.
     """
     shape = shape or Shape()
     spark = docs.sparkSession
     sc = spark.sparkContext
     rows = docs.select(F.col(key).alias("doc_id"), held_out(key).alias("held"), utf8(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // BUCKET_BYTES) + 1)
+    n_buckets, parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // BUCKET_BYTES) + 1), parts_of(rows)
     asked = map_arrow(rows, _ask(n_buckets), _ASKED)
     path = shared_dir(spark, "counts")
     # Totals take the way of the counts, so that the texts are read once for both.
     met = asked.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    map_arrow(met, _both(shape.outputs), _ANSWERED).write.partitionBy("part").parquet(path)
+    write_answers(map_arrow(met, _both(shape), _ANSWERED), path, parts)
     # Empty tables write no files, so the schema is given.
-    told = spark.read.schema(_ANSWERED).parquet(path)
-    ends, tokens = told.where("part = -2").agg(F.sum("block"), F.sum("tokens")).first()
-    types = told.where("part = -1").agg(F.sum("tokens")).first()[0] or 0
-    best: list[tuple[int, bytes]] = []
-    for words, counts in told.where("part = -1").select("words", "counts").toLocalIterator():
-        if words:
-            best += [(-int(n), w) for n, w in zip(np.frombuffer(counts, np.int64), bytes(words).split(b" "), strict=True)]
-            best = sorted(best)[: shape.outputs]
-    v = Vocabulary([w for _, w in best], np.array([-n for n, _ in best], np.int64), (tokens or 0) + (ends or 0), types + bool(ends), ends or 0)
-    sent = sc.broadcast(v)
-    trained = map_arrow(rows.where(~F.col("held")).select("text"), _train(sent, shape), "n long, sums binary")
-    sums = map_arrow(trained.repartition(min(32, n_buckets)), _add, "n long, sums binary").collect()
-    flat = sum(np.frombuffer(r.sums) for r in sums) / sum(r.n for r in sums) if sums else np.frombuffer(_fresh(v, shape).pack())
+    notes = spark.read.schema(_ANSWERED).parquet(path).where("part < 0")
+    v = _vocabulary(map_arrow(notes.repartition(_MERGERS), _merge(shape.outputs, shape.endings), _ANSWERED).collect(), shape)
+    sent, flat = sc.broadcast(v), _fresh(v, shape).pack()
+    for number in range(shape.rounds):
+        own = rows.where(~F.col("held") & (F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(shape.rounds)) == number))
+        sums = map_arrow(own.select("text"), _train(sent, sc.broadcast(flat), shape, number), "n long, sums binary")
+        n = parts
+        while n > _MERGERS:
+            n = max(_MERGERS, n // 64)
+            sums = map_arrow(sums.repartition(n), _add, "n long, sums binary")
+        found = sums.collect()
+        if found:
+            flat = sum(np.frombuffer(r.sums) for r in found) / sum(r.n for r in found)
     kind = "doc_id " + docs.schema[key].dataType.simpleString() + ", held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     # Stored, so that the blocks are those of this plan, whatever is made of the result.
     out = stored(map_arrow(rows, _score(sent, sc.broadcast(flat), shape, n_buckets, path), kind), "scores")
@@ -364,9 +409,28 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", shape: S
     return out
 
 
-def _both(top: int):
+#: Tasks whose notes or parameters, of bounded size each, go to the driver.
+_MERGERS = 8
+
+
+def _vocabulary(notes: list, shape: Shape) -> Vocabulary:
+    best: list[tuple[int, bytes]] = []
+    by_class, ends, tokens = np.zeros((2, shape.endings), np.int64), 0, 0
+    for r in notes:
+        data = np.frombuffer(r.counts, np.int64)
+        by_class += data[: 2 * shape.endings].reshape(2, shape.endings)
+        best += zip(data[2 * shape.endings :].tolist(), bytes(r.words).split(b" "), strict=False)
+        ends, tokens = ends + r.block, tokens + r.tokens
+    best = nsmallest(shape.outputs, best, key=_commonest)
+    types = int(by_class[1].sum()) + bool(ends)
+    for n, w in best:
+        by_class[:, ending(w, shape.endings)] -= (n, 1)
+    return Vocabulary([w for _, w in best], np.array([n for n, _ in best], np.int64), tokens + ends, types, ends, by_class[0], by_class[1])
+
+
+def _both(shape: Shape):
     """Answers for buckets; block totals (bucket -1) are added up as part -2."""
-    answer = _answer(top)
+    answer = _answer(shape.outputs, shape.endings)
 
     def run(batches):
         def words():

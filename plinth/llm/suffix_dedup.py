@@ -9,7 +9,8 @@
    a block goes once, with its smallest doc_id, to the shard of its anchor, so all
    windows that can be equal meet in one shard, and a passage that a third of the
    documents share comes once from each block.
-4. Suffixes. A shard sorts the suffixes of its distinct strings by external induced
+4. Suffixes. A shard sorts the suffixes of its distinct strings (but those that are
+   alone at their anchor, which share no window with another) by external induced
    sorting (``induced.py``). Neighbours with a common prefix of at least ``length``
    bytes hold the same window; the smallest doc_id among them goes back to the blocks.
 5. Removal. Each block covers the windows for which that doc_id is smaller than the
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import blocks, column, forget, grouped, map_arrow, read_rows, shared_dir, stored, utf8
+from plinth.llm.common import Answers, blocks, column, forget, grouped, map_arrow, parts_of, shared_dir, stored, utf8, write_answers
 from plinth.llm.induced import HELD, suffixes_with_prefixes
 
 #: Bytes of an anchor (three words of 8: fewer are often shared by chance); text in a block; text for each bucket of anchors.
@@ -122,6 +123,24 @@ def _table(rows: list[dict], schema: pa.Schema):
     return pa.RecordBatch.from_pylist(rows, schema)
 
 
+#: Rows in a batch that leaves a task: a block has a row for each bucket that it meets.
+_ROWS = 512
+
+
+def _tables(rows, schema: pa.Schema):
+    """The rows in batches, so that a row costs little where there are many buckets."""
+    held: list[dict] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row.values() if isinstance(v, bytes))
+        if len(held) >= _ROWS or size >= BLOCK_BYTES // 2:
+            yield _table(held, schema)
+            held, size = [], 0
+    if held:
+        yield _table(held, schema)
+
+
 class _Block:
     """A block of rows with those left out that are copies of a smaller doc_id's text."""
 
@@ -136,10 +155,15 @@ class _Block:
 
 
 def _copies(path: str) -> np.ndarray:
-    from pyspark import TaskContext
+    """The rows of this task's partition that are copies, all of which its file lists."""
+    rows = Answers(path, ["block", "rows"]).of(0)[0]
+    return np.concatenate([np.frombuffer(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
 
-    rows = read_rows(f"{path}/part={TaskContext.get().partitionId()}", ["row"])
-    return rows.column("row").to_numpy() if rows else np.zeros(0, np.int64)
+
+def _pack_copies(batches):
+    for part, rows in grouped(batches, "part"):
+        for batch in rows.to_batches(max_chunksize=1 << 16):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([0], pa.int64()), "bucket": pa.array([0], pa.int32()), "rows": pa.array([column(batch, "row").to_numpy().tobytes()], pa.binary())})
 
 
 _ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("marks", pa.binary()), ("docs", pa.binary()), ("also", pa.binary())])
@@ -152,9 +176,13 @@ def _ask_anchors(copies: str, length: int, n_buckets: int):
             runs, ids = _Block(rows, gone).runs(length)
             bucket, mark, least, most = _anchors(runs, ids, n_buckets)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-            for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-                kind, number = np.unique(least[a:b], return_inverse=True)
-                yield _table([{"bucket": int(bucket[a]), "block": block, "marks": mark[a:b].tobytes(), "docs": kind.tobytes() + number.astype(np.uint32).tobytes(), "also": np.packbits(most[a:b] != least[a:b]).tobytes()}], _ASK)
+
+            def asked(block=block, bucket=bucket, mark=mark, least=least, most=most, cuts=cuts):
+                for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+                    kind, number = np.unique(least[a:b], return_inverse=True)
+                    yield {"bucket": int(bucket[a]), "block": block, "marks": mark[a:b].tobytes(), "docs": kind.tobytes() + number.astype(np.uint32).tobytes(), "also": np.packbits(most[a:b] != least[a:b]).tobytes()}
+
+            yield from _tables(asked(), _ASK)
 
     return run
 
@@ -179,36 +207,29 @@ def _answer_anchors(batches):
         met = (np.minimum.reduceat(by, cuts) != np.maximum.reduceat(by, cuts)) | np.logical_or.reduceat(more[order], cuts)
         shared = np.empty(len(mark), bool)
         shared[order] = np.repeat(met, np.diff(np.append(cuts, len(mark))))
-        at = 0
-        for block, m in zip(rows.column("block").to_pylist(), marks, strict=True):
-            yield _table([{"part": block >> 24, "block": block, "bucket": bucket, "data": np.packbits(shared[at : at + len(m)]).tobytes(), "lengths": len(m).to_bytes(8, "little")}], _TOLD)
-            at += len(m)
+        ends = np.cumsum([len(m) for m in marks]).tolist()
+        yield from _tables(
+            (
+                {"part": block >> 24, "block": block, "bucket": bucket, "data": np.packbits(shared[end - len(m) : end]).tobytes(), "lengths": len(m).to_bytes(8, "little")}
+                for block, m, end in zip(rows.column("block").to_pylist(), marks, ends, strict=True)
+            ),
+            _TOLD,
+        )
 
 
-def _told(path: str) -> pa.Table | None:
-    from pyspark import TaskContext
-
-    got = read_rows(f"{path}/part={TaskContext.get().partitionId()}", ["block", "bucket", "data", "lengths"])
-    return got.sort_by([("block", "ascending"), ("bucket", "ascending")]) if got else None
-
-
-def _of_block(got: pa.Table | None, block: int) -> list[tuple[int, bytes, bytes]]:
-    if got is None:
-        return []
-    rows = got.filter(pa.compute.equal(got.column("block"), block))
-    return list(zip(rows.column("bucket").to_pylist(), rows.column("data").to_pylist(), rows.column("lengths").to_pylist(), strict=True))
+_COLUMNS = ["block", "bucket", "data", "lengths"]
 
 
 def _cut_strings(copies: str, told: str, length: int, n_buckets: int, n_shards: int):
     """For each shard: a block's distinct strings and their least doc_ids. Shard -1: which string each run is."""
 
     def run(batches):
-        gone, got = _copies(copies), _told(told)
+        gone, got = _copies(copies), Answers(told, _COLUMNS)
         for block, rows in blocks(batches, "text", BLOCK_BYTES):
             part = _Block(rows, gone)
             runs, ids = part.runs(length)
             _, mark, _, _ = _anchors(runs, ids, n_buckets)
-            bits = [np.unpackbits(np.frombuffer(d, np.uint8), count=int.from_bytes(n, "little")) for _, d, n in _of_block(got, block)]
+            bits = [np.unpackbits(np.frombuffer(d, np.uint8), count=int.from_bytes(n, "little")) for _, d, n in zip(*got.of(block), strict=True)]
             shared = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
             if len(shared) != len(mark):
                 raise RuntimeError("the blocks differ from those of the first pass: dedup a stored table")
@@ -232,9 +253,13 @@ def _cut_strings(copies: str, told: str, length: int, n_buckets: int, n_shards:
             order = np.argsort(shard, kind="stable")
             owner = ids[runs.doc[first]]
             cuts = np.flatnonzero(np.diff(shard[order], prepend=-1)).tolist()
-            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                own = order[a:b]
-                yield _table([{"bucket": int(shard[own[0]]), "block": block, "marks": b"".join([strings[i] for i in own.tolist()]), "docs": owner[own].tobytes(), "also": np.array([len(strings[i]) for i in own.tolist()], np.int32).tobytes()}], _ASK)
+
+            def sent(block=block, strings=strings, shard=shard, order=order, owner=owner, cuts=cuts):
+                for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                    own = order[a:b]
+                    yield {"bucket": int(shard[own[0]]), "block": block, "marks": b"".join([strings[i] for i in own.tolist()]), "docs": owner[own].tobytes(), "also": np.array([len(strings[i]) for i in own.tolist()], np.int32).tobytes()}
+
+            yield from _tables(sent(), _ASK)
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             where = runs.first[pick] - runs.start[runs.doc[pick]]
@@ -311,17 +336,26 @@ def _spill_to(folder: str):
         with store.open_output_stream(name, compression=None) as out:
             out.write(data)
 
-        def back() -> bytes:
-            with store.open_input_stream(name, compression=None) as source:
-                got = source.read()
-            store.delete_file(name)
-            return got
+        def back(at: int, size: int) -> bytes:
+            if not size:
+                store.delete_file(name)
+                return b""
+            with store.open_input_file(name) as source:
+                return source.read_at(size, at)
 
         return back
 
     return spill
 
 
+def _alone(strings: list[bytes], length: int) -> np.ndarray:
+    """True for strings whose anchor no other one has: equal windows have equal anchors, so they share no window with another string."""
+    runs = Runs(strings, length)
+    mark = runs.mark[np.flatnonzero(np.diff(runs.doc, prepend=-1))]  # of each string's first window; all have the same
+    _, back, times = np.unique(mark, return_inverse=True, return_counts=True)
+    return times[back] == 1
+
+
 def _answer_strings(length: int, folder: str, held: int):
     def run(batches):
         for shard, rows in grouped(batches, "bucket"):
@@ -342,14 +376,24 @@ def _answer_strings(length: int, folder: str, held: int):
                     a = b
                 asked.append(np.array(which, np.int64))
             strings = list(number)
-            least = least_owners(strings, np.array(docs, np.int64), length, _spill_to(folder), held)
+            owner = np.array(docs, np.int64)
             windows = np.fromiter(map(len, strings), np.int64, len(strings)) - length + 1
             start = np.cumsum(windows) - windows
-            for block, which in zip(rows.column("block").to_pylist(), asked, strict=True):
-                n = windows[which]
-                flat = least[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]  # a block's windows in this shard
-                cuts = np.flatnonzero(np.diff(flat, prepend=flat[0] ^ 1))
-                yield _table([{"part": block >> 24, "block": block, "bucket": shard, "data": flat[cuts].tobytes(), "lengths": np.concatenate([np.diff(np.append(cuts, len(flat))), n]).astype(np.int32).tobytes() + len(cuts).to_bytes(8, "little")}], _TOLD)
+            least = np.repeat(owner, windows)
+            met = np.flatnonzero(~_alone(strings, length))
+            if len(met):
+                n = windows[met]
+                places = np.repeat(start[met] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                least[places] = least_owners([strings[i] for i in met.tolist()], owner[met], length, _spill_to(folder), held)
+
+            def told(shard=shard, rows=rows, asked=asked, windows=windows, start=start, least=least):
+                for block, which in zip(rows.column("block").to_pylist(), asked, strict=True):
+                    n = windows[which]
+                    flat = least[np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]  # a block's windows in this shard
+                    cuts = np.flatnonzero(np.diff(flat, prepend=flat[0] ^ 1))
+                    yield {"part": block >> 24, "block": block, "bucket": shard, "data": flat[cuts].tobytes(), "lengths": np.concatenate([np.diff(np.append(cuts, len(flat))), n]).astype(np.int32).tobytes() + len(cuts).to_bytes(8, "little")}
+
+            yield from _tables(told(), _TOLD)
 
     return run
 
@@ -372,13 +416,13 @@ def _with_runs(answer):
 
 def _remove(copies: str, told: str, length: int, texts: bool):
     def run(batches):
-        gone, got = _copies(copies), _told(told)
+        gone, got = _copies(copies), Answers(told, _COLUMNS)
         for block, rows in blocks(batches, "text", BLOCK_BYTES):
             part = _Block(rows, gone)
             size = np.fromiter(map(len, part.texts), np.int64, len(part.texts))
             start = np.cumsum(size) - size
             change = np.zeros(int(size.sum()) + 1, np.int32)
-            answers = _of_block(got, block)
+            answers = list(zip(*got.of(block), strict=True))
             if answers:
                 doc, where, place = np.frombuffer(answers[0][1], np.int32).reshape(3, -1)
                 least, windows = [], []
@@ -440,17 +484,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     same = rows.select("id", "row", F.unhex(F.sha2("text", 256)).alias("digest"))
     first = same.groupBy("digest").agg(F.min("id").alias("first"))
     copies = shared_dir(spark, "copies")
-    same.join(first, "digest").where("id > first").select("row", F.shiftright("row", 33).cast("int").alias("part")).write.partitionBy("part").parquet(copies)
+    parts = parts_of(rows)
+    found = same.join(first, "digest").where("id > first").select("row", F.shiftright("row", 33).cast("int").alias("part"))
+    write_answers(map_arrow(found.repartitionById(parts, "part").sortWithinPartitions("part"), _pack_copies, "part int, block long, bucket int, rows binary"), copies, parts)
 
     scan = rows.select("id", "row", "text")
     ask = "bucket int, block long, marks binary, docs binary, also binary"
     asked = map_arrow(scan, _ask_anchors(copies, length, n_buckets), ask).repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket")
     anchors = shared_dir(spark, "anchors")
-    map_arrow(asked, _answer_anchors, _TOLD_KIND).write.partitionBy("part").parquet(anchors)
+    write_answers(map_arrow(asked, _answer_anchors, _TOLD_KIND), anchors, parts)
 
     cut = map_arrow(scan, _cut_strings(copies, anchors, length, n_buckets, n_shards), ask).repartitionById(n_shards, F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("block"), F.lit(n_shards))).otherwise(F.col("bucket")).cast("int")).sortWithinPartitions("bucket")
     strings, spilled = shared_dir(spark, "strings"), shared_dir(spark, "runs")
-    map_arrow(cut, _with_runs(_answer_strings(length, spilled, held)), _TOLD_KIND).write.partitionBy("part").parquet(strings)
+    write_answers(map_arrow(cut, _with_runs(_answer_strings(length, spilled, held)), _TOLD_KIND), strings, parts)
 
     kind = "doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     # Stored, so that the blocks are those of this plan, whatever is made of the result.
