@@ -50,8 +50,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0), payloads=False).where("gap IS NULL")
-    return read.select(
+    read = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0), payloads=False)
+    # A gap in archives just written is a fault, not a page to leave out.
+    damaged = F.raise_error(F.concat(F.lit("damaged archive "), "path", F.lit(": "), "gap"))
+    return read.withColumn("record_type", F.when(F.col("gap").isNotNull(), damaged.cast("string")).otherwise(F.col("record_type"))).select(
         warc.page_of(F.col("record_id")).try_cast("long").alias("page_id"),
         "payload_bytes",
         "payload_digest",

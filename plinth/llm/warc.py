@@ -1,10 +1,14 @@
 """WARC archives: a writer with revisit records and a reader that salvages damaged files.
 
 Each record is a gzip member of its own. Of records with equal payloads one is a
-response and the others are revisits that refer to it. The reader checks members
-(CRC), headers, lengths and digests. After a failed check it searches on, byte by
-byte, for the next gzip magic or WARC version line from which a whole record reads
-well; what lies between is quarantined and logged as a gap with its place and reason.
+response and the others are revisits that refer to it. The reader takes archives of
+gzip members with any number of records, and plain ones, as streams: a member may be
+larger than memory, a record is held only as far as its payload is wanted. It checks
+headers, lengths, digests and each member's CRC. After a failed check it searches on,
+byte by byte, for the next version line (inside a member, too) or gzip magic from which
+a whole record reads well; what lies between is quarantined and logged as a gap with
+its place and reason. Records before a damage stay, also those in the same member, if
+their own digest or the member's CRC vouches for them.
 """
 
 from __future__ import annotations
@@ -27,16 +31,24 @@ from plinth.llm.common import column, map_arrow, shared_dir, stored, utf8
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:page:"
-#: An archive is closed at this size; a record, unpacked, and its header have these at most.
-ARCHIVE_BYTES, RECORD_BYTES, HEADER_BYTES = 64 << 20, 1 << 30, 1 << 20
-_PIECE = 1 << 14
+#: An archive is closed at this size; a header (a long address, say) has this many bytes at most; payloads beyond this are checked but not returned.
+ARCHIVE_BYTES, HEADER_BYTES, PAYLOAD_BYTES = 64 << 20, 256 << 20, 1 << 30
+#: Bytes that are read, or unpacked, at once; bytes behind the reader that it needn't read again to go back.
+_PIECE, _BACK = 1 << 16, 8 << 20
 
 
 class Record(NamedTuple):
-    """One record: payload is None for revisits, which have its size and digest only."""
+    """One record: payload is None for revisits, which have its size and digest only.
+
+    ``offset`` and ``length``: its member, or the plain record, in the archive; of a member's
+    records the last one carries the length, the others have 0, as do those of a damaged
+    member. ``inner`` and ``inner_length``: its bytes in what the member unpacks to.
+    """
 
     offset: int
     length: int
+    inner: int | None
+    inner_length: int | None
     kind: str
     record_id: str
     refers_to: str | None
@@ -47,8 +59,12 @@ class Record(NamedTuple):
 
 
 class Gap(NamedTuple):
+    """Bytes that are quarantined: of the archive, or with ``inner`` of what the member at ``offset`` unpacks to."""
+
     offset: int
     length: int
+    inner: int | None
+    inner_length: int | None
     reason: str
 
 
@@ -88,131 +104,264 @@ def _sha1(value: str | None) -> str | None:
     return value[5:].upper() if value and value[:5].lower() == "sha1:" else None
 
 
-def parse_record(data, offset: int, length: int) -> tuple[Record, int]:
-    """The record at the start of ``data`` and its size; ValueError if it doesn't hold."""
-    if data[: len(VERSION)] != VERSION:
-        raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n", 0, HEADER_BYTES)
-    if end < 0:
-        raise ValueError("no end of the header")
-    head = bytes(data[:end])
-    if re.search(rb"WARC/1\.\d\r\n", head[len(VERSION) :]):
-        raise ValueError("another record begins inside the header")
-    if any(b":" not in line for line in head.split(b"\r\n")[1:]):
-        raise ValueError("a header line is no field")
+class _Stream:
+    """Bytes by their places, read on from a source that can start anew at any place."""
+
+    def __init__(self, source):
+        self.source = source  # place -> a function that reads some bytes from there on, b"" at the end
+        self.data, self.base, self.read, self.ended = bytearray(), 0, source(0), False
+
+    def at(self, place: int, n: int) -> bytes:
+        """n bytes from a place on; fewer at the end."""
+        if place < self.base:
+            self.data, self.base, self.read, self.ended = bytearray(), place, self.source(place), False
+        while self.base + len(self.data) < place + n and not self.ended:
+            more = self.read()
+            self.ended = not more
+            self.data += more
+            behind = min(place, self.base + len(self.data)) - self.base - _BACK
+            if behind > _BACK:
+                del self.data[:behind]
+                self.base += behind
+        start = place - self.base
+        return bytes(self.data[start : start + n])
+
+    def find(self, marks: tuple[bytes, ...], place: int) -> int | None:
+        """The first place from ``place`` on where one of the marks stands."""
+        most = max(map(len, marks)) - 1
+        while True:
+            piece = self.at(place, _PIECE + most)
+            hits = [i for i in map(piece.find, marks) if i >= 0]
+            if hits:
+                return place + min(hits)
+            if len(piece) < _PIECE + most:
+                return None
+            place += _PIECE
+
+
+class _Member:
+    """A gzip member of an archive as a source of unpacked bytes; ``fault`` and ``end`` are known once it is read to its end."""
+
+    def __init__(self, packed: _Stream, start: int):
+        self.packed, self.start, self.end, self.fault = packed, start, None, None
+
+    def source(self, place: int):
+        pieces = self._pieces()
+        left = place
+
+        def read() -> bytes:
+            nonlocal left
+            for piece in pieces:
+                skipped = min(left, len(piece))
+                left -= skipped
+                if len(piece) > skipped:
+                    return piece[skipped:]
+            return b""
+
+        return read
+
+    def _pieces(self) -> Iterator[bytes]:
+        unpack, at = zlib.decompressobj(31), self.start
+        while not unpack.eof:
+            piece = self.packed.at(at, _PIECE)
+            if not piece:
+                self.fault = "the member is cut short"
+                return
+            before = unpack.copy()
+            try:
+                out = unpack.decompress(piece)
+            except zlib.error:
+                self.fault = "the member doesn't unpack or fails its CRC"
+                yield from self._until_fault(before, piece)
+                return
+            at += len(piece) - len(unpack.unused_data)
+            if unpack.eof:
+                self.end = at
+            yield out
+
+    @staticmethod
+    def _until_fault(unpack, piece: bytes) -> Iterator[bytes]:
+        """What unpacks before the damage."""
+        for k in range(len(piece)):
+            try:
+                out = unpack.decompress(piece[k : k + 1])
+            except zlib.error:
+                return
+            if out:
+                yield out
+
+    def sound(self) -> bool:
+        """Whether all of the member unpacks and its CRC holds: read through once more for a record without a digest."""
+        if self.fault is None and self.end is None:
+            for _ in self._pieces():
+                pass
+        return self.fault is None
+
+
+def _header(stream: _Stream, at: int) -> tuple[bytes, int]:
+    """A record's header from its version line on, and the place of its block."""
+    size = 1 << 12
+    while True:
+        head = stream.at(at, size)
+        if head[: len(VERSION)] != VERSION:
+            raise ValueError("no version line")
+        end = head.find(b"\r\n\r\n")
+        known = head[: end if end >= 0 else max(0, head.rfind(b"\r\n"))]
+        if re.search(rb"WARC/1\.\d\r\n", known[len(VERSION) :]):
+            raise ValueError("another record begins inside the header")
+        if any(b":" not in line for line in known.split(b"\r\n")[1:]):
+            raise ValueError("a header line is no field")
+        if end >= 0:
+            return head[:end], at + end + 4
+        if len(head) < size or size > HEADER_BYTES:
+            raise ValueError("no end of the header")
+        size *= 2
+
+
+def read_record(stream: _Stream, at: int, payloads: bool = True, vouched=lambda: True, most: int | None = None) -> tuple[Record, int]:
+    """The plain record at a place and the place after it; ValueError if it doesn't hold.
+
+    ``vouched`` is asked about a record without a digest of its own; ``most`` is how many bytes there are, if known.
+    """
+    head, place = _header(stream, at)
     field = _fields(head)
-    size = field.get("content-length", "")
-    if not size.isdecimal() or "warc-type" not in field:
+    told = field.get("content-length", "")
+    if not (told.isascii() and told.isdigit()) or "warc-type" not in field:
         raise ValueError("a header field is missing")
-    block, stop = bytes(data[end + 4 : end + 4 + int(size)]), end + 4 + int(size)
-    if len(block) != int(size) or data[stop : stop + 4] != b"\r\n\r\n":
+    size, kind = int(told), field["warc-type"].lower()
+    if most is not None and place + size + 4 > most:
         raise ValueError("the block is cut short or overrun")
-    said = _sha1(field.get("warc-block-digest"))
-    if said and said != digest32(block):
-        raise ValueError("the block digest differs")
-    kind, payload, n = field["warc-type"].lower(), None, None
-    digest = _sha1(field.get("warc-payload-digest"))
-    if "application/http" in field.get("content-type", ""):
-        http, mark, body = block.partition(b"\r\n\r\n")
+    is_http = "application/http" in field.get("content-type", "")
+    whole, body, n = hashlib.sha1(), hashlib.sha1(), 0
+    http, kept = b"" if is_http else None, [] if payloads and size <= PAYLOAD_BYTES else None
+    mark, done = not is_http, 0
+    while done < size:
+        piece = stream.at(place + done, min(_PIECE, size - done))
+        if not piece:
+            raise ValueError("the block is cut short or overrun")
+        whole.update(piece)
+        done += len(piece)
+        if not is_http:
+            continue
         if not mark:
-            raise ValueError("no end of the HTTP header")
+            http += piece
+            end = http.find(b"\r\n\r\n", max(0, len(http) - len(piece) - 3))
+            if end < 0:
+                if len(http) > HEADER_BYTES:
+                    break
+                continue
+            http, piece, mark = http[:end], http[end + 4 :], True
         if kind == "response":
-            payload, n = body, len(body)
-            if digest and digest != digest32(body):
-                raise ValueError("the payload digest differs")
-            digest = digest32(body)
-        else:
-            told = _fields(http).get("content-length", "")
-            n = int(told) if told.isdecimal() else None
+            body.update(piece)
+            n += len(piece)
+            if kept is not None:
+                kept.append(piece)
+    if done == size and stream.at(place + size, 4) != b"\r\n\r\n":
+        raise ValueError("the block is cut short or overrun")
+    said = _sha1(field.get("warc-block-digest"))
+    digests = [base64.b32encode(h.digest()).decode() for h in (whole, body)]
+    if said and said != digests[0]:
+        raise ValueError("the block digest differs")
+    if not mark:
+        raise ValueError("no end of the HTTP header")
+    payload, length, digest = None, None, _sha1(field.get("warc-payload-digest"))
+    if is_http and kind == "response":
+        if digest and digest != digests[1]:
+            raise ValueError("the payload digest differs")
+        said = said or digest
+        payload, length, digest = b"".join(kept) if kept is not None else None, n, digests[1]
+    elif is_http:
+        told = _fields(http).get("content-length", "")
+        length = int(told) if told.isascii() and told.isdigit() else None
+    if not said and not vouched():
+        raise ValueError("a record without a digest in a damaged member")
     refers = field.get("warc-refers-to")
-    return Record(offset, length, kind, field.get("warc-record-id", "").strip("<>"), refers.strip("<>") if refers else None, field.get("warc-target-uri"), payload, n, digest), stop + 4
+    stop = place + size + 4
+    return Record(at, stop - at, None, None, kind, field.get("warc-record-id", "").strip("<>"), refers.strip("<>") if refers else None, field.get("warc-target-uri"), payload, length, digest), stop
 
 
 class Salvage:
-    """Records and gaps of a stream, in order. Holds one record and a little more."""
+    """Records and gaps of an archive, in order. ``file`` can be read and sought; what is held doesn't grow with its size."""
 
-    def __init__(self, read):
-        self.read, self.data, self.base, self.ended = read, bytearray(), 0, False
+    def __init__(self, file, payloads: bool = True):
+        self.file, self.payloads = file, payloads
+        self.size = file.seek(0, 2)
+        self.stream = _Stream(self._source)
 
-    def _fill(self, n: int) -> bool:
-        while len(self.data) < n and not self.ended:
-            more = self.read(1 << 18)
-            self.ended = not more
-            self.data += more
-        return len(self.data) >= n
+    def _source(self, place: int):
+        at = place
 
-    def _drop(self, n: int) -> None:
-        del self.data[:n]
-        self.base += n
+        def read() -> bytes:
+            nonlocal at
+            self.file.seek(at)
+            piece = self.file.read(4 * _PIECE)
+            at += len(piece)
+            return piece
 
-    def _unpack(self) -> tuple[bytes, int]:
-        """The first gzip member, unpacked, and its packed size."""
-        unpack, out, at = zlib.decompressobj(31), [], 0
-        size = 0
-        while not unpack.eof:
-            self._fill(at + _PIECE)
-            piece = bytes(self.data[at : at + _PIECE])
-            if not piece:
-                raise ValueError("the member is cut short")
-            try:
-                out.append(unpack.decompress(piece))
-            except zlib.error:
-                raise ValueError("the member doesn't unpack or fails its CRC") from None
-            at, size = at + len(piece), size + len(out[-1])
-            if size > RECORD_BYTES:
-                raise ValueError("the member is too large")
-        return b"".join(out), at - len(unpack.unused_data)
-
-    def _here(self) -> tuple[list[Record], int]:
-        self._fill(len(VERSION))
-        if self.data[:3] == MAGIC:
-            inside, used = self._unpack()
-            found, at = [], 0
-            while at < len(inside):
-                record, size = parse_record(inside[at:] if at else inside, self.base, used)
-                found.append(record)
-                at += size
-            return found, used
-        if self.data[: len(VERSION)] != VERSION:
-            raise ValueError("neither a member nor a version line")
-        while (end := self.data.find(b"\r\n\r\n")) < 0 and len(self.data) < HEADER_BYTES and not self.ended:
-            self._fill(len(self.data) + 1)
-        size = _fields(bytes(self.data[: max(end, 0)])).get("content-length", "")
-        if size.isdecimal() and int(size) <= RECORD_BYTES:
-            self._fill(end + 4 + int(size) + 4)
-        record, used = parse_record(self.data, self.base, 0)
-        return [record._replace(length=used)], used
-
-    def _skip(self) -> None:
-        """On to the next place after this one where a record may begin."""
-        at = 1
-        while True:
-            hits = [i for i in (self.data.find(MAGIC, at), self.data.find(VERSION, at)) if i >= 0]
-            if hits:
-                return self._drop(min(hits))
-            if self.ended:
-                return self._drop(len(self.data))
-            if len(self.data) > len(VERSION):
-                self._drop(len(self.data) - len(VERSION) + 1)
-                at = 0
-            self._fill(len(self.data) + 1)
+        return read
 
-    def __iter__(self) -> Iterator[Record | Gap]:
-        gap = None
-        while self._fill(1):
+    def _inside(self, member: _Member) -> Iterator[Record | Gap]:
+        """Records and gaps of what a member unpacks to."""
+        stream, at, gap = _Stream(member.source), 0, None
+        while stream.at(at, 1):
             try:
-                found, used = self._here()
+                record, after = read_record(stream, at, self.payloads, member.sound)
             except ValueError as e:
-                gap = gap or (self.base, str(e))
-                self._skip()
-                continue
-            if gap:
-                yield Gap(gap[0], self.base - gap[0], gap[1])
-                gap = None
-            yield from found
-            self._drop(used)
+                gap = gap or (at, str(e))
+                after = stream.find((VERSION,), at + 1)
+                if after is None:
+                    after = stream.base + len(stream.data)
+            else:
+                if gap:
+                    yield Gap(member.start, 0, gap[0], at - gap[0], gap[1])
+                    gap = None
+                yield record._replace(offset=member.start, length=0, inner=at, inner_length=after - at)
+            at = after
+        if gap:
+            yield Gap(member.start, 0, gap[0], at - gap[0], gap[1])
+
+    def __iter__(self) -> Iterator[Record | Gap]:
+        stream, at, gap = self.stream, 0, None
+        while head := stream.at(at, len(VERSION)):
+            after, reason, last, held, member = None, "neither a member nor a version line", None, [], None
+            if head[:3] == MAGIC:
+                member = _Member(stream, at)
+                found = self._inside(member)
+            else:
+                found = iter(())
+                try:
+                    if head == VERSION:
+                        last, after = read_record(stream, at, self.payloads, most=self.size)
+                except ValueError as e:
+                    reason = str(e)
+            for x in found:
+                if last is None and isinstance(x, Gap):
+                    held.append(x)  # before the first record; if there is none, the whole member is a gap
+                    continue
+                if last is None and gap:
+                    yield Gap(gap[0], at - gap[0], None, None, gap[1])
+                    gap = None
+                if last is not None:
+                    yield last
+                yield from held
+                held, last = [], x
+            if member:
+                after = member.end if member.fault is None else None
+                reason = member.fault or (held[0].reason if held else "")
+                if after is not None and last is not None:
+                    last = last._replace(length=after - at)
+            if last is not None:
+                if gap:
+                    yield Gap(gap[0], at - gap[0], None, None, gap[1])
+                    gap = None
+                yield last
+            if after is None or (last is None and reason):
+                gap = gap or (at, reason)
+            if after is None:  # the member's end is not known, nor is a plain record's
+                after = stream.find((MAGIC, VERSION), at + 1)
+            at = self.size if after is None else after
         if gap:
-            yield Gap(gap[0], self.base - gap[0], gap[1])
+            yield Gap(gap[0], at - gap[0], None, None, gap[1])
 
 
 def _writer(folder: str, date: str):
@@ -269,7 +418,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01
 
 
 _READ = pa.schema(
-    [("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("gap", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
+    [("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("inner", pa.int64()), ("inner_length", pa.int64()), ("gap", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
 )
 
 
@@ -280,14 +429,14 @@ def _reader(payloads: bool):
         for batch in batches:
             for path in column(batch, "path").to_pylist():
                 store, at = fs.FileSystem.from_uri(path)
-                with store.open_input_stream(at, compression=None) as source:
+                with store.open_input_file(at) as source:
                     out, size = [], 0
-                    for x in Salvage(source.read):
+                    for x in Salvage(source, payloads):
                         if isinstance(x, Gap):
-                            out.append((path, x.offset, x.length, x.reason, *[None] * 7))
+                            out.append((path, *x, *[None] * 7))
                         else:
-                            out.append((path, x.offset, x.length, None, x.kind, x.record_id, x.refers_to, x.uri, x.payload if payloads else None, x.payload_bytes, x.payload_digest))
-                            size += len(x.payload or b"") if payloads else 0
+                            out.append((path, *x[:4], None, *x[4:]))
+                            size += len(x.payload or b"")
                         if len(out) >= 4096 or size > 16 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _READ, strict=True)], schema=_READ)
                             out, size = [], 0
@@ -300,14 +449,21 @@ def _reader(payloads: bool):
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """What the archives in column ``path`` hold: a row for each record and for each gap.
 
-    path, offset and length (bytes in the archive), gap (the reason why these bytes are
-    quarantined; null for records), record_type, record_id, refers_to, uri, payload (null
-    for revisits, or without ``payloads``), payload_bytes and payload_digest (of the full
-    payload, also for revisits). A file that can't be opened fails.
+    path, offset and length (of the gzip member, or plain record, in the archive; of a
+    member's rows the last carries its length, the others 0), inner and inner_length (the
+    place in what the member unpacks to; null for plain records and gaps of the archive),
+    gap (the reason why these bytes are quarantined; null for records), record_type,
+    record_id, refers_to, uri, payload (null for revisits, beyond PAYLOAD_BYTES, or without
+    ``payloads``), payload_bytes and payload_digest (of the full payload, also for
+    revisits). Members and records of any size are read. A member that is damaged keeps
+    the records before the damage that a digest vouches for; its gap reaches from the
+    member's first byte to the next place that reads well. Archives are one task's work
+    each; the same path twice is read twice, a null path or a file that can't be opened
+    fails, and no paths give no rows.
     """
     spark = archives.sparkSession
     n = min(max(archives.count(), 1), 100 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kind = "path string, offset long, length long, gap string, record_type string, record_id string, refers_to string, uri string, payload binary, payload_bytes long, payload_digest string"
+    kind = "path string, offset long, length long, inner long, inner_length long, gap string, record_type string, record_id string, refers_to string, uri string, payload binary, payload_bytes long, payload_digest string"
     return map_arrow(archives.select("path").repartition(n), _reader(payloads), kind)
 
 
