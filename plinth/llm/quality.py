@@ -13,6 +13,7 @@ the second doesn't find it toxic.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from plinth.llm.byte_bpe import _replaced, _with
 from plinth.llm.common import column, columns_of, map_arrow, small, utf8
 
-#: Documents that each head is trained on, at most (about: a share of all, by hash).
+#: Documents that each head is trained on, at most: those with the smallest hashes.
 SAMPLE = 20_000
 #: Documents of the sample that must have a feature; the pull of weights for toxicity towards zero.
 LEAST_DOCS, LASSO = 4, 0.06
@@ -213,16 +214,30 @@ def _sampled(toxic: bool):
     def run(batches):
         for batch in small(batches, "__in"):
             rows = [(votes(m), features(t, None if toxic else m).tolist()) for t in column(batch, "__in").to_pylist() for m in (measure(t),)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), column(batch, "target")], names=["pattern", "features", "target"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), column(batch, "target"), column(batch, "__hash")],
+                names=["pattern", "features", "target", "__hash"],
+            )
 
     return run
 
 
-def _sample(rows: DataFrame, n: int, bound: int, toxic: bool) -> tuple[list[str], list[np.ndarray], np.ndarray]:
-    """About ``bound`` of ``n`` rows (key, __in, target), chosen by a hash of the key."""
-    share = min(1.0, bound / max(n, 1))
-    picked = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
-    got = map_arrow(picked, _sampled(toxic), "pattern string, features array<int>, target double").toArrow()
+def below(n: int, bound: int) -> int:
+    """A bound on hashes of 63 bits that leaves at least ``bound`` of n rows, and few more, whatever n is: a margin of six deviations."""
+    want = bound + 6 * math.isqrt(bound) + 10
+    return 1 << 63 if want >= n else (want << 63) // n
+
+
+def picked(rows: DataFrame, n: int, bound: int) -> DataFrame:
+    """Those of n rows with the smallest hashes of ``key``, with __hash: a few more than ``bound`` of them."""
+    mixed = F.xxhash64(F.lit("sample"), F.xxhash64("key"), F.col("key").cast("string")).bitwiseAND(F.lit((1 << 63) - 1))
+    return rows.withColumn("__hash", mixed).where(F.col("__hash") <= F.lit(below(n, bound) - 1))
+
+
+def _sample(rows: DataFrame, bound: int, toxic: bool) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+    """The ``bound`` rows (key, __in, target, __hash) with the smallest hashes."""
+    found = map_arrow(rows, _sampled(toxic), "pattern string, features array<int>, target double, __hash long")
+    got = found.orderBy("__hash", "features", "target").limit(bound).toArrow()
     found = [np.asarray(f, np.int32) for f in got.column("features").to_pylist()]
     order = sorted(range(len(found)), key=lambda i: found[i].tobytes())  # training doesn't depend on how rows arrive
     return [got.column("pattern")[i].as_py() for i in order], [found[i] for i in order], got.column("target").to_numpy()[order]
@@ -244,14 +259,21 @@ class Classifier(NamedTuple):
 def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Classifier:
     """Fit on ``docs``; ``labels`` (key, toxic 0/1) are for the second head only.
 
-    All documents count for the accuracies; about ``sample`` of them train each scorer.
-    Without documents, or labels of both kinds, a head finds everything good or nothing toxic.
+    All documents count for the accuracies; ``sample`` of them, those with the smallest
+    hashes of their keys, train each scorer, or all if there are fewer. Without documents,
+    or labels of both kinds, a head finds everything good or nothing toxic. Rows with one
+    key (or none) have one hash; if that leaves out all, any ``sample`` rows train.
     """
     rows = docs.select(F.col(key).alias("key"), utf8(text).alias("__in"))
     counts = dict(map(tuple, map_arrow(rows.select("__in"), _patterns, "pattern string, n long").groupBy("pattern").agg(F.sum("n")).collect()))  # at most 3^11 patterns
     weak = expectation_maximisation(counts)
     n = sum(counts.values())
-    patterns, found, _ = _sample(rows.withColumn("target", F.lit(0.0)), n, sample, False)
+    targets = rows.withColumn("target", F.lit(0.0))
+    patterns, found, _ = _sample(picked(targets, n, sample), sample, False)
+    if n and not found:  # too many rows share one key, which is above the bound
+        patterns, found, _ = _sample(targets.limit(sample).withColumn("__hash", F.lit(0).cast("long")), sample, False)
+    if n and not found:
+        raise RuntimeError(f"none of {n} documents is in the sample")
     quality = train_scorer(found, np.array([weak.of(p) for p in patterns]), rate=0.05, least_docs=LEAST_DOCS)
     if not found:
         quality[-1] = 10.0
@@ -259,10 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
     if labels is not None:
         told = labels.where("toxic IS NOT NULL").select(F.col(key).alias("key"), F.col("toxic").cast("double").alias("target"))
         n = told.count()
-        share = min(1.0, sample / max(n, 1))
-        if share < 1:
-            told = told.where(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) < int(share * 1_000_000))
-        _, found, target = _sample(rows.join(told, "key"), 1, 1, True)
+        told = picked(told, n, sample)
+        _, found, target = _sample(rows.join(told, "key"), sample, True)
         if len(found) and 0 < target.mean() < 1:
             toxic = train_scorer(found, target, passes=6, rate=0.1, l1=LASSO, least_docs=LEAST_DOCS)
     return Classifier(weak, quality, toxic)
