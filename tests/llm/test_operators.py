@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -129,7 +131,90 @@ def test_without_labels(spark, stored_docs):
 
 def test_sample_bound(spark):
     rows = table(spark, SF, "documents").select(F.col("doc_id").alias("key"), F.col("text").cast("binary").alias("__in"), F.lit(0.0).alias("target"))
-    assert 10 < len(quality._sample(rows, 200, 40, False)[1]) < 80
+    assert len(quality._sample(quality.picked(rows, 200, 40), 40, False)[1]) == 40
+    assert len(quality._sample(quality.picked(rows, 200, 400), 400, False)[1]) == 200
+
+
+def test_a_share_of_any_number_of_rows():
+    """Hashes below the bound are the share that is asked for, of 2 * 10**10 documents and more."""
+    for n in (30_000, 2 * 10**10, 5 * 10**12, 10**18):
+        bound = quality.below(n, 20_000)
+        assert 20_000 <= bound * n / 2**63 <= 21_000 and bound < 2**63
+    assert quality.below(100, 20_000) == quality.below(0, 20_000) == 2**63
+
+
+def test_rows_without_keys_are_sampled(spark):
+    docs = spark.createDataFrame([(None, f"some words of document {k} here") for k in range(300)], "doc_id long, text string")
+    assert quality.quality_scores(docs, sample=20).count() == 300
+
+
+def plain_accuracies(patterns):
+    """Expectation-maximisation a document at a time."""
+    k = len(quality.LABELLERS)
+    good, right_good, right_bad = 0.8, [0.95] * k, [0.4] * k
+
+    def posterior(p):
+        up, down = math.log(good), math.log(1 - good)
+        for j, vote in enumerate(p):
+            if vote == "g":
+                up, down = up + math.log(right_good[j]), down + math.log(1 - right_bad[j])
+            elif vote == "b":
+                up, down = up + math.log(1 - right_good[j]), down + math.log(right_bad[j])
+        return 1 / (1 + math.exp(max(-700, min(700, down - up))))
+
+    for _ in range(100):
+        told = [posterior(p) for p in patterns]
+        before, good = good, min(1 - 1e-6, max(1e-6, (sum(told) + 1) / (len(told) + 2)))
+        for j in range(k):
+            of = [(p[j], t) for p, t in zip(patterns, told, strict=True) if p[j] != "-"]
+            right_good[j] = (sum(t for v, t in of if v == "g") + 0.95) / (sum(t for _, t in of) + 1)
+            right_bad[j] = (sum(1 - t for v, t in of if v == "b") + 0.4) / (sum(1 - t for _, t in of) + 1)
+            right_good[j], right_bad[j] = (min(1 - 1e-4, max(1e-4, x)) for x in (right_good[j], right_bad[j]))
+        if abs(good - before) < 1e-9:
+            break
+    return [posterior(p) for p in patterns]
+
+
+def plain_scorer(rows, targets, passes, rate, l1, least_docs):
+    """Logistic regression by AdaGrad, a feature at a time; the order of documents is the operator's."""
+    seen = Counter(f for r in rows for f in r)
+    rows = [[f for f in r if seen[f] >= least_docs] + ["bias"] for r in rows]
+    w, g2 = Counter(), {}
+    rng = quality.np.random.default_rng(3)
+    for _ in range(passes):
+        for i in rng.permutation(len(rows)).tolist():
+            g = targets[i] - 1 / (1 + math.exp(-max(-30, min(30, sum(w[f] for f in rows[i])))))
+            for f in rows[i]:
+                g2[f] = g2.get(f, 1e-2) + g * g
+                step = rate / math.sqrt(g2[f])
+                moved = w[f] + step * g
+                w[f] = math.copysign(max(0.0, abs(moved) - step * l1), moved) if l1 else moved
+    return w
+
+
+def test_op2(spark):
+    """The whole query against a plain classifier, fitted document by document."""
+    duck = duckdb.connect()
+    docs = duck.sql(f"SELECT doc_id, coalesce(text, '') FROM '{SF}/documents.parquet'").fetchall()
+    toxic = dict(duck.sql(f"SELECT doc_id, toxic FROM '{SF}/labels.parquet' WHERE toxic IS NOT NULL").fetchall())
+    data = {k: t.encode() for k, t in docs}
+    found = {k: quality.measure(d) for k, d in data.items()}
+    votes = {k: quality.votes(m) for k, m in found.items()}
+    shown = {k: quality.features(data[k], m) for k, m in found.items()}
+    words = {k: quality.features(data[k], None) for k in toxic}
+    posterior = dict(zip(votes, plain_accuracies(list(votes.values())), strict=True))
+    order = sorted(shown, key=lambda k: shown[k].tobytes())
+    w = plain_scorer([shown[k].tolist() for k in order], [posterior[k] for k in order], 4, 0.05, 0.0, quality.LEAST_DOCS)
+    order = sorted(words, key=lambda k: words[k].tobytes())
+    t = plain_scorer([words[k].tolist() for k in order], [toxic[k] for k in order], 6, 0.1, quality.LASSO, quality.LEAST_DOCS)
+    apply = lambda w, f: 1 / (1 + math.exp(-max(-30, min(30, sum(w[x] for x in f.tolist()) + w["bias"]))))
+    got = {r.doc_id: r for r in entry.op2_quality(spark, SF).collect()}
+    assert set(got) == set(data) and len(docs) == len(data)
+    for k, r in got.items():
+        score, bad = apply(w, shown[k]), apply(t, quality.features(data[k], None))
+        assert r.votes == votes[k] and r.posterior == pytest.approx(posterior[k], abs=1e-6)
+        assert r.score == pytest.approx(score, abs=1e-4) and r.toxicity == pytest.approx(bad, abs=1e-4)
+        assert r.kept == (r.score >= 0.5 and r.toxicity <= quality.MOST_TOXIC)
 
 
 # LM
@@ -359,6 +444,80 @@ def test_repeats_on_awkward_rows(spark, tmp_path, monkeypatch, held):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got.collect())
 
 
+def files_of(folder):
+    return [f for f in Path(folder.removeprefix("file://")).rglob("*.parquet") if not f.name.startswith(".")]
+
+
+@pytest.fixture
+def kept_folders(monkeypatch):
+    """Folders that an operator would remove, by the beginnings of their names."""
+    kept = {}
+
+    def keep(spark, path):
+        kept[path.rpartition("/")[2].partition("-")[0]] = path
+
+    for module in (suffix_dedup, lm):
+        monkeypatch.setattr(module, "forget", keep)
+    return kept
+
+
+@pytest.mark.parametrize("parts", [4, 8])
+def test_answers_are_a_file_for_each_partition(spark, tmp_path, monkeypatch, kept_folders, parts):
+    """However many buckets, shards and blocks answer."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 500)
+    rows = [(k, f"{k} {SHARED} and {k % 7} times something else that is repeated now and then {k % 5}") for k in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(parts).write.parquet(f"{tmp_path}/d")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 20))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(2 * parts))
+    try:
+        docs = spark.read.parquet(f"{tmp_path}/d")
+        n = docs.rdd.getNumPartitions()
+        assert n == parts
+        got = suffix_dedup.remove_repeats(docs)
+        assert plain(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == plain_repeats([(k, t.encode()) for k, t in rows])
+        lm.lm_scores(docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name in ("anchors", "strings"):
+        assert 0 < len(files_of(kept_folders[name])) <= n
+    # The notes of the buckets and the totals lie beside the parts'.
+    assert 0 < len(files_of(kept_folders["counts"])) <= 3 * n
+
+
+def test_a_shard_beyond_its_memory_spills_and_recurses(spark, tmp_path, monkeypatch):
+    """One hot anchor with many contexts: tuples go to shared storage and names down the recursion."""
+    spilled = []
+
+    def watched(folder):
+        path = Path(folder.removeprefix("file://"))
+        path.mkdir(parents=True, exist_ok=True)
+        real = spill_to(folder)
+
+        def spill(data):
+            (path / f"seen-{len(list(path.iterdir()))}-{len(data)}").touch()
+            return real(data)
+
+        return spill
+
+    spill_to = suffix_dedup._spill_to
+    monkeypatch.setattr(suffix_dedup, "_spill_to", watched)
+    monkeypatch.setattr(suffix_dedup, "forget", lambda spark, path: spilled.append(path) if "/runs-" in path else None)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 9)))
+    rows = [(k, f"{word()} {word()} {SHARED} {word()} {word()} {word()}") for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/d")
+    got = suffix_dedup.remove_repeats(spark.read.parquet(f"{tmp_path}/d"), held=500)
+    assert plain(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == plain_repeats([(k, t.encode()) for k, t in rows])
+    folder = Path(spilled[0].removeprefix("file://"))
+    seen = [f.name for f in folder.iterdir()]
+    assert any(name.startswith("seen-") for name in seen) and all(name.startswith("seen-") for name in seen)  # each run is removed once read
+
+
 def test_op9(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 1 << 16)
     docs = duckdb.connect().sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
