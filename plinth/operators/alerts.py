@@ -13,6 +13,8 @@ from plinth.schemas import row_id
 
 # Hours looked back, signals named in a message, where webhooks may go.
 LOOKBACK_HOURS, EMAIL_ROWS, SLACK_ROWS, WEBHOOK = 25, 10, 5, "https://hooks.slack.com/"
+#: Into how many shares the signals of one value are cut.
+SALTS = 16
 
 
 def matches() -> Column:
@@ -27,26 +29,28 @@ def matches() -> Column:
 def alert_matches(signals: DataFrame, alerts: DataFrame) -> DataFrame:
     """alert and signal columns (alert_id, signal_id, …) of each pair of an active alert and a signal that it matches.
 
-    An alert that names firms meets signals by an equi-join on the firm, one that names
-    types by one on the type; only alerts without either are held against every signal,
-    as they ask for every signal: their matches are the output's size.
+    An alert meets signals by an equi-join on the values of its first facet that isn't
+    empty: firms, localities, types or classes. Only alerts without any facet are held
+    against every signal, as they ask for every signal: their matches are the output's
+    size. Each join has a key of SALTS salts too, so that a value that many signals share
+    is spread over tasks; a row of an alert is sent once for each salt.
     """
     a = alerts.where("is_active").select(F.col("id").alias("alert_id"), F.col("name").alias("alert_name"), "channel", "channel_target", "filters")
     s = signals.select(F.col("id").alias("signal_id"), "firm_id", "signal_type", "title", "score", "locality", "asset_class", "occurred_at")
-    n = lambda c: F.greatest(F.coalesce(F.size(f"filters.{c}"), F.lit(0)), F.lit(0))
-    by_firm = a.where(n("firm_ids") > 0).select("*", F.explode(F.array_distinct("filters.firm_ids")).alias("__firm"))
-    by_type = a.where((n("firm_ids") == 0) & (n("signal_types") > 0)).select("*", F.explode(F.array_distinct("filters.signal_types")).alias("__type"))
-    rest = a.where((n("firm_ids") == 0) & (n("signal_types") == 0)).withColumn("__all", F.lit(1))
-    joined = [
-        by_firm.join(s, F.col("__firm") == F.col("firm_id").cast("string")).drop("__firm"),
-        by_type.join(s, F.col("__type") == F.col("signal_type")).drop("__type"),
-        # A key of 64 salts: each signal meets each of these alerts once, spread over tasks.
-        rest.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("__salt")).join(s.withColumn("__salt", F.pmod(F.xxhash64("signal_id"), F.lit(64)).cast("int")), "__salt").drop("__salt", "__all"),
-    ]
-    out = joined[0].where(matches())
-    for more in joined[1:]:
-        out = out.unionByName(more.where(matches()))
-    return out.drop("filters")
+    salted = s.withColumn("__salt", F.pmod(F.xxhash64("signal_id"), F.lit(SALTS)).cast("int"))
+    facets = (("firm_ids", F.col("firm_id").cast("string")), ("localities", F.col("locality")), ("signal_types", F.col("signal_type")), ("asset_classes", F.col("asset_class")))
+    empty, out = F.lit(True), None
+    for facet, value in (*facets, (None, F.lit(""))):
+        if facet is None:
+            own = a.where(empty).withColumn("__value", F.lit(""))
+        else:
+            full = F.coalesce(F.size(f"filters.{facet}"), F.lit(0)) > 0
+            own = a.where(empty & full).withColumn("__value", F.explode(F.array_distinct(f"filters.{facet}")))
+            empty = empty & ~full
+        spread = own.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = spread.join(salted.withColumn("__value", value), ["__value", "__salt"]).where(matches()).drop("__value", "__salt", "filters")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def recent(signals: DataFrame, now: Column, hours: int = LOOKBACK_HOURS) -> DataFrame:

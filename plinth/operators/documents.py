@@ -35,6 +35,13 @@ def persist_outcomes(docs: DataFrame, stored: DataFrame, order: list[str]) -> Da
     return told.withColumn("outcome", outcome).drop("__first", "__known")
 
 
+def pdf_outcomes(docs: DataFrame, stored: DataFrame, order: list[str]) -> DataFrame:
+    """As :func:`persist_outcomes` for PDF documents (with is_scanned): those without a text layer are scanned_pdf and never stored."""
+    told = persist_outcomes(docs.where("NOT is_scanned"), stored, order)
+    scanned = docs.where("is_scanned").withColumns({"outcome": F.lit("scanned_pdf"), "content_hash": F.lit(None).cast("string"), "word_count": F.lit(None).cast("int")})
+    return told.unionByName(scanned.select(*told.columns))
+
+
 def stored_documents(outcomes: DataFrame) -> DataFrame:
     """The rows to add to raw_documents."""
     return outcomes.where("outcome = 'stored'").withColumns({"id": row_id(F.col("content_hash")), "cleaned_text": T.strip(F.col("cleaned_text")), "extraction_status": F.lit("pending"), "extraction_attempts": F.lit(0)})
@@ -105,13 +112,12 @@ def chunk_text(docs: DataFrame, key: str, text: str, tokens: int = T.CHUNK_TOKEN
     """key, chunk_index, page_number, text, token_count: overlapping word windows, in each page where there are page markers."""
     body = T.strip(F.coalesce(F.col(text), F.lit("")))
     marked = F.regexp_like(body, F.lit(T.PAGE_MARKER))
-    sections = docs.select(key, marked.alias("marked"), F.posexplode(T.page_sections(body)).alias("s", "section"))
-    chunks = sections.select(key, "s", F.when(F.col("marked"), F.col("section.page")).alias("page_number"), F.posexplode(T.chunk_arrays(F.col("section.text"), tokens, overlap)).alias("c", "chunk"))
-    before = sections.select(key, F.col("s").alias("bs"), F.size(T.chunk_arrays(F.col("section.text"), tokens, overlap)).alias("n"))
-    # Numbers run through the document: each section starts where those before it end.
-    counts = before.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("bs", "n"))).alias("sizes"))
-    start = F.aggregate(F.filter("sizes", lambda x: x["bs"] < F.col("s")), F.lit(0), lambda a, x: a + x["n"])
-    return chunks.join(counts, key).select(key, (start + F.col("c")).alias("chunk_index"), "page_number", F.col("chunk.text").alias("text"), F.col("chunk.token_count").alias("token_count"))
+    rows = docs.select(key, marked.alias("marked"), T.page_sections(body).alias("sections"))
+    cut = F.transform("sections", lambda s: F.struct(s["page"].alias("page"), T.chunk_arrays(s["text"], tokens, overlap).alias("chunks")))
+    # Numbers run through the document: all chunks of all sections in one array, with the section's page.
+    flat = F.flatten(F.transform("cut", lambda s: F.transform(s["chunks"], lambda c: F.struct(s["page"].alias("page"), c.alias("chunk")))))
+    each = rows.withColumn("cut", cut).select(key, "marked", F.posexplode(flat).alias("chunk_index", "c"))
+    return each.select(key, "chunk_index", F.when(F.col("marked"), F.col("c.page")).alias("page_number"), F.col("c.chunk.text").alias("text"), F.col("c.chunk.token_count").alias("token_count"))
 
 
 def pending_documents(documents: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import classify, text
@@ -48,32 +48,45 @@ def permit_signals(permits: DataFrame, now: Column, floor: float = classify.SIGN
     )
 
 
-def ingest_permits(records: DataFrame, old: DataFrame, firms: DataFrame, aliases: DataFrame, signals: DataFrame, queue: DataFrame, now: Column, order: str = "permit_number") -> PermitBatch:
+def ingest_permits(records: DataFrame, old: DataFrame, firms: DataFrame, aliases: DataFrame, signals: DataFrame, queue: DataFrame, now: Column, order: str = "position") -> PermitBatch:
     """A batch of feed records, attributed and merged into permits.
 
-    ``records``: the columns of a permit record. A row that repeats a (locality, permit
-    number) replaces the earlier one's values, in the order of ``order``; the last one
-    counts. Attribution is tried for every row with an applicant; method and confidence
-    are overwritten even by null, the firm never is, and other values stay where the
-    feed has none.
+    ``records``: the columns of a permit record, and in ``order`` each row's position in
+    the feed, a whole number from 0 that no other row has. Every row with an applicant is
+    attributed, and what one row teaches holds for the later ones. Rows that repeat a
+    (locality, permit number) are merged in feed order: a value stays until a later row
+    has another, method and confidence are the last row's even if it has none, and the
+    firm is the last one found and never cleared. The same rules merge the batch into
+    ``old``. A signal speaks of the first row that reaches the floor, with the firm known
+    by then.
     """
-    last = first_rows(records, ["locality", "permit_number"], [F.desc(order)])
+    keys = ["locality", "permit_number"]
+    at = F.lpad(F.col(order).cast("long").cast("string"), 20, "0")
+    rows = records.withColumns({"mention_id": F.concat_ws("\x1f", at, "locality", F.col("permit_number").cast("string")), "id": permit_id(F.col("locality"), F.col("permit_number"))})
     named = F.trim(F.coalesce("applicant_name_raw", F.lit(""))) != ""
-    last = last.withColumn("mention_id", F.concat_ws("\x1f", F.col(order).cast("string"), "locality", F.col("permit_number").cast("string"))).withColumn("id", permit_id(F.col("locality"), F.col("permit_number")))
-    mentions = last.where(named).select("mention_id", F.col("applicant_name_raw").alias("text"), "address", F.lit(None).cast("string").alias("phone"), "parcel_id")
+    mentions = rows.where(named).select("mention_id", F.col("applicant_name_raw").alias("text"), "address", F.lit(None).cast("string").alias("phone"), "parcel_id")
     told = with_alias_memory(resolve(mentions, firms))
     hit = told.select("mention_id", F.col("status").alias("told"), F.col("firm_id").alias("firm_id"), F.col("method").alias("resolution_method"), F.when(F.col("status") == "resolved", F.col("confidence")).alias("resolution_confidence"))
-    rows = last.join(hit, "mention_id", "left")
-    permits = upsert(old.drop("__change"), rows.drop("mention_id", "told", "mention_field", "raw", "source_url"), ["locality", "permit_number"], overwrite=["resolution_method", "resolution_confidence"], keep=["id"])
-    merged = permits.join(rows.select("locality", "permit_number"), ["locality", "permit_number"], "left_semi")
-    # The signal speaks of the record, the firm is the permit's.
-    spoken = rows.drop("firm_id", "id").join(merged.select("locality", "permit_number", "firm_id"), ["locality", "permit_number"])
-    fresh = new_only(permit_signals(spoken, now), signals, ["dedupe_key"], ["id"])
-    queued = review_queue(told.join(last.select("mention_id", F.col("id").alias("origin_id")), "mention_id"), queue, "permits")
+    each = rows.join(hit, "mention_id", "left")
+    values = [c for c in records.columns if c not in (*keys, order, "id", "mention_field", "raw", "source_url")] + ["firm_id"]
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("mention_id"))).alias(c) for c in values]
+    last = each.groupBy(*keys).agg(F.max("id").alias("id"), *latest, F.max_by(F.struct("resolution_method", "resolution_confidence"), "mention_id").alias("told"))
+    new = last.select(*keys, "id", *values, "told.resolution_method", "told.resolution_confidence")
+    permits = upsert(old.drop("__change"), new, keys, overwrite=["resolution_method", "resolution_confidence"], keep=["id"])
+    # The firm that the permit has after each row.
+    so_far = Window.partitionBy(*keys).orderBy("mention_id").rowsBetween(Window.unboundedPreceding, 0)
+    before = old.select(*keys, F.col("firm_id").cast("string").alias("__firm"))
+    running = each.withColumn("firm_id", F.last("firm_id", ignorenulls=True).over(so_far)).alias("e")
+    on = F.col("e.locality").eqNullSafe(F.col("b.locality")) & F.col("e.permit_number").eqNullSafe(F.col("b.permit_number"))
+    spoken = running.join(before.alias("b"), on, "left").select("e.*", F.col("b.__firm")).withColumn("firm_id", F.coalesce("firm_id", "__firm"))
+    loud = spoken.where(F.coalesce(F.col("valuation_usd").cast("double"), F.lit(0.0)) >= classify.SIGNAL_FLOOR)
+    fresh = new_only(permit_signals(first_rows(loud, keys, ["mention_id"]), now), signals, ["dedupe_key"], ["id"])
+    queued = review_queue(told.join(rows.select("mention_id", F.col("id").alias("origin_id")), "mention_id"), queue, "permits")
     learned = learned_aliases(told, aliases)
-    n = rows.agg(F.count_if(F.col("told") == "resolved").alias("resolved"), F.count_if(F.col("told") == "ambiguous").alias("ambiguous"), F.count_if(F.col("told").isNull() | F.col("told").isin("unmatched", "rejected")).alias("unattributed"))
-    changed = permits.agg(F.count_if(F.col("__change") == "insert").alias("created"), F.count_if(F.col("__change") == "update").alias("updated"))
-    stats = changed.crossJoin(n).crossJoin(fresh.agg(F.count("*").alias("signals_created")))  # one row each
+    n = each.agg(F.count("*").alias("__rows"), F.count_if(F.col("told") == "resolved").alias("resolved"), F.count_if(F.col("told") == "ambiguous").alias("ambiguous"), F.count_if(F.col("told").isNull() | F.col("told").isin("unmatched", "rejected")).alias("unattributed"))
+    changed = permits.agg(F.count_if(F.col("__change") == "insert").alias("created"))
+    stats = changed.crossJoin(n).withColumn("updated", F.col("__rows") - F.col("created")).crossJoin(fresh.agg(F.count("*").alias("signals_created")))  # one row each
+    stats = stats.select("created", "updated", "resolved", "ambiguous", "unattributed", "signals_created")
     return PermitBatch(permits, fresh, learned, queued, stats)
 
 
@@ -98,7 +111,11 @@ class Enrichment(NamedTuple):
 
 def enrich_with_owners(permits: DataFrame, owners: DataFrame, firms: DataFrame, aliases: DataFrame, signals: DataFrame, queue: DataFrame, locality: str) -> Enrichment:
     """Attribute permits through the owners of their parcels, and their signals too where these have no firm."""
-    rows = with_parcel_owners(unattributed_with_parcel(permits, locality), owners).withColumn("mention_id", F.concat_ws("\x1f", F.coalesce(F.date_format("filed_date", "yyyy-MM-dd"), F.lit("9999")), F.col("permit_number").cast("string")))
+    rows = with_parcel_owners(unattributed_with_parcel(permits, locality), owners)
+    # In the order of the selection: the latest day first, after those without one; of a day, numbers by size and then as text.
+    day = F.coalesce(F.lpad((F.lit(10_000_000) - F.datediff("filed_date", F.lit("1970-01-01").cast("date"))).cast("string"), 10, "0"), F.lit(""))
+    number = F.col("permit_number").cast("string")
+    rows = rows.withColumn("mention_id", F.concat_ws("\x1f", day, F.lpad(F.length(number).cast("string"), 6, "0"), number))
     none = F.lit(None).cast("string")
     told = with_alias_memory(resolve(rows.where("owner_name IS NOT NULL").select("mention_id", F.col("owner_name").alias("text"), none.alias("address"), none.alias("phone"), none.alias("parcel_id")), firms))
     hit = rows.join(told.select("mention_id", F.col("status").alias("told"), F.col("firm_id").alias("found_id"), "method", "confidence"), "mention_id", "left")

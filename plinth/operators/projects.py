@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions import classify, naming
 from plinth.operators.resolve import resolve
-from plinth.operators.upsert import first_rows, new_only, upsert
+from plinth.operators.upsert import new_only, upsert
 from plinth.schemas import row_id
 
 
@@ -36,15 +36,18 @@ def ingest_announcements(announcements: DataFrame, old: DataFrame, signals: Data
     """Announcements merged into projects by (canonical_name, locality), and a signal for each that is new.
 
     ``announcements``: ann_id, headline, project_name, firm_names, project_type, locality,
-    address, unit_count, square_feet, acreage, est_value_usd, announced_date, summary. Of
-    several with one key in a batch, the last by ann_id counts. Without a name, a row is passed over.
+    address, unit_count, square_feet, acreage, est_value_usd, announced_date, summary.
+    Several with one key in a batch are merged in the order of ann_id: a value stays until
+    a later row has another, the name is the first one's. Without a name, a row is passed over.
     """
     rows = attribute_announcements(announcements, firms) if firms is not None else announcements.withColumn("firm_id", F.lit(None).cast("string"))
     name = F.coalesce(F.nullif("project_name", F.lit("")), F.nullif("headline", F.lit("")))
     rows = rows.withColumn("name", F.left(name, F.lit(400))).where("name IS NOT NULL").withColumn("canonical_name", F.left(naming.canonicalize(F.col("name")), F.lit(400)))
-    last = first_rows(rows, ["canonical_name", "locality"], [F.desc("ann_id")])
-    kept = ["name", "canonical_name", "firm_id", "project_type", "locality", "address", "unit_count", "square_feet", "acreage", "est_value_usd", "announced_date"]
-    new = last.select(row_id(F.col("canonical_name"), F.col("locality")).alias("id"), *kept, F.col("summary").alias("description"), F.lit("proposed").alias("status"))
+    rows = rows.withColumn("description", F.col("summary"))
+    kept = ["firm_id", "project_type", "address", "unit_count", "square_feet", "acreage", "est_value_usd", "announced_date", "description"]
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ann_id"))).alias(c) for c in kept]
+    last = rows.groupBy("canonical_name", "locality").agg(F.min_by("name", "ann_id").alias("name"), *latest)
+    new = last.select(row_id(F.col("canonical_name"), F.col("locality")).alias("id"), "canonical_name", "locality", "name", *kept, F.lit("proposed").alias("status"))
     projects = upsert(old.drop("__change"), new, ["canonical_name", "locality"], keep=["id", "name", "status"])
     key = F.left(F.concat(F.lit("announcement:"), "canonical_name", F.lit(":"), F.coalesce("locality", F.lit("va"))), F.lit(200))
     spoken = rows.select(
@@ -54,6 +57,7 @@ def ingest_announcements(announcements: DataFrame, old: DataFrame, signals: Data
         F.to_json(F.struct("unit_count", "square_feet", "acreage", "est_value_usd", F.lit("reported").alias("confidence"))).alias("payload"), F.lit(False).alias("is_derived"), key.alias("dedupe_key"), "ann_id",
     )
     fresh = new_only(spoken, signals, ["dedupe_key"], ["ann_id"]).drop("ann_id")
-    changed = projects.agg(F.count_if(F.col("__change") == "insert").alias("created"), F.count_if(F.col("__change") == "update").alias("updated"))
-    stats = changed.crossJoin(rows.agg(F.count("firm_id").alias("resolved"), F.count_if(F.col("firm_id").isNull()).alias("unattributed"))).crossJoin(fresh.agg(F.count("*").alias("signals_created")))
+    changed = projects.agg(F.count_if(F.col("__change") == "insert").alias("created"))
+    stats = changed.crossJoin(rows.agg(F.count("*").alias("__rows"), F.count("firm_id").alias("resolved"), F.count_if(F.col("firm_id").isNull()).alias("unattributed"))).withColumn("updated", F.col("__rows") - F.col("created")).crossJoin(fresh.agg(F.count("*").alias("signals_created")))
+    stats = stats.select("created", "updated", "resolved", "unattributed", "signals_created")
     return ProjectBatch(projects, fresh, stats)

@@ -2,15 +2,16 @@
 
 Rungs 1 and 2 are equi-joins with deduplicated keys. Rung 3 requires a shared
 distinctive word, so candidates come from an equi-join on exploded words and only
-they are scored. A word that very many firms share makes many candidates; the
-spread of such a word over tasks is left to the adaptive skew join.
+they are scored, once for each distinct name among the mentions. The mentions of a word
+are dealt over salts, so that one word that very many share is many tasks' work, and
+pairs whose lengths alone rule a score out aren't scored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import fuzzy, naming
@@ -19,6 +20,8 @@ from plinth.schemas import row_id
 
 # Thresholds.
 AUTO_ACCEPT, REVIEW_FLOOR, BONUS, SORT_FLOOR, MOST_CANDIDATES, TIE = 92.0, 80.0, 12.0, 60.0, 25, 2.0
+#: Into how many shares the mentions of one word are cut.
+SALTS = 8
 CANDIDATE = "firm_id string, name string, score double, effective double, corroborated boolean, corroboration array<string>"
 
 
@@ -43,15 +46,34 @@ def exact_and_alias(mentions: DataFrame, firms: DataFrame) -> DataFrame:
     return mentions.join(exact, "canonical", "left").join(alias, "canonical", "left")
 
 
+def may_reach(a: Column, b: Column, floor: float) -> Column:
+    """False only where the lengths of two keys and of the words that they share rule out a token-set score of ``floor``.
+
+    The score is the best of three ratios of texts: of the shared words and each key's, in
+    which the shorter text begins the longer one, and of the two keys', which is at most
+    that of their lengths.
+    """
+    one, other = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
+    long = lambda x: F.length(F.array_join(x, " "))
+    s, m, n = long(F.array_intersect(one, other)), long(one), long(other)
+    ratio = lambda x, y: 200.0 * F.least(x, y) / F.greatest(x + y, F.lit(1))
+    return (F.greatest(ratio(s, m), ratio(s, n), ratio(m, n)) >= floor - 0.01) | (m + n == 0)
+
+
 def scored_candidates(mentions: DataFrame, firms: DataFrame, floor: float = REVIEW_FLOOR) -> DataFrame:
     """mention_id and candidates (by effective score, then id) of mentions (mention_id, canonical, text, address, phone, parcel_id)."""
-    m = mentions.select("mention_id", "canonical", "address", "phone", "parcel_id", F.explode(naming.distinctive_tokens(F.col("text"))).alias("token"))
-    f = firms.select(F.col("id").alias("firm_id"), "name", "canonical_name", F.col("address").alias("firm_address"), F.col("phone").alias("firm_phone"), "parcel_ids", F.explode(naming.distinctive_tokens(F.col("name"))).alias("token"))
-    pairs = m.join(f, "token").drop("token").dropDuplicates(["mention_id", "firm_id"])
-    pairs = pairs.withColumn("score", fuzzy.token_set_column(F.col("canonical"), F.col("canonical_name"))).where(F.col("score") >= floor)
-    kept = Window.partitionBy("mention_id").orderBy(F.desc("score"), "firm_id")
-    pairs = pairs.withColumn("__n", F.row_number().over(kept)).where(F.col("__n") <= MOST_CANDIDATES)
-    pairs = pairs.where(fuzzy.token_sort_column(F.col("canonical"), F.col("canonical_name")) >= SORT_FLOOR)
+    words = mentions.select("canonical", F.explode(naming.distinctive_tokens(F.col("text"))).alias("token")).distinct()
+    f = firms.select(F.col("id").alias("firm_id"), "canonical_name", F.explode(naming.distinctive_tokens(F.col("name"))).alias("token"))
+    salt, salts = F.pmod(F.xxhash64("canonical"), F.lit(SALTS)).cast("int"), F.sequence(F.lit(0), F.lit(SALTS - 1))
+    # Distinct only where a pair shares several words.
+    met = words.withColumn("__salt", salt).join(f.withColumn("__salt", F.explode(salts)), ["token", "__salt"]).where(may_reach(F.col("canonical"), F.col("canonical_name"), floor))
+    named = met.select("canonical", "firm_id", "canonical_name").distinct()
+    named = named.withColumn("score", fuzzy.token_set_column(F.col("canonical"), F.col("canonical_name"))).where(F.col("score") >= floor)
+    kept = Window.partitionBy("canonical").orderBy(F.desc("score"), "firm_id")
+    named = named.withColumn("__n", F.row_number().over(kept)).where(F.col("__n") <= MOST_CANDIDATES)
+    named = named.where(fuzzy.token_sort_column(F.col("canonical"), F.col("canonical_name")) >= SORT_FLOOR).select("canonical", "firm_id", "score")
+    told = firms.select(F.col("id").alias("firm_id"), "name", F.col("address").alias("firm_address"), F.col("phone").alias("firm_phone"), "parcel_ids")
+    pairs = mentions.select("mention_id", "canonical", "address", "phone", "parcel_id").join(named.join(told, "firm_id"), "canonical")
     evidence = F.array_compact(
         F.array(
             F.when(naming.normalize_phone(F.col("phone")) == naming.normalize_phone(F.col("firm_phone")), "phone"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import classify, dates, naming
@@ -69,15 +69,19 @@ def roster_diff(old: DataFrame, rendered: DataFrame, signals: DataFrame, now: Co
 def job_diff(old: DataFrame, rendered: DataFrame, signals: DataFrame, now: Column) -> Diff:
     """``rendered`` (firm_id, place, title, location, employment_type, url) against job postings.
 
-    Postings are the same if title and location are, in lower case. Firms without any
-    rendered posting are left as they are. Five open roles or more are a surge if there
+    Postings are the same if title and location are, in lower case; of stored ones that are
+    the same, the one with the least id is diffed and the others stay as they are. Firms
+    without any rendered posting are left as they are. Five open roles or more are a surge if there
     were none before, or if there are half as many again.
     """
     key = [F.lower("title").alias("__t"), F.lower(F.coalesce("location", F.lit(""))).alias("__l")]
     new = first_rows(rendered.select("*", *key), ["firm_id", "__t", "__l"], ["place"]).drop("place")
     seen_firms = rendered.select("firm_id").distinct()
-    scope = first_rows(old.join(seen_firms, "firm_id", "left_semi").select("*", *key), ["firm_id", "__t", "__l"], ["id"])
-    rest = old.join(seen_firms, "firm_id", "left_anti").withColumn("__change", F.lit("keep"))
+    same = Window.partitionBy("firm_id", "__t", "__l").orderBy("id")
+    numbered = old.join(seen_firms, "firm_id", "left_semi").select("*", *key).withColumn("__k", F.row_number().over(same))
+    scope = numbered.where("__k = 1").drop("__k")
+    others = numbered.where("__k > 1").select(*old.columns)
+    rest = old.join(seen_firms, "firm_id", "left_anti").select(*old.columns).unionByName(others).withColumn("__change", F.lit("keep"))
     j = scope.withColumn("__o", F.lit(True)).alias("o").join(new.withColumn("__n", F.lit(True)).alias("n"), ["firm_id", "__t", "__l"], "full_outer")
     was, comes = F.col("o.__o").isNotNull(), F.col("n.__n").isNotNull()
     change = F.when(comes & ~was, "open").when(comes & ~F.col("o.is_open"), "reopen").when(comes, "update").when(F.col("o.is_open"), "close").otherwise("keep")

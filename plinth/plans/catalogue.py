@@ -236,17 +236,6 @@ def permit_score_tiers(spark, d):
     return P.filings(spark, d).select("permit_type", classify.permit_score(F.col("valuation_usd") * 600, F.col("permit_type")).alias("score")).groupBy("permit_type", "score").agg(F.count("*").alias("n"))
 
 
-_PARCELS = "SELECT permit_number, locality, permit_number % 120 AS parcel_id FROM permits WHERE permit_number % 3 = 0"
-
-
-@_query(f", p AS ({_PARCELS}) SELECT permit_number, parcel_id, s_name AS owner_name FROM p LEFT JOIN supplier ON s_suppkey = parcel_id", "permits")
-def parcel_owner_enrich(spark, d):
-    p = P.permits(spark, d).where("permit_number % 3 = 0").select("permit_number", (F.col("permit_number") % 120).alias("parcel_id"))
-    owners = table(spark, d, "supplier").select(F.col("s_suppkey").alias("parcel_id"), F.col("s_name").alias("owner_name"))
-    return permits.with_parcel_owners(p, owners).select("permit_number", "parcel_id", "owner_name")
-
-
-
 _ALL_PARCELS = "SELECT permit_number, locality, CASE WHEN permit_number % 3 = 0 THEN permit_number % 120 END AS parcel_id FROM permits"
 
 
@@ -538,20 +527,6 @@ def chunk_documents(spark, d):
 _PAGED = "concat('lost ', '<!-- page:', doc_id % 9 + 1, ' -->', left(text, 3000), '\n<!-- page:40 -->  <!--  page:41-->', right(text, 300))"
 
 
-@_query(
-    f"""WITH t AS (SELECT doc_id, {_PAGED} AS x FROM documents WHERE doc_id % 3 = 0),
-p AS (SELECT doc_id, unnest(list_zip(regexp_extract_all(x, '<!--\\s*page:(\\d+)\\s*-->', 1), regexp_split_to_array(x, '<!--\\s*page:\\d+\\s*-->')[2:])) AS z, generate_subscripts(regexp_extract_all(x, '<!--\\s*page:(\\d+)\\s*-->', 1), 1) AS s FROM t),
-w AS (SELECT doc_id, s, CAST(z[1] AS INT) AS page, list_filter(regexp_split_to_array(z[2], '\\s+'), lambda v: v <> '') AS w FROM p),
-c AS (SELECT doc_id, s, page, w, unnest(range(CASE WHEN len(w) <= 346 THEN 1 ELSE 1 + CAST(ceil((len(w) - 346) / 308) AS BIGINT) END)) AS k FROM w WHERE len(w) > 0)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, k) - 1 AS INT) AS chunk_index, page AS page_number, sha256(array_to_string(w[k * 308 + 1 : k * 308 + 346], ' ')) AS text_hash FROM c"""
-)
-def page_split_chunks(spark, d):
-    body = F.concat(F.lit("lost "), F.lit("<!-- page:"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(" -->"), F.left("text", F.lit(3000)), F.lit("\n<!-- page:40 -->  <!--  page:41-->"), F.right("text", F.lit(300)))
-    docs = table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", body.alias("text"))
-    return documents.chunk_text(docs, "doc_id", "text").select("doc_id", "chunk_index", "page_number", F.sha2("text", 256).alias("text_hash"))
-
-
-
 _PAGED_WHOLE = "concat('lost ', '<!-- page:', doc_id % 9 + 1, ' -->', left(text, length(text) // 2), '\n<!-- page:40 -->  <!--  page:41-->', substr(text, length(text) // 2 + 1))"
 
 
@@ -761,3 +736,8 @@ def extract_selection(spark, d):
 def embed_chunks(spark, d):
     chunks = documents.chunk_text(table(spark, d, "documents"), "doc_id", "text")
     return chunks.select("doc_id", "chunk_index", vectors.embedder()("text").alias("embedding")).select("doc_id", "chunk_index", F.size("embedding").alias("size"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))
+
+
+# The same queries under the names that they had while they left rows out.
+for _name, _whole in (("parcel_owner_enrich", "parcel_owner_enrich_all"), ("page_split_chunks", "page_split_chunks_whole")):
+    QUERIES[_name], ORACLE[_name] = QUERIES[_whole], ORACLE[_whole]

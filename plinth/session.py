@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +48,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the folder that driver and executors share, removed when the session ends.
 
-    That is ``spark.checkpoint.dir``; where the session names none (tests), one is made and set.
+    That is ``spark.checkpoint.dir``. Where the session names none, one is made and set if
+    driver and executors are one process (tests); on a cluster that is an error.
     """
     import posixpath
     import tempfile
@@ -55,6 +57,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="plinth-")
         spark.sparkContext.setCheckpointDir(base)
     path = posixpath.join(base if "://" in base or base.startswith("file:") else "file://" + base, f"{name}-{uuid.uuid4().hex}")

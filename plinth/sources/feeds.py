@@ -1,8 +1,8 @@
 """Open-data permit feeds of two kinds, from stored pages or live, as permit records.
 
 Rows arrive as maps of strings; a field map says which source field feeds which column.
-``PermitFeed`` is a Python data source that reads a page for each partition and takes
-date filters down into the request.
+``PermitFeed`` is a Python data source that reads pages in order, stops where the feed
+ends, and takes date filters and a limit down into the request.
 """
 
 from __future__ import annotations
@@ -74,19 +74,34 @@ class Adapter:
         if "x" in rows.columns:
             out["lat"], out["lon"] = F.col("y"), F.col("x")
         out |= {"locality": F.lit(self.locality), "mention_field": mention, "raw": F.to_json("attributes")}
-        got = rows.select(*[out.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in _TARGETS.items()])
+        place = ["position"] if "position" in rows.columns else []
+        got = rows.select(*[out.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in _TARGETS.items()], *place)
         return got.where("permit_number IS NOT NULL AND permit_number <> ''")
 
     def read(self, spark: SparkSession, path: str, since: date | None = None, limit: int | None = None) -> DataFrame:
-        """The records of pages stored as JSON files, as a crawl would have read them."""
+        """The records of pages stored as JSON files, as a crawl would have read them, with each one's position in the feed; the first ``limit`` of them."""
         self.validate()
         got = self.records(self.stored_rows(spark, path))
         got = got.where(F.col("filed_date") >= F.lit(since)) if since and self.config.get("date_field") else got
-        return got.limit(limit) if limit is not None else got
+        return got.orderBy("position").limit(limit) if limit is not None else got
 
     def stored_rows(self, spark: SparkSession, path: str) -> DataFrame:
         raise NotImplementedError
 
+    def read_pages(self, pages: DataFrame, rows: str, more: Column) -> DataFrame:
+        """position and row: the items of the array column ``rows`` of stored pages (file, …), in the order of the files' names.
+
+        Reading stops at a page that is empty, or short unless ``more``, and after max_pages.
+        """
+        n = F.greatest(F.coalesce(F.size(rows), F.lit(0)), F.lit(0))
+        last = (n == 0) | (~F.coalesce(more, F.lit(False)) & (n < self.page_size))
+        # One row of metadata for each page: a window over all of them is right.
+        order = Window.orderBy("file")
+        kept = pages.select("file", last.alias("last")).withColumns({"ended": F.coalesce(F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)), "page": F.row_number().over(order)})
+        kept = kept.where(f"NOT ended AND page <= {self.max_pages}").select("file", "page")
+        found = pages.join(kept, "file").select("page", F.posexplode(rows).alias("place", "row"))
+        return found.select((F.col("page").cast("long") * (1 << 20) + F.col("place")).alias("position"), "row")
+
 
 class ArcGIS(Adapter):
     """Feature layers: pages of features with attributes and a geometry, dates in milliseconds."""
@@ -125,15 +140,9 @@ class ArcGIS(Adapter):
     def stored_rows(self, spark: SparkSession, path: str) -> DataFrame:
         """Pages in the order of their file names, up to the first that is empty, or short without more to come; an error page fails."""
         pages = spark.read.schema(self.PAGE).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_name"))
-        n = F.coalesce(F.size("features"), F.lit(0))
-        last = (n <= 0) | (~F.coalesce("exceededTransferLimit", F.lit(False)) & (n < self.page_size))
-        # At most max_pages rows of metadata: one window over all of them is right.
-        before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-        kept = pages.select("file", last.alias("last")).withColumn("ended", F.coalesce(F.max("last").over(before), F.lit(False))).withColumn("page", F.row_number().over(Window.orderBy("file")))
-        pages = pages.join(kept.where(f"NOT ended AND page <= {self.max_pages}").select("file"), "file")
         failed = F.raise_error(F.concat(F.lit(f"{self.locality}: error in a page: "), F.to_json("error"))).cast("array<struct<attributes map<string,string>, geometry struct<x double, y double>>>")
-        features = F.when(F.col("error").isNotNull(), failed).otherwise(F.col("features"))
-        return pages.select(F.explode(features).alias("f")).select("f.attributes", "f.geometry.x", "f.geometry.y")
+        pages = pages.withColumn("features", F.when(F.col("error").isNotNull(), failed).otherwise(F.col("features")))
+        return self.read_pages(pages, "features", F.col("exceededTransferLimit")).select("position", "row.attributes", "row.geometry.x", "row.geometry.y")
 
     @staticmethod
     def page_rows(payload) -> tuple[list[dict], bool]:
@@ -175,8 +184,9 @@ class Socrata(Adapter):
         return dates.iso_date(value)
 
     def stored_rows(self, spark: SparkSession, path: str) -> DataFrame:
-        rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("attributes"))
-        return rows
+        """Pages in the order of their file names, up to the first short one."""
+        pages = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", "array<map<string,string>>").alias("rows"))
+        return self.read_pages(pages, "rows", F.lit(False)).select("position", F.col("row").alias("attributes"))
 
     @staticmethod
     def page_rows(payload) -> tuple[list[dict], bool]:
@@ -196,14 +206,14 @@ def get_adapter(name: str, locality: str, config: dict) -> Adapter:
     return ADAPTERS[name](locality, config)
 
 
-class _Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
+class _Pages(InputPartition):
+    def __init__(self, first: int, end: int):
+        self.first, self.end = first, end
 
 
 class _FeedReader(DataSourceReader):
-    def __init__(self, adapter: Adapter, base: str | None, pages: int, since: date | None):
-        self.adapter, self.base, self.pages, self.since = adapter, base, pages, since
+    def __init__(self, adapter: Adapter, base: str | None, pages: int, since: date | None, limit: int | None = None, ranges: int = 1):
+        self.adapter, self.base, self.pages, self.since, self.limit, self.ranges = adapter, base, pages, since, limit, ranges
 
     def pushFilters(self, filters) -> Iterator:
         """Lower bounds on filed_date go into the request; Spark applies them too."""
@@ -213,31 +223,44 @@ class _FeedReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [_Page(k) for k in range(self.pages)]
+        each = -(-self.pages // self.ranges)
+        return [_Pages(k, min(k + each, self.pages)) for k in range(0, self.pages, each)]
 
-    def read(self, partition: _Page) -> Iterator[tuple]:
+    def _page(self, number: int):
         from urllib.request import urlopen
 
-        url = f"{self.base}/page-{partition.number}.json" if self.base else f"{self.adapter.url}?{urlencode(self.adapter.params(self.since, partition.number))}"
+        url = f"{self.base}/page-{number}.json" if self.base else f"{self.adapter.url}?{urlencode(self.adapter.params(self.since, number, self.limit))}"
         try:
             with urlopen(url, timeout=45) as reply:
-                payload = json.loads(reply.read())
-        except FileNotFoundError:
-            return
+                return json.loads(reply.read())
         except OSError as e:
-            if self.base and isinstance(getattr(e, "reason", None), FileNotFoundError):
-                return
+            missing = isinstance(e, FileNotFoundError) or isinstance(getattr(e, "reason", None), FileNotFoundError)
+            if self.base and missing:
+                return None
             raise
-        for row in self.adapter.page_rows(payload)[0]:
-            yield {k: None if v is None else str(v) for k, v in row["attributes"].items()}, row.get("x"), row.get("y")
+
+    def read(self, partition: _Pages) -> Iterator[tuple]:
+        """A range of pages, one after the other, up to the one after which the feed has no more."""
+        for number in range(partition.first, partition.end):
+            payload = self._page(number)
+            if payload is None:
+                return
+            rows, more = self.adapter.page_rows(payload)
+            for k, row in enumerate(rows):
+                if self.limit is not None and number * self.adapter.page_size + k >= self.limit:
+                    return
+                yield number * (1 << 20) + k, {a: None if v is None else str(v) for a, v in row["attributes"].items()}, row.get("x"), row.get("y")
+            if not more:
+                return
 
 
 class PermitFeed(DataSource):
-    """``spark.read.format("permit_feed")``: raw rows, a page for each partition.
+    """``spark.read.format("permit_feed")``: raw rows with their positions in the feed.
 
     Options: adapter, locality, config (JSON), pages (at most max_pages), base (a URL below
     which pages are stored as page-N.json; without it the feed's own address is asked),
-    since (ISO date).
+    since (ISO date), limit (rows), ranges (of pages that are read in parallel, 1 unless
+    told: a range stops at its first short page, so one range asks for no page too many).
     """
 
     @classmethod
@@ -245,18 +268,20 @@ class PermitFeed(DataSource):
         return "permit_feed"
 
     def schema(self) -> str:
-        return "attributes map<string,string>, x double, y double"
+        return "position long, attributes map<string,string>, x double, y double"
 
     def reader(self, schema) -> _FeedReader:
         o = self.options
         adapter = get_adapter(o["adapter"], o["locality"], json.loads(o.get("config", "{}")))
         adapter.validate()
         since = date.fromisoformat(o["since"]) if o.get("since") else None
-        return _FeedReader(adapter, o.get("base"), min(int(o.get("pages", adapter.max_pages)), adapter.max_pages), since)
+        limit = int(o["limit"]) if o.get("limit") else None
+        pages = min(int(o.get("pages", adapter.max_pages)), adapter.max_pages, *([max(1, -(-limit // adapter.page_size))] if limit is not None else []))
+        return _FeedReader(adapter, o.get("base"), pages, since, limit, max(1, int(o.get("ranges", 1))))
 
 
-def live_records(spark: SparkSession, name: str, locality: str, config: dict, since: date | None = None, pages: int | None = None, base: str | None = None) -> DataFrame:
-    """Permit records read through the data source."""
+def live_records(spark: SparkSession, name: str, locality: str, config: dict, since: date | None = None, pages: int | None = None, base: str | None = None, limit: int | None = None) -> DataFrame:
+    """Permit records read through the data source, with each one's position."""
     from plinth.session import workers_find_package
 
     workers_find_package(spark)
@@ -267,4 +292,5 @@ def live_records(spark: SparkSession, name: str, locality: str, config: dict, si
     options = {"adapter": name, "locality": locality, "config": json.dumps(config), "pages": str(pages or adapter.max_pages)}
     options |= {"since": since.isoformat()} if since else {}
     options |= {"base": base} if base else {}
+    options |= {"limit": str(limit)} if limit is not None else {}
     return adapter.records(spark.read.format("permit_feed").options(**options).load())

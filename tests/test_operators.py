@@ -66,7 +66,8 @@ def resolver_firms(spark):
 def ingest(spark, firms, records, old=None, signals=None):
     old = old if old is not None else spark.createDataFrame([], schemas.ddl("permits")).drop("created_at", "updated_at")
     none = lambda c: spark.createDataFrame([], f"{c} string")
-    return permits.ingest_permits(spark.createDataFrame(records, RECORD), old, firms, none("canonical_alias"), signals if signals is not None else none("dedupe_key"), none("canonical_mention"), NOW)
+    feed = spark.createDataFrame([(*r, k) for k, r in enumerate(records)], RECORD + ", position int")
+    return permits.ingest_permits(feed, old, firms, none("canonical_alias"), signals if signals is not None else none("dedupe_key"), none("canonical_mention"), NOW)
 
 
 def test_permits_are_idempotent(spark, resolver_firms):
@@ -89,6 +90,38 @@ def test_permit_rules(spark, resolver_firms):
     assert (got["1"].firm_id, got["1"].resolution_method, got["1"].status, float(got["1"].valuation_usd)) == ("sm", None, "open", 5e6)
 
 
+def test_repeats_in_a_batch_are_merged_in_feed_order(spark, resolver_firms):
+    """Twelve rows of one permit, so that order by text would differ; each adds what it has."""
+    base = list(record("1", None, None, None, "filed"))
+    feed = []
+    for k in range(12):
+        row = list(base)
+        row[6] = "1 Main St" if k == 1 else None
+        row[2] = "Office" if k == 0 else None
+        row[10] = 2e6 if k == 2 else None
+        row[4] = "Stanley Martin Companies, LLC" if k == 3 else "Nobody Known" if k == 10 else None
+        row[13] = f"status {k}" if k != 11 else None
+        feed.append(tuple(row))
+    got = ingest(spark, resolver_firms, feed)
+    p = got.permits.first()
+    assert (p.permit_type, p.address, float(p.valuation_usd), p.status) == ("Office", "1 Main St", 2e6, "status 10")
+    assert (p.firm_id, p.resolution_method, p.applicant_name_raw) == ("sm", None, "Nobody Known")
+    assert got.permits.count() == 1 and tuple(got.stats.first())[:3] == (1, 11, 1)
+    # The signal is the third row's; the firm was found later.
+    s = got.signals.first()
+    assert got.signals.count() == 1 and s.firm_id is None
+
+
+def test_announcements_of_one_project_are_merged(spark):
+    ddl = "ann_id int, headline string, project_name string, firm_names array<string>, project_type string, locality string, address string, unit_count int, square_feet int, acreage double, est_value_usd double, announced_date date, summary string"
+    rows_ = [(k, "h", "The Yard" if k else "THE YARD", [], "office" if k == 2 else None, "Reston", None, 240 if k == 1 else None, 10 * k if k in (3, 10) else None, None, None, None, f"s{k}") for k in range(12)]
+    old = spark.createDataFrame([], schemas.ddl("property_projects")).drop("created_at", "updated_at")
+    got = projects.ingest_announcements(spark.createDataFrame(rows_, ddl), old, spark.createDataFrame([], NO_KEYS), NOW)
+    p = got.projects.first()
+    assert (p.name, p.project_type, p.unit_count, p.square_feet, p.description) == ("THE YARD", "office", 240, 100, "s11")
+    assert tuple(got.stats.first()) == (1, 11, 0, 12, 1)
+
+
 def test_parcel_owners(spark, resolver_firms):
     p = spark.createDataFrame([("Fairfax", "1", None, "p1", date(2026, 1, 1)), ("Fairfax", "2", None, "p2", None), ("Fairfax", "3", "x", "p1", None), ("Reston", "4", None, "p1", None)], "locality string, permit_number string, firm_id string, parcel_id string, filed_date date")
     p = p.withColumns({c: F.lit(None).cast("string") for c in ("applicant_name_raw", "resolution_method")}).withColumn("resolution_confidence", F.lit(None).cast("double"))
@@ -131,6 +164,14 @@ def test_roster_diff(spark):
     assert rows(roster.roster_diff(old, new.limit(0), got.signals, NOW).state, "__change") == [("keep",)] * 3
 
 
+def test_job_diff_keeps_postings_that_are_the_same(spark):
+    t = datetime(2026, 1, 1)
+    old = spark.createDataFrame([("a", "f", "Analyst", "Reston", True, t, t, None, "u1"), ("b", "f", "ANALYST", "reston", True, t, t, None, "u2"), ("c", "f", "Cook", None, True, t, t, None, "u3")], "id string, firm_id string, title string, location string, is_open boolean, first_seen_at timestamp, last_seen_at timestamp, closed_at timestamp, url string")
+    new = spark.createDataFrame([("f", 0, "analyst", "Reston", None, "u9")], "firm_id string, place int, title string, location string, employment_type string, url string")
+    got = roster.job_diff(old, new, spark.createDataFrame([], NO_KEYS), NOW)
+    assert rows(got.state, "id", "url", "__change") == [("a", "u1", "update"), ("b", "u2", "keep"), ("c", "u3", "close")]
+
+
 def test_job_diff(spark):
     t = datetime(2026, 1, 1)
     old = spark.createDataFrame([("1", "f", "Analyst", "Reston, VA", True, t, t, None), ("2", "f", "Broker", None, False, t, t, t), ("3", "f", "Clerk", None, True, t, t, None)], "id string, firm_id string, title string, location string, is_open boolean, first_seen_at timestamp, last_seen_at timestamp, closed_at timestamp")
