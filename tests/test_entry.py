@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from plinth.plans import catalogue, more  # noqa: F401  more registers its queries
+from plinth.plans import catalogue, made, more  # noqa: F401  these register their queries
 from plinth.plans import proxies as P
 
 SF = "/root/testdata/sf0.001"

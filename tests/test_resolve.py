@@ -3,6 +3,9 @@ from pyspark.sql import functions as F
 
 from plinth.functions import naming
 from plinth.operators import resolve as R
+from plinth.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
 
 FIRMS = [
     ("comstock", "Comstock Holding Companies, Inc.", ["Comstock Partners", "CHCI"], "1900 Reston Metro Plaza, Reston, VA", "(703) 230-1985", []),
@@ -93,3 +96,71 @@ def test_firm_records(spark):
     permits = spark.createDataFrame([(1, "p1"), (1, "p1"), (2, None)], "firm_id long, parcel_id string")
     got = {r.id: r for r in R.firm_records(firms, aliases, permits).collect()}
     assert got[1].aliases == ["w", "x"] and got[1].parcel_ids == ["p1"] and got[2].aliases == [] and got[2].parcel_ids == []
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def plain_ratio(a, b):
+    return 200.0 * plain_lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
+def plain_set_ratio(a, b):
+    left, right = set(a.split()), set(b.split())
+    both, one, two = " ".join(sorted(left & right)), " ".join(sorted(left)), " ".join(sorted(right))
+    if not left or not right:
+        return 0.0
+    if both and not (left - right and right - left):
+        return 100.0
+    joined = [" ".join(x for x in (both, " ".join(sorted(s))) if x) for s in (left - right, right - left)]
+    del one, two
+    return max(plain_ratio(*joined), *([plain_ratio(both, j) for j in joined] if both else [0.0]))
+
+
+def test_resolve_full_against_brute_force(spark):
+    """Every mention against every firm, word by word; whole names, ties and corroboration."""
+    m, f = catalogue.resolver_case(spark, SF)
+    firms = f.withColumns({"words": naming.distinctive_tokens(F.col("name")), "p": naming.normalize_phone(F.col("phone")), "a": naming.normalize_address(F.col("address"))}).orderBy("id").collect()
+    mentions = m.withColumns({"c": naming.canonicalize(F.col("text")), "words": naming.distinctive_tokens(F.col("text")), "p": naming.normalize_phone(F.col("phone")), "a": naming.normalize_address(F.col("address"))}).orderBy("mention_id").collect()
+    want, memory = {}, {}
+    for x in mentions:
+        exact = [y.id for y in firms if y.canonical_name == x.c]
+        if exact:
+            want[x.mention_id] = ("resolved", str(min(exact)), "exact")
+            continue
+        if x.c in memory:
+            want[x.mention_id] = ("resolved", memory[x.c], "alias")
+            continue
+        scored = [(plain_set_ratio(x.c, y.canonical_name), y) for y in firms if set(x.words) & set(y.words)]
+        scored = sorted(((s, y) for s, y in scored if s >= 80), key=lambda t: (-t[0], t[1].id))[:25]
+        scored = [(s, y) for s, y in scored if plain_ratio(" ".join(sorted(x.c.split())), " ".join(sorted(y.canonical_name.split()))) >= 60]
+        told = []
+        for s, y in scored:
+            sure = (x.p and x.p == y.p) or (x.a and x.a == y.a) or (x.parcel_id and x.parcel_id in y.parcel_ids)
+            told.append((min(100.0, s + (12 if sure else 0)), str(y.id), bool(sure)))
+        told.sort(key=lambda t: (-t[0], t[1]))
+        tie = len(told) > 1 and abs(told[0][0] - told[1][0]) < 2
+        if not told:
+            want[x.mention_id] = ("unmatched", None, None)
+        elif told[0][0] >= 92 and not tie:
+            want[x.mention_id] = ("resolved", told[0][1], "corroborated" if told[0][2] else "fuzzy")
+            memory[x.c] = told[0][1]
+        else:
+            want[x.mention_id] = ("ambiguous", None, None)
+    got = {r.mention_id: (r.status, r.firm_id, r.method) for r in catalogue.resolve_full(spark, SF).collect()}
+    assert got == want
+    assert {s for s, _, _ in want.values()} == {"resolved", "ambiguous", "unmatched"} and {"exact", "corroborated", "fuzzy"} <= {k for *_, k in want.values()}
+
+
+def test_token_ratios_against_brute_force(spark):
+    other = "red widget of the small bolt"
+    rows = catalogue.token_ratios(spark, SF).collect()
+    for r in rows:
+        assert r.set_ratio == pytest.approx(plain_set_ratio(r.p_name, other), abs=1e-5)
+        assert r.sort_ratio == pytest.approx(plain_ratio(" ".join(sorted(r.p_name.split())), " ".join(sorted(other.split()))), abs=1e-5)

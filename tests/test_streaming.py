@@ -3,7 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from plinth.operators import roster
-from plinth.plans import catalogue
+from plinth.plans import catalogue, made
 from plinth.streaming import signals as S
 
 SF = "/root/testdata/sf0.001"
@@ -25,10 +25,22 @@ def brute_limits(rows, limit, seconds):
 def test_rate_limit(spark):
     rows = spark.read.parquet(f"{SF}/events.parquet").select((F.col("user_id") % 10).alias("u"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).collect()
     want = brute_limits([(r.u, r.event_id, r.t / 1e6) for r in rows], 2, 21600.0)
-    got = {r.id: r.allowed for r in catalogue.stream_rate_limit(spark, SF).collect()}
+    got = {r.id: r.allowed for r in made.stream_rate_limit(spark, SF).collect()}
     assert got == want and len(set(want.values())) == 2
 
 
+def test_rate_limit_of_a_key_with_many_requests(spark, tmp_path):
+    """Far more requests of one key than a part of a batch holds, in any order."""
+    import random
+
+    rng = random.Random(1)
+    rows = [("u", k, rng.randrange(200_000)) for k in range(25_000)]
+    spark.createDataFrame(rows, "uid string, id long, at long").select("uid", "id", F.timestamp_seconds("at").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("uid string, id long, ts timestamp").parquet(f"{tmp_path}/in")
+    got = {r.id: r.allowed for r in S.finished(spark, S.rate_limited(stream, 3, 60.0)).collect()}
+    assert got == brute_limits([(u, k, float(t)) for u, k, t in rows], 3, 60.0)
+
+
 def test_alert_fan_out_resumes(spark, tmp_path):
     from plinth.plans import proxies as P
 
