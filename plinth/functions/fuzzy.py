@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.session import workers_find_package
+
 
 def trigrams(text: Column) -> Column:
     """The distinct trigrams of a text's alphanumeric words, each padded by two spaces before and one after."""
@@ -64,6 +66,8 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def _pairs(score):
+    workers_find_package(SparkSession.active())
+
     @F.pandas_udf("double")
     def apply(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -62,8 +62,8 @@ def may_reach(a: Column, b: Column, floor: float) -> Column:
 
 def scored_candidates(mentions: DataFrame, firms: DataFrame, floor: float = REVIEW_FLOOR) -> DataFrame:
     """mention_id and candidates (by effective score, then id) of mentions (mention_id, canonical, text, address, phone, parcel_id)."""
-    words = mentions.select("canonical", F.explode(naming.distinctive_tokens(F.col("text"))).alias("token")).distinct()
-    f = firms.select(F.col("id").alias("firm_id"), "canonical_name", F.explode(naming.distinctive_tokens(F.col("name"))).alias("token"))
+    words = mentions.select("canonical", F.explode(naming.distinctive_words(F.col("canonical"))).alias("token")).distinct()
+    f = firms.select(F.col("id").alias("firm_id"), "canonical_name", F.explode(naming.distinctive_words(F.col("canonical_name"))).alias("token"))
     salt, salts = F.pmod(F.xxhash64("canonical"), F.lit(SALTS)).cast("int"), F.sequence(F.lit(0), F.lit(SALTS - 1))
     # Distinct only where a pair shares several words.
     met = words.withColumn("__salt", salt).join(f.withColumn("__salt", F.explode(salts)), ["token", "__salt"]).where(may_reach(F.col("canonical"), F.col("canonical_name"), floor))
