@@ -24,6 +24,8 @@ from plinth.llm.common import column, columns_of, map_arrow, small, utf8
 
 #: Entries that a worker's memo of pieces or of pairs may hold before it starts anew.
 MEMO = 200_000
+#: Characters of a piece that is worth remembering, at most.
+MEMO_CHARS = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -133,9 +135,11 @@ class Encoder:
         for s in split(text):
             got = pieces.get(s)
             if got is None:
-                if len(pieces) >= MEMO:
-                    pieces.clear()
-                got = pieces[s] = self.piece(s if s.isascii() else s.encode().decode("latin-1"))
+                got = self.piece(s if s.isascii() else s.encode().decode("latin-1"))
+                if len(s) <= MEMO_CHARS:  # long pieces hardly come again and would fill the worker
+                    if len(pieces) >= MEMO:
+                        pieces.clear()
+                    pieces[s] = got
             out += got
         return out
 

@@ -84,13 +84,18 @@ _FORMATTED = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("segment
 
 
 def _format(batches):
-    at, part, offset = object(), 0, 0
+    at, part, offset, before, told = object(), 0, 0, "", ("", "")
     for batch in batches:
         out: list[tuple] = []
         for conv, role, text in zip(*(column(batch, c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
             if conv != at:
-                at, part, offset = conv, 0, 0
-            segment, first, end = render(role.decode("utf-8", "replace"), text.decode("utf-8", "replace"))
+                at, part, offset, before = conv, 0, 0, ""
+            turn = role.decode("utf-8", "replace"), text.decode("utf-8", "replace")
+            segment, first, end = render(*turn)
+            # A turn ends where the grammar says, whatever follows; so turns that parse in pairs parse as a whole.
+            if before and [t[:2] for t in parse(before + segment)] != [told, turn]:
+                raise ValueError(f"turns {part - 1} and {part} of a conversation don't come back from their rendering")
+            before, told = segment, turn
             under = role == b"assistant"
             out.append((conv, part, segment, offset, offset + first if under else None, offset + end if under else None))
             part, offset = part + 1, offset + len(segment)

@@ -183,8 +183,10 @@ def live_rows(rows: DataFrame, key: str) -> DataFrame:
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", normalise: Callable | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Rows whose normalised texts are the same bytes form a group; the one with the
-    largest ``key`` stays. A null text is an empty one; a null key ranks lowest. Of
+    Rows whose normalised texts are the same bytes form a group (told by their SHA-256,
+    which the index holds as its keys: a hit of the filter is verified against the whole
+    digest in its bucket, not against the text itself); the one with the largest ``key``
+    stays. Keys must be whole numbers, or cast to them: others fail under ANSI rules. A null text is an empty one; a null key ranks lowest. Of
     rows that share text and key, the one read last stays, so that every group keeps
     exactly one row. An empty table gives no rows. Other columns are not read.
     ``normalise`` maps a text column to a text column. ``docs`` must be a stored

@@ -592,5 +592,41 @@ def test_pipeline(spark):
             assert ids == {k for k, _ in texts} and all(r.round_trip and r.n_tokens == len(r.ids) for r in after)
 
 
+def sf_of(spark, tmp_path, docs):
+    """A folder of tables with these documents, few labels and a small benchmark."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (6, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, SHARED), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path, clashing_docs):
+    """Nulls, empty and long texts, ties, repeated rows and clashing columns through every stage."""
+    sf = sf_of(spark, tmp_path, clashing_docs)
+    docs = table(spark, sf, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = corpus_pipeline.stored(stage(spark, docs, sf), name)
+        if name == "byte_bpe":
+            assert docs.columns == ["doc_id", "ids", "n_tokens", "round_trip"] and docs.count() == before.count() and docs.where("NOT round_trip").count() == 0
+        else:
+            assert docs.columns == before.columns and docs.exceptAll(before).count() == 0
+        if name == "exact_dedup":
+            texts = [r.text or "" for r in before.collect()]
+            assert sorted(r.text or "" for r in docs.collect()) == sorted(set(texts))
+        if name == "decontaminate":
+            assert docs.where(F.contains("text", F.lit(SHARED))).count() == 0
+    # The stages that the classifier would keep rows from, on all rows.
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        got = stage(spark, table(spark, sf, "documents"), sf)
+        assert got.count() <= len(ROWS), name
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path, no_docs):
+    sf = sf_of(spark, tmp_path, no_docs)
+    got = corpus_pipeline.run(spark, sf)
+    assert got.columns == ["doc_id", "ids", "n_tokens", "round_trip"] and got.count() == 0
+
+
 def test_hash_of_shingles_is_the_public_one():
     assert xxhash.xxh64_intdigest(b"a b c d", 42) == int.from_bytes(xxhash.xxh64(b"a b c d", 42).digest(), "big")
