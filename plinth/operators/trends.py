@@ -51,14 +51,21 @@ def trend_windows(firms: DataFrame, permits: DataFrame, jobs: DataFrame, signals
     projects count in the firm's county only, jobs and signals everywhere.
     """
     counted = _numbered(_in_scope(permits, firms), "filed_date", as_of, days)
-    p = counted.groupBy("firm_id", "w").agg(F.count("*").alias("permit_count"), F.sum("valuation_usd").cast("double").alias("valuation_sum_usd"))
-    mix = asset_class_mix(counted, ["firm_id", "w"])
-    s = _numbered(signals.where("NOT is_derived"), "occurred_at", as_of, days).groupBy("firm_id", "w").agg(F.count("*").alias("news_mention_count"))
-    n = _numbered(_in_scope(projects, firms), "announced_date", as_of, days).groupBy("firm_id", "w").agg(F.count("*").alias("new_project_count"))
+    none = F.lit(0).cast("long")
+    measures = ("permit_count", "open_job_count", "news_mention_count", "new_project_count")
+    value = F.lit(None).cast(counted.schema["valuation_usd"].dataType)
+    tagged = lambda df, name, n=F.lit(1).cast("long"), v=value: df.select("firm_id", "w", *[(n if m == name else none).alias(m) for m in measures], v.alias("valuation_usd"))
+    # The facts of all tables in one, so that firms and windows are met once.
+    facts = tagged(counted, "permit_count", v=F.col("valuation_usd"))
+    for df, name, n in (
+        (open_jobs(jobs, as_of, days), "open_job_count", F.col("open_job_count")),
+        (_numbered(signals.where("NOT is_derived"), "occurred_at", as_of, days), "news_mention_count", F.lit(1).cast("long")),
+        (_numbered(_in_scope(projects, firms), "announced_date", as_of, days), "new_project_count", F.lit(1).cast("long")),
+    ):
+        facts = facts.unionByName(tagged(df, name, n))
+    sums = facts.groupBy("firm_id", "w").agg(*[F.sum(m).alias(m) for m in measures], F.sum("valuation_usd").cast("double").alias("valuation_sum_usd"))
     spine = firms.where("is_active").select(F.col("id").alias("firm_id"), F.col("county").alias("locality"), F.explode(F.sequence(F.lit(0), F.lit(BASELINES))).alias("w"))
-    out = spine
-    for facts in (p, mix, open_jobs(jobs, as_of, days), s, n):
-        out = out.join(facts, ["firm_id", "w"], "left")
+    out = spine.join(sums, ["firm_id", "w"], "left").join(asset_class_mix(counted, ["firm_id", "w"]), ["firm_id", "w"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("int").alias(c)
     start = lambda k: F.date_sub(as_of, (F.col("w") + k) * days).cast("timestamp")
     return out.select(
