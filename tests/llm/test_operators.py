@@ -284,6 +284,15 @@ def test_decontamination(spark, tmp_path, monkeypatch, block_bytes):
     assert plain(left.select("doc_id")) == [(3,), (4,), (5,)]
 
 
+def test_decontamination_beyond_a_block_keeps_rows_and_columns(spark, clashing_docs, monkeypatch):
+    items = spark.createDataFrame([(1, "the same text"), (2, None), (3, SHARED), (4, "word " * 12), (5, "x" * 120_000)], "item_id int, text string")
+    want = plain(decontaminate.mark_contamination(clashing_docs, items).select("doc_id", "lang", "shard", "kept", "n_words", "runs", "items"))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 0)
+    got = decontaminate.mark_contamination(clashing_docs, items)
+    assert plain(got.select("doc_id", "lang", "shard", "kept", "n_words", "runs", "items")) == want and set(got.columns) == set(clashing_docs.columns)
+    assert decontaminate.drop_contaminated(clashing_docs, items).columns == clashing_docs.columns
+
+
 # SimHash
 
 
