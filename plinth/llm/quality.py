@@ -238,7 +238,10 @@ def _sample(rows: DataFrame, bound: int, toxic: bool) -> tuple[list[str], list[n
     """The ``bound`` rows (key, __in, target, __hash) with the smallest hashes."""
     found = map_arrow(rows, _sampled(toxic), "pattern string, features array<int>, target double, __hash long")
     got = found.orderBy("__hash", "features", "target").limit(bound).toArrow()
-    found = [np.asarray(f, np.int32) for f in got.column("features").to_pylist()]
+    # Views of one array: Python lists of so many numbers would fill the driver.
+    ends = np.cumsum([0, *pa.compute.list_value_length(got.column("features")).to_pylist()])
+    values = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in got.column("features").chunks)])
+    found = [values[a:b] for a, b in pairwise(ends.tolist())]
     order = sorted(range(len(found)), key=lambda i: found[i].tobytes())  # training doesn't depend on how rows arrive
     return [got.column("pattern")[i].as_py() for i in order], [found[i] for i in order], got.column("target").to_numpy()[order]
 
@@ -277,6 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
     quality = train_scorer(found, np.array([weak.of(p) for p in patterns]), rate=0.05, least_docs=LEAST_DOCS)
     if not found:
         quality[-1] = 10.0
+    del patterns, found
     toxic = None
     if labels is not None:
         told = labels.where("toxic IS NOT NULL").select(F.col(key).alias("key"), F.col("toxic").cast("double").alias("target"))
