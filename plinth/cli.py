@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth import session
-from plinth.operators import alerts, digest, documents, permits, projects, query, resolve, roster, trends
+from plinth.operators import alerts, delivery, digest, documents, permits, projects, query, resolve, roster, trends
 from plinth.schemas import LEAD_TYPES
-from plinth.sources import feeds, html, seeds
+from plinth.sources import feeds, html, pdf, seeds
 from plinth.store import Store
 
 KINDS = {"crawl-firms": "firm_site", "careers": "careers", "zoning": "zoning_minutes", "news": "news"}
@@ -56,15 +56,28 @@ def verify_seeds(s: Store, a) -> DataFrame:
 
 
 def crawl(s: Store, a) -> DataFrame:
-    """Store the pages (url, html, status) of due sources of a kind."""
+    """Store the pages (url, html, status) of due sources of a kind, and the pages and PDFs that they lead to.
+
+    A source that follows links leads to those on its index page, the stored one if there
+    is one. ``--pdfs``: pages of PDFs (doc_id: the address, page, text, markdown).
+    """
     due = documents.due_sources(s.read("sources"), _stamp(a.now), KINDS[a.command], a.locality, a.limit)
-    pages = s.spark.read.parquet(a.pages)
-    rows = due.select(F.col("id").alias("source_id"), "base_url").join(pages, F.col("base_url") == F.col("url"))
-    rows = rows.select("source_id", "url", F.col("url").alias("final_url"), F.col("html").alias("raw_text"), html.text_of(F.col("html")).alias("cleaned_text"), F.lit("html").alias("content_type"), _stamp(a.now).alias("fetched_at"), F.col("status").alias("http_status"))
-    told = documents.persist_outcomes(rows, s.read("raw_documents"), ["url"])
+    pages, known = s.spark.read.parquet(a.pages), s.read("raw_documents")
+    fetched = pages.select("url", "html", F.lit(None).cast("boolean").alias("robots_allowed"))
+    index = html.index_html(due.select("base_url"), known.select("url", "raw_text", "fetched_at"), fetched).withColumnRenamed("base_url", "url")
+    rules = due.select(F.col("base_url").alias("url"), F.coalesce("config.link_pattern", F.lit("")).alias("pattern"), F.when(F.coalesce("config.follow_links", F.lit(False)), F.coalesce("config.max_links", F.lit(html.MOST_LINKS))).otherwise(0).alias("most"))
+    targets = html.crawl_targets(index.join(rules, "url"), F.col("pattern"), F.col("most"))
+    wanted = due.select(F.col("id").alias("source_id"), "base_url").join(targets, F.col("base_url") == F.col("source_url")).select("source_id", "place", "url")
+    rows = wanted.join(pages, "url").select("source_id", "place", "url", F.col("url").alias("final_url"), F.col("html").alias("raw_text"), html.text_of(F.col("html")).alias("cleaned_text"), F.lit("html").alias("content_type"), _stamp(a.now).alias("fetched_at"), F.col("status").alias("http_status"))
+    told = documents.persist_outcomes(rows.drop("place"), known, ["url"])
+    if a.pdfs:
+        docs = pdf.documents_from_pages(s.spark.read.parquet(a.pdfs)).withColumnRenamed("doc_id", "url")
+        files = wanted.join(docs, "url").select("source_id", "url", F.col("url").alias("final_url"), F.col("text").alias("raw_text"), F.col("markdown").alias("cleaned_text"), F.lit("pdf").alias("content_type"), _stamp(a.now).alias("fetched_at"), F.lit(200).alias("http_status"), "page_count", "is_scanned")
+        told = told.unionByName(documents.pdf_outcomes(files, known.unionByName(documents.stored_documents(told).select("content_hash"), allowMissingColumns=True), ["url"]).drop("is_scanned"), allowMissingColumns=True)
     stats = documents.batch_stats(told, "source_id").collect()
-    fresh = documents.new_documents(told, s.read("raw_documents"))
-    crawled = rows.select("source_id", F.when(F.col("http_status") >= 400, F.concat(F.lit("status "), F.col("http_status").cast("string"))).alias("error")).dropDuplicates(["source_id"])
+    fresh = documents.new_documents(told, known)
+    first = rows.where("place = 0")
+    crawled = first.select("source_id", F.when(F.col("http_status") >= 400, F.concat(F.lit("status "), F.col("http_status").cast("string"))).alias("error")).dropDuplicates(["source_id"])
     after = documents.mark_crawled(s.read("sources"), crawled, _stamp(a.now))
     s.append("raw_documents", fresh)
     s.write("sources", after)
@@ -157,14 +170,20 @@ def deliver(s: Store, a) -> DataFrame:
     return s.spark.createDataFrame(sink.sent, "channel string, target string, body string")
 
 
+def deliver_digest(s: Store, a) -> DataFrame:
+    """The latest digest to all active users (id, email, is_active), through the recording sink."""
+    users = s.spark.read.schema("id string, email string, is_active boolean").json(a.users)
+    return delivery.sent(delivery.digest_messages(s.read("digests"), users), alerts.RecordingSink(), "html")
+
+
 COMMANDS = {
     "seed": seed, "verify-seeds": verify_seeds, "crawl-firms": crawl, "careers": crawl, "zoning": crawl, "news": crawl, "permits": ingest_feed, "extract": extract,
-    "discover-team-pages": discover, "status": status, "failing": failing, "embed": embed, "enrich-permits": enrich_permits, "trends": run_trends, "digest": run_digest, "deliver-alerts": deliver,
+    "discover-team-pages": discover, "status": status, "failing": failing, "embed": embed, "enrich-permits": enrich_permits, "trends": run_trends, "digest": run_digest, "deliver-digest": deliver_digest, "deliver-alerts": deliver,
 }
 _OPTIONS = {
     "seed": ("--firms", "--sources?"), "verify-seeds": ("--probes",), "permits": ("--adapter", "--locality", "--pages", "--config?", "--since?", "--limit?"), "extract": ("--task", "--limit?"),
-    "discover-team-pages": ("--pages",), "enrich-permits": ("--owners", "--locality"), "trends": ("--as-of", "--window-days?"), "digest": ("--as-of",),
-} | {k: ("--pages", "--locality?", "--limit?") for k in KINDS}
+    "discover-team-pages": ("--pages",), "enrich-permits": ("--owners", "--locality"), "trends": ("--as-of", "--window-days?"), "digest": ("--as-of",), "deliver-digest": ("--users",),
+} | {k: ("--pages", "--pdfs?", "--locality?", "--limit?") for k in KINDS}
 
 
 def parser() -> argparse.ArgumentParser:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plinth.functions.text import day_label
 from plinth.operators.upsert import upsert
 from plinth.schemas import LEAD_TYPES, row_id
+from plinth.session import workers_find_package
 
 # The floor, the days, and how many lines a section has.
 SCORE_FLOOR, DAYS, LINES, ERROR_LINES, PROMPT_LINES = 0.5, 7, 10, 5, 20
@@ -38,16 +39,26 @@ def sections(signals: DataFrame, firms: DataFrame, as_of: Column, least: float =
     """firm_id, firm_name, max_score, n_signals, signal_ids, narrative of each known firm.
 
     The narrative is a list of the first ten lines; ``narrate`` (firm name, twenty lines) may write another.
+    Where it returns nothing the list stands; where it fails, the list's first five lines.
     """
     chosen = digest_signals(signals, as_of, least, days)
     first = ranked(chosen).where(F.col("rank") <= max(LINES, PROMPT_LINES))
     top = lambda n, mark: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= n, F.struct("rank", "line")))), lambda x: F.concat(F.lit(mark), x["line"])), "\n")
-    lines = first.groupBy("firm_id").agg(top(LINES, "- ").alias("narrative"), top(PROMPT_LINES, "").alias("prompt"))
+    lines = first.groupBy("firm_id").agg(top(LINES, "- ").alias("narrative"), top(PROMPT_LINES, "").alias("prompt"), top(ERROR_LINES, "- ").alias("short"))
     ids = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), lambda x: x["id"])
     g = chosen.groupBy("firm_id").agg(F.max("score").alias("max_score"), F.count("*").alias("n_signals"), ids.alias("signal_ids")).join(lines, "firm_id")
     out = g.join(firms.select(F.col("id").alias("firm_id"), F.col("name").alias("firm_name")), "firm_id")
     if narrate is not None:
-        out = out.withColumn("narrative", F.coalesce(F.udf(narrate, "string")("firm_name", "prompt"), "narrative"))
+        workers_find_package(signals.sparkSession)
+
+        def told(name: str, lines: str) -> tuple[str | None, bool]:
+            try:
+                return narrate(name, lines), False
+            except Exception:  # noqa: BLE001  a model may fail in any way; the digest goes on
+                return None, True
+
+        out = out.withColumn("__told", F.udf(told, "text string, failed boolean")("firm_name", "prompt"))
+        out = out.withColumn("narrative", F.when(F.col("__told.failed"), F.col("short")).otherwise(F.coalesce("__told.text", "narrative")))
     return out.select("firm_id", "firm_name", "max_score", "n_signals", "signal_ids", "narrative")
 
 

@@ -501,6 +501,26 @@ def alert_delivery(spark, d):
     return got.select("alert_id", "signal_id", "status")
 
 
+def _narrate(name: str, lines: str) -> str | None:
+    """A model that counts lines; it has nothing to say of every third firm and fails for another third."""
+    n = int(name[-1])
+    if n % 3 == 0:
+        raise RuntimeError("no answer")
+    return f"{len(lines.splitlines())} lines" if n % 3 == 1 else None
+
+
+@_query(
+    f""", r AS (SELECT *, signal_type = 'hiring_surge' AS lead FROM signals WHERE {_WEEK}), k AS (SELECT *, row_number() OVER (PARTITION BY firm_id ORDER BY lead DESC, score DESC, id) AS rank FROM r),
+l AS (SELECT firm_id, rank, concat('- ', CASE WHEN lead THEN '★' ELSE '·' END, ' [', strftime(occurred_at, '%b %-d'), '] ', title) AS line FROM k)
+SELECT firm_id, CASE CAST(right(any_value(name), 1) AS INT) % 3 WHEN 0 THEN string_agg(line, chr(10) ORDER BY rank) FILTER (rank <= 5) WHEN 1 THEN concat(least(count(*), 20), ' lines') ELSE string_agg(line, chr(10) ORDER BY rank) FILTER (rank <= 10) END AS narrative FROM l JOIN firms f ON f.id = firm_id GROUP BY firm_id""",
+    "signals firms",
+)
+def digest_narratives(spark, d):
+    """A writer of narratives gets twenty lines; ten stand in for silence, five for a failure."""
+    got = digest.sections(P.signals(spark, d), P.firms(spark, d), F.lit("2024-01-18 09:00:00").cast("timestamp"), narrate=_narrate)
+    return got.select("firm_id", "narrative")
+
+
 def _stored_digest(spark, d) -> DataFrame:
     return digest.digest(P.signals(spark, d), P.firms(spark, d), F.lit("2024-01-18 09:00:00").cast("timestamp"))
 

@@ -87,3 +87,44 @@ def test_a_failed_write_leaves_the_old_version(spark, tmp_path):
     assert s.read("digests").first().title == "u"
     with pytest.raises(ValueError, match="unknown table"):
         s.write("nope", s.read("digests"))
+
+
+def test_crawl_follows_links_and_pdfs(spark, run, tmp_path):
+    run("seed", "--firms", "@firms.yaml", "--sources", "@sources.yaml")
+    s = Store(spark, f"file://{tmp_path}/store")
+    config = "named_struct('follow_links', true, 'link_pattern', 'minutes', 'max_links', 2)"
+    s.write("sources", s.read("sources").selectExpr("* EXCEPT (config)", f"IF(kind = 'news', {config}, config) AS config"))
+    base = "https://n.example.org"
+    index = f'<p>{"index text " * 40}</p><a href="/minutes/1">1</a><a href="/other">o</a><a href="/minutes/2.pdf">2</a><a href="/minutes/3">3</a>'
+    spark.createDataFrame([(base, index, 200), (f"{base}/minutes/1", "<p>" + "minutes of the board " * 30 + "</p>", 200), (f"{base}/minutes/3", "<p>" + "too many " * 60 + "</p>", 200)], "url string, html string, status int").write.parquet(f"{tmp_path}/linked")
+    spark.createDataFrame([(f"{base}/minutes/2.pdf", 1, "page one " * 40, "## Page one\n" + "page one " * 40), ("elsewhere", 1, "x", "x")], "doc_id string, page int, text string, markdown string").write.parquet(f"{tmp_path}/pdfs")
+    assert run("news", "--pages", "@linked", "--pdfs", "@pdfs").first().stored == 3
+    got = {r.url: r.content_type for r in s.read("raw_documents").collect()}
+    assert got == {base: "html", f"{base}/minutes/1": "html", f"{base}/minutes/2.pdf": "pdf"}
+
+
+def test_a_crash_between_rows_and_pointer_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    s = Store(spark, f"file://{tmp_path}/store")
+    one = spark.createDataFrame([("a", "one")], "id string, title string")
+    s.write("digests", one)
+    put = Store._put_in_force
+    monkeypatch.setattr(Store, "_put_in_force", lambda *args: (_ for _ in ()).throw(RuntimeError("killed")))
+    for change in (s.write, s.append):
+        with pytest.raises(RuntimeError, match="killed"):
+            change("digests", one.withColumn("title", one.title))
+    assert s.version("digests") == 1 and [r.title for r in s.read("digests").collect()] == ["one"]
+    monkeypatch.setattr(Store, "_put_in_force", put)
+    s.append("digests", one)
+    assert s.version("digests") == 2 and s.read("digests").count() == 2
+    # Two writers of one version: the second fails.
+    with pytest.raises(RuntimeError, match="another job"):
+        s._put_in_force("digests", 2, [])
+    s.vacuum("digests")
+    assert s.read("digests").count() == 2
+
+
+def test_deliver_digest(spark, run, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    s.write("digests", spark.sql("SELECT 'a' AS id, DATE '2026-01-05' AS period_start, 'T' AS title, '# x' AS markdown"))
+    (tmp_path / "users.json").write_text("\n".join(json.dumps(u) for u in ({"id": "1", "email": "a@x.org", "is_active": True}, {"id": "2", "email": "b@x.org", "is_active": False}, {"id": "3", "is_active": True})))
+    assert tuple(run("deliver-digest", "--users", "@users.json").first()) == (1, 1, 0)
