@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions import dates, naming, vectors
-from plinth.operators import accounts, alerts, delivery, digest, documents, permits, projects, query, resolve, retrieve, roster, trends
+from plinth.operators import accounts, alerts, delivery, digest, documents, permits, projects, query, resolve, retrieve, roster, trends, vector_index
 from plinth.plans import proxies as P
 from plinth.plans.catalogue import _ALERT_WHERE, _BODY, _CHALLENGE, _GRAMS, _VECS, _VECTOR, _W, _WEEK, _alerts, _bodies, _query
 from plinth.schemas import ddl
@@ -232,6 +232,40 @@ def firm_search_semantic(spark, d):
     return retrieve.search_semantic(e, _VECTOR, most=0.9).select("id", F.round("distance", 6).alias("distance"))
 
 
+def index_recall(spark, d, lists: int = 32, probes: int = 22, k: int = 10):
+    """Of the true ``k`` nearest of every twentieth vector, over all vectors, the share that the index finds."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    queries = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    c = vector_index.centres(e, lists)
+    found = vector_index.search(vector_index.indexed(e, c), c, queries, k, probes)
+    # The truth is the search that probes every list.
+    true = vector_index.search(vector_index.indexed(e, c), c, queries, k, len(c))
+    both = true.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return both.agg(F.count("*").alias("n"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
+@_query("SELECT count(*) * 10 AS n, true AS reaches_nine_tenths FROM embeddings WHERE vec_id % 20 = 0")
+def vector_index_recall(spark, d):
+    """The index against exact search: every row is indexed. These vectors hardly cluster, so 22 of 32 lists are probed."""
+    return index_recall(spark, d).select("n", (F.col("recall") >= 0.9).alias("reaches_nine_tenths"))
+
+
+_DOT = "list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda z: z[1] * z[2]))"
+_LENGTH = "sqrt(list_sum(list_transform(CAST({x}.embedding AS DOUBLE[]), lambda z: z * z)))"
+
+
+@_query(
+    f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, 1 - {_DOT} / ({_LENGTH.format(x="a")} * {_LENGTH.format(x="b")}) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p) SELECT query_id, id, round(distance, 5) AS distance FROM r WHERE rank <= 3"""
+)
+def vector_index_exact(spark, d):
+    """All lists probed: the index leaves out no row."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    c = vector_index.centres(e, 16)
+    queries = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return vector_index.search(vector_index.indexed(e, c), c, queries, 3, len(c)).select("query_id", "id", F.round("distance", 5).alias("distance"))
+
+
 @_query(
     f"""WITH m AS (SELECT DISTINCT p_name AS mention_id, {_GRAMS.format(x="p_name")} AS a FROM part), f AS (SELECT DISTINCT concat(p_name, ' ', lower(p_type)) AS firm_id, {_GRAMS.format(x="concat(p_name, ' ', lower(p_type))")} AS b FROM part),
 s AS (SELECT mention_id, firm_id, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS similarity FROM m, f), k AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY similarity DESC, firm_id) AS n FROM s WHERE similarity > 0.1)

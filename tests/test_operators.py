@@ -370,3 +370,12 @@ def test_verify_seeds(spark):
     s = spark.createDataFrame([("a", True), ("b", True), ("c", True), ("d", False)], "base_url string, is_active boolean")
     p = spark.createDataFrame([("a", 200, "a/", None), ("b", 200, "x", None), ("c", None, None, "timeout")], "base_url string, status int, final_url string, error string")
     assert rows(query.verify_seeds(s, p), "base_url", "verdict") == [("a", "ok"), ("b", "moved"), ("c", "broken")]
+
+
+def test_vector_index_recall(spark):
+    """Measured against search over all lists: at least 0.9, and less with fewer lists."""
+    from plinth.plans import made
+
+    full = made.index_recall(spark, "/root/testdata/sf0.001").first()
+    few = made.index_recall(spark, "/root/testdata/sf0.001", probes=4).first()
+    assert full.n == few.n == 250 and full.recall >= 0.9 > few.recall
