@@ -142,6 +142,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return map_arrow(rows, _fingerprints(words, seed), "doc_id long, row long, print long")
 
 
+#: Shares that the members of one component are cut into.
+SALTS = 16
+
+
 def _bands(budget: int) -> list[tuple[int, int]]:
     """(start, width) of budget + 1 bands of the 64 bits."""
     cuts = [BITS * k // (budget + 1) for k in range(budget + 2)]
@@ -184,10 +188,12 @@ def links(prints: DataFrame, budget: int = 4) -> DataFrame:
 def classes(prints: DataFrame, budget: int = 4) -> DataFrame:
     """(print, component_id): for each distinct fingerprint the smallest doc_id that its component holds."""
     least = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
-    roots = components(links(prints, budget))
-    member = least.join(roots, least.print == roots.node, "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    whole = member.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
-    return member.join(whole, "root").select("print", "component_id")
+    member = least.join(components(links(prints, budget)), F.col("print") == F.col("node"), "left").select("print", "least", "root")
+    alone = member.where("root IS NULL").select("print", F.col("least").alias("component_id"))
+    # Members of a large component share its root: they meet its smallest doc_id over salts.
+    linked = member.where("root IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(SALTS)).cast("int"))
+    whole = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return alone.union(linked.join(whole, ["root", "salt"]).select("print", "component_id"))
 
 
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, budget: int = 4, seed: int = 42) -> DataFrame:
