@@ -68,12 +68,16 @@ def chunk_arrays(text: Column, tokens: int = CHUNK_TOKENS, overlap: int = OVERLA
     per_chunk = max(1, int(tokens / TOKENS_PER_WORD))
     shared = max(0, int(overlap / TOKENS_PER_WORD))
     step = max(1, per_chunk - shared)
-    found = split_words(text)
-    n = F.size(found)
-    last = F.when(n <= per_chunk, 0).otherwise(F.ceil((n - per_chunk) / step)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(found, k * step + 1, per_chunk))
-    chunks = F.transform(parts, lambda p: F.struct(F.array_join(p, " ").alias("text"), rough_tokens(F.size(p)).alias("token_count")))
-    return F.when(n > 0, chunks).otherwise(F.slice(chunks, 1, 0))
+
+    def cut(found: Column) -> Column:
+        n = F.size(found)
+        last = F.when(n <= per_chunk, 0).otherwise(F.ceil((n - per_chunk) / step)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(found, k * step + 1, per_chunk))
+        chunks = F.transform(parts, lambda p: F.struct(F.array_join(p, " ").alias("text"), rough_tokens(F.size(p)).alias("token_count")))
+        return F.when(n > 0, chunks).otherwise(F.slice(chunks, 1, 0))
+
+    # The words are bound once: read inside the lambda of chunks, the text would be split again for each chunk.
+    return F.get(F.transform(F.array(split_words(text)), cut), F.lit(0))
 
 
 def page_sections(text: Column) -> Column:
