@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import byte_bpe, chat, decontaminate, exact_dedup, lm, quality, sharding, simhash, suffix_dedup, warc
+from plinth.llm import byte_bpe, chat, decontaminate, exact_dedup, lm, merkle, quality, sharding, simhash, suffix_dedup, warc
 from plinth.session import table
 
 
@@ -91,18 +91,68 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), tampered=tampered)
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_lm, op4_decontaminate, op5_simhash, op6_warc, op7_chat, op8_exact_dedup, op9_suffix_dedup, op10_byte_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_lm, op4_decontaminate, op5_simhash, op6_warc, op7_chat, op8_exact_dedup, op9_suffix_dedup, op10_byte_bpe, op11_merkle, pipeline)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 _ESCAPE = r"""regexp_replace(x, '([\[<])(\\*)(/?(?:INST\]|SYS\]|ROLE[:\]]|s>))', '\1\\\2\3', 'g')"""
 
+
+
+def _merkle_sql(levels: int = 5) -> str:
+    """The manifest with its trie unrolled: groups of up to 16^levels rows, as many groups."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(f"({value(c)})" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r >> 1, CAST(3988292384 AS BIGINT)) ELSE r >> 1 END))"
+
+    def trie(name: str, by: str) -> str:
+        """name0 has by, pos, n, h; nameK is the level K, rK_name its runs."""
+        out = []
+        for k in range(levels):
+            out.append(f"r{k}_{name} AS (SELECT {by}, n, pos // 16 AS pos, list(h ORDER BY pos) AS run FROM {name}{k} WHERE n > {16**k} GROUP BY {by}, n, pos // 16)")
+            out.append(f"{name}{k + 1} AS (SELECT {by}, n, pos, sha256(array_to_string(run, '')) AS h FROM r{k}_{name})")
+        tops = " UNION ALL ".join(f"SELECT {by}, h FROM {name}{k} WHERE pos = 0 AND n <= {16**k}" + (f" AND n > {16 ** (k - 1)}" if k else "") for k in range(levels + 1))
+        return ",\n".join([*out, f"{name}_top AS ({tops})"])
+
+    def joins(name: str, by: str, alias: str) -> str:
+        return " ".join(f"LEFT JOIN r{k}_{name} {name}{k}r ON {name}{k}r.{by} = {alias}.{by} AND {name}{k}r.pos = {alias}.pos // {16 ** (k + 1)}" for k in range(levels))
+
+    side = lambda name, k, alias, part: f"coalesce(array_to_string({name}{k}r.run[{part}], ''), '')".replace("@", f"(({alias}.pos // {16**k}) % 16)")
+    steps = [(name, k, alias) for name, alias in (("d", "d"), ("s", "s")) for k in range(levels)]
+    lefts = [side(n, k, a, ":@") for n, k, a in steps]
+    rights = [side(n, k, a, "@ + 2:") for n, k, a in steps]
+    cols = ", ".join(f"{lf} AS l{i}, {rt} AS r{i}, {n}{k}r.run IS NOT NULL AS b{i}" for i, (lf, rt, (n, k, _)) in enumerate(zip(lefts, rights, steps, strict=True)))
+    folds = ",\n".join(f"f{i + 1} AS (SELECT * REPLACE (CASE WHEN b{i} THEN sha256(l{i} || f || r{i}) ELSE f END AS f) FROM f{i})" for i in range(len(steps)))
+    return f"""
+WITH leaves AS (SELECT doc_id, source, {leaf("text")} AS leaf,
+       CASE WHEN doc_id IS NOT NULL AND xor({crc}, CAST(4294967295 AS BIGINT)) % 5 = 0 THEN {leaf(f"translate(text, '{upper}', '{lower}')")} END AS swap FROM documents),
+d AS (SELECT *, coalesce('=' || source, '') AS g, count(*) OVER (PARTITION BY source) AS n,
+       row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+d0 AS (SELECT g, n, pos, leaf AS h FROM d),
+{trie("d", "g")},
+s AS (SELECT 0 AS one, g, h, count(*) OVER () AS n, row_number() OVER (ORDER BY encode(g)) - 1 AS pos FROM d_top),
+s0 AS (SELECT one, n, pos, h FROM s),
+{trie("s", "one")},
+f0 AS (SELECT d.doc_id, d.leaf, s.h AS subroot, t.h AS root, coalesce(d.swap, d.leaf) AS f, {cols}
+       FROM d JOIN s ON s.g = d.g CROSS JOIN s_top t {joins("d", "g", "d")} {joins("s", "one", "s")}),
+{folds}
+SELECT doc_id, leaf, subroot, root, sha256({" || ".join(f"l{i} || r{i}" for i in range(len(steps)))}) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{len(steps)}"""
+
+
 ORACLE_SQL = {
+    "op11_merkle": _merkle_sql(),
     "op4_decontaminate": f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {_WORDS} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
