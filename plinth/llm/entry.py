@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import byte_bpe, chat, decontaminate, exact_dedup, lm, merkle, quality, sharding, simhash, suffix_dedup, warc
+from plinth.llm import byte_bpe, chat, decontaminate, exact_dedup, lm, merkle, quality, sharding, simhash, suffix_dedup, superkmer, warc
 from plinth.session import table
 
 
@@ -97,13 +97,17 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_super_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.remove_repeats(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_lm, op4_decontaminate, op5_simhash, op6_warc, op7_chat, op8_exact_dedup, op9_suffix_dedup, op10_byte_bpe, op11_merkle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_lm, op4_decontaminate, op5_simhash, op6_warc, op7_chat, op8_exact_dedup, op9_suffix_dedup, op10_byte_bpe, op11_merkle, op12_super_kmer, pipeline)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 _ESCAPE = r"""regexp_replace(x, '([\[<])(\\*)(/?(?:INST\]|SYS\]|ROLE[:\]]|s>))', '\1\\\2\3', 'g')"""
@@ -204,4 +208,14 @@ cut AS (SELECT rid, count(*) AS n, sum(b - a) AS removed, max(b) AS last,
 SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
        sha256(unhex(CASE WHEN n IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
 FROM d LEFT JOIN cut USING (rid)""",
+    "op12_super_kmer": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, doc_id, s, array_to_string(w[s + 1 : s + 20], ' ') AS x FROM (SELECT *, unnest(range(len(w) - 19)) AS s FROM d WHERE len(w) >= 20)),
+f AS (SELECT x, min((coalesce(doc_id, 9223372036854775807), s)) AS first FROM win GROUP BY x HAVING count(*) > 1),
+hit AS (SELECT rid, s FROM win JOIN f USING (x) WHERE first < (coalesce(doc_id, 9223372036854775807), s)),
+gone AS (SELECT DISTINCT rid, unnest(range(s, s + 20)) AS p FROM hit),
+cut AS (SELECT rid, count(*) AS n, list(p) AS ps FROM gone GROUP BY rid),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p FROM d) ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN cut USING (rid) LEFT JOIN kept USING (rid)""",
 }
