@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import byte_bpe, chat, decontaminate, exact_dedup, lm, merkle, quality, sharding, simhash, suffix_dedup, superkmer, warc
+from plinth.llm import alignment, byte_bpe, chat, decontaminate, exact_dedup, lm, merkle, quality, sharding, simhash, suffix_dedup, superkmer, warc
 from plinth.session import table
 
 
@@ -101,13 +101,19 @@ def op12_super_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.remove_repeats(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    rows = alignment.align(table(spark, sf_dir, "documents"), *files, public_tokenizers.PATTERN, details=False)
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_lm, op4_decontaminate, op5_simhash, op6_warc, op7_chat, op8_exact_dedup, op9_suffix_dedup, op10_byte_bpe, op11_merkle, op12_super_kmer, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality, op3_lm, op4_decontaminate, op5_simhash, op6_warc, op7_chat, op8_exact_dedup, op9_suffix_dedup, op10_byte_bpe, op11_merkle, op12_super_kmer, op13_alignment, pipeline)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 _ESCAPE = r"""regexp_replace(x, '([\[<])(\\*)(/?(?:INST\]|SYS\]|ROLE[:\]]|s>))', '\1\\\2\3', 'g')"""
