@@ -180,7 +180,7 @@ def _ask_marks(length: int, mark: int, n_buckets: int):
             bucket, marks, times = _marks(words, SuperKmers(words, length, mark), length, n_buckets)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
             yield from _tables(
-                ({"bucket": int(bucket[a]), "block": block, "marks": marks[a:b].tobytes(), "docs": times[a:b].tobytes(), "also": b""} for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)),
+                ({"bucket": int(bucket[a]), "block": block, "marks": marks[a:b].tobytes(), "docs": times[a:b].tobytes(), "also": b""} for a, b in zip(cuts, [*cuts, len(bucket)][1:], strict=True)),
                 _ASK,
             )
 
