@@ -65,3 +65,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to shared storage and read back, so that what is made of it doesn't work it out again; cuts the lineage."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
