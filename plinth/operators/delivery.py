@@ -32,14 +32,14 @@ def digest_messages(digests: DataFrame, users: DataFrame, digest_id=None) -> Dat
 def contact_messages(leads: DataFrame, recipients: DataFrame) -> DataFrame:
     """lead_id, email, reply_to, subject, body: each enquiry for each recipient, one of each spelling.
 
-    ``leads``: id, full_name, work_email, company, message. Recipients are the few addresses of a setting.
+    ``leads``: id, full_name, work_email, company, message. Recipients are the addresses of a setting, any number of them.
     """
     to = recipients.where("email IS NOT NULL AND trim(email) <> ''").groupBy(F.lower(F.trim("email")).alias("key")).agg(F.min(F.trim("email")).alias("email")).select("email")
     name = F.coalesce(naming.blank_to_null(F.col("full_name")), naming.local_part(F.col("work_email")))
     subject = F.concat(F.lit("New enquiry from "), name, F.coalesce(F.concat(F.lit(" ("), naming.blank_to_null(F.col("company")), F.lit(")")), F.lit("")))
     body = F.concat_ws("\n", F.concat(F.lit("Name: "), name), F.concat(F.lit("Email: "), "work_email"), F.concat(F.lit("Company: "), naming.blank_to_null(F.col("company"))), F.lit(""), F.coalesce(naming.blank_to_null(F.col("message")), F.lit("(no message)")))
     rows = leads.select(F.col("id").alias("lead_id"), F.col("work_email").alias("reply_to"), subject.alias("subject"), body.alias("body"))
-    return rows.crossJoin(F.broadcast(to.limit(1000)))
+    return rows.crossJoin(to)  # the output is every enquiry for every recipient
 
 
 def sent(messages: DataFrame, sink: Any, body: str) -> DataFrame:

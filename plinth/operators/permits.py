@@ -11,6 +11,7 @@ from plinth.functions import classify, text
 from plinth.operators.resolve import learned_aliases, resolve, review_queue, with_alias_memory
 from plinth.operators.upsert import first_rows, new_only, upsert
 from plinth.schemas import row_id
+from plinth.session import kept
 
 
 def permit_id(locality: Column, number: Column) -> Column:
@@ -65,7 +66,7 @@ def ingest_permits(records: DataFrame, old: DataFrame, firms: DataFrame, aliases
     rows = records.withColumns({"mention_id": F.concat_ws("\x1f", at, "locality", F.col("permit_number").cast("string")), "id": permit_id(F.col("locality"), F.col("permit_number"))})
     named = F.trim(F.coalesce("applicant_name_raw", F.lit(""))) != ""
     mentions = rows.where(named).select("mention_id", F.col("applicant_name_raw").alias("text"), "address", F.lit(None).cast("string").alias("phone"), "parcel_id")
-    told = with_alias_memory(resolve(mentions, firms))
+    told = kept(with_alias_memory(resolve(mentions, firms)), "told")  # what all outputs below are made of
     hit = told.select("mention_id", F.col("status").alias("told"), F.col("firm_id").alias("firm_id"), F.col("method").alias("resolution_method"), F.when(F.col("status") == "resolved", F.col("confidence")).alias("resolution_confidence"))
     each = rows.join(hit, "mention_id", "left")
     values = [c for c in records.columns if c not in (*keys, order, "id", "mention_field", "raw", "source_url")] + ["firm_id"]
@@ -117,7 +118,8 @@ def enrich_with_owners(permits: DataFrame, owners: DataFrame, firms: DataFrame,
     number = F.col("permit_number").cast("string")
     rows = rows.withColumn("mention_id", F.concat_ws("\x1f", day, F.lpad(F.length(number).cast("string"), 6, "0"), number))
     none = F.lit(None).cast("string")
-    told = with_alias_memory(resolve(rows.where("owner_name IS NOT NULL").select("mention_id", F.col("owner_name").alias("text"), none.alias("address"), none.alias("phone"), none.alias("parcel_id")), firms))
+    owned = rows.where("owner_name IS NOT NULL").select("mention_id", F.col("owner_name").alias("text"), none.alias("address"), none.alias("phone"), none.alias("parcel_id"))
+    told = kept(with_alias_memory(resolve(owned, firms)), "told")  # what all outputs below are made of
     hit = rows.join(told.select("mention_id", F.col("status").alias("told"), F.col("firm_id").alias("found_id"), "method", "confidence"), "mention_id", "left")
     change = hit.where("owner_name IS NOT NULL").select("locality", "permit_number", "owner_name", "told", "found_id", "method", "confidence")
     got = F.col("told") == "resolved"

@@ -11,6 +11,7 @@ from plinth.functions import classify, naming
 from plinth.operators.resolve import resolve
 from plinth.operators.upsert import new_only, upsert
 from plinth.schemas import row_id
+from plinth.session import kept
 
 
 class ProjectBatch(NamedTuple):
@@ -28,7 +29,7 @@ def attribute_announcements(announcements: DataFrame, firms: DataFrame) -> DataF
     mentions = mentions.withColumn("mention_id", F.concat_ws("\x1f", F.col("mention_id.ann_id").cast("string"), F.col("mention_id.place").cast("string")))
     keys = tried.select("ann_id", "place", F.concat_ws("\x1f", F.col("ann_id").cast("string"), F.col("place").cast("string")).alias("mention_id"))
     told = resolve(mentions, firms).where("status = 'resolved'").join(keys, "mention_id")
-    first = told.groupBy("ann_id").agg(F.min_by("firm_id", "place").alias("firm_id"))
+    first = kept(told.groupBy("ann_id").agg(F.min_by("firm_id", "place").alias("firm_id")), "told")
     return announcements.join(first, "ann_id", "left")
 
 

@@ -1,27 +1,29 @@
 """Entity resolution: mentions to firms by exact key, alias, then scored candidates.
 
 Rungs 1 and 2 are equi-joins with deduplicated keys. Rung 3 requires a shared
-distinctive word, so candidates come from an equi-join on exploded words and only
-they are scored, once for each distinct name among the mentions. The mentions of a word
-are dealt over salts, so that one word that very many share is many tasks' work, and
-pairs whose lengths alone rule a score out aren't scored.
+distinctive word, so candidates come from an equi-join of distinct keys on exploded
+words, split where very many mentions share a word. Lengths and character counts bound a
+pair's score; subsequences are worked out only where they can matter, once for each two
+texts, over whole Arrow batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import fuzzy, naming
 from plinth.operators.upsert import first_rows, new_only
 from plinth.schemas import row_id
+from plinth.session import kept
 
 # Thresholds.
 AUTO_ACCEPT, REVIEW_FLOOR, BONUS, SORT_FLOOR, MOST_CANDIDATES, TIE = 92.0, 80.0, 12.0, 60.0, 25, 2.0
-#: Into how many shares the mentions of one word are cut.
-SALTS = 8
+#: Mentions of one word that one task meets with its firms; shares over which the firms of one name are ranked first.
+SPLIT, SHARES = 4096, 64
+_PARTS = ("__shared", "__first", "__second")
 CANDIDATE = "firm_id string, name string, score double, effective double, corroborated boolean, corroboration array<string>"
 
 
@@ -46,31 +48,67 @@ def exact_and_alias(mentions: DataFrame, firms: DataFrame) -> DataFrame:
     return mentions.join(exact, "canonical", "left").join(alias, "canonical", "left")
 
 
-def may_reach(a: Column, b: Column, floor: float) -> Column:
-    """False only where the lengths of two keys and of the words that they share rule out a token-set score of ``floor``.
+def met_pairs(mentions: DataFrame, firms: DataFrame) -> DataFrame:
+    """canonical, canonical_name and their words (__a, __b): distinct keys that share a distinctive word, each pair once, at the first such word.
 
-    The score is the best of three ratios of texts: of the shared words and each key's, in
-    which the shorter text begins the longer one, and of the two keys', which is at most
-    that of their lengths.
+    A word of more than ``SPLIT`` mentions is many tasks' work: they are dealt over as many
+    salts as they need, and only the firms of such a word are copied.
     """
-    one, other = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
-    long = lambda x: F.length(F.array_join(x, " "))
-    s, m, n = long(F.array_intersect(one, other)), long(one), long(other)
-    ratio = lambda x, y: 200.0 * F.least(x, y) / F.greatest(x + y, F.lit(1))
-    return (F.greatest(ratio(s, m), ratio(s, n), ratio(m, n)) >= floor - 0.01) | (m + n == 0)
+    each = lambda df, key, words, all_: df.where(f"{key} <> ''").select(key).distinct().withColumns({words: naming.distinctive_words(F.col(key)), all_: fuzzy.set_words(F.col(key))})
+    m, f = each(mentions, "canonical", "__m", "__a"), each(firms, "canonical_name", "__f", "__b")
+    m, f = (x.withColumn("token", F.explode(words)) for x, words in ((m, "__m"), (f, "__f")))
+    salts = m.groupBy("token").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("__n"))
+    m = m.join(salts, "token").withColumn("__salt", F.pmod(F.xxhash64("canonical"), F.col("__n")).cast("int")).drop("__n")
+    f = f.join(salts, "token").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    # Few rows make many pairs, so the tasks are told apart by number and not merged by their sizes.
+    n = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = m.repartition(n, "token", "__salt").join(f.repartition(n, "token", "__salt"), ["token", "__salt"])
+    return met.where(F.col("token") == F.array_min(F.array_intersect("__m", "__f"))).select("canonical", "canonical_name", "__a", "__b")
+
+
+def open_pairs(met: DataFrame, floor: float) -> DataFrame:
+    """The pairs that may score ``floor``: canonical, canonical_name, __shared, __first, __second (token_set_parts), __known, __need, __may.
+
+    Lengths tell a part of the score (__known). __may is whether a common subsequence of
+    the words that a pair doesn't share, of __need characters at least, can raise it.
+    """
+    # A generator holds the parts, so that the conditions on them don't work them out again.
+    p = met.select("canonical", "canonical_name", F.inline(F.array(fuzzy.token_set_parts(F.col("__a"), F.col("__b")))))
+    p = p.select("canonical", "canonical_name", F.col("shared").alias("__shared"), F.get("texts", F.lit(0)).alias("__first"), F.get("texts", F.lit(1)).alias("__second"))
+    p = p.withColumn("__known", fuzzy.token_set_known(*_PARTS))
+    p = p.withColumn("__need", fuzzy.token_set_need(*_PARTS, F.greatest(F.col("__known"), F.lit(floor))))
+    # A subsequence is no longer than the shorter text; a score of 100 can't rise.
+    may = (F.col("__known") < 100) & (F.col("__need") <= F.least(F.length("__first"), F.length("__second")))
+    return p.withColumn("__may", may).where((F.col("__known") >= floor) | F.col("__may"))
+
+
+def subsequences(pairs: DataFrame) -> DataFrame:
+    """__first, __second, __common: each two texts once, however many pairs have them, and only if the characters that both have don't rule a rise out."""
+    texts = pairs.where("__may").groupBy("__first", "__second").agg(F.min("__need").alias("__need"))
+    return texts.select("__first", "__second", fuzzy.lcs_column(F.col("__first"), F.col("__second"), F.col("__need")).alias("__common")).where("__common IS NOT NULL")
+
+
+def scored_pairs(met: DataFrame, floor: float) -> DataFrame:
+    """canonical, canonical_name, score: the pairs whose token-set score is ``floor`` or more."""
+    p = kept(open_pairs(met, floor), "pairs")  # read twice
+    scored = p.where("__may").join(subsequences(p), ["__first", "__second"], "left").withColumn("score", fuzzy.token_set_score(*_PARTS, F.col("__common")))
+    sure = p.where("NOT __may").withColumn("score", F.col("__known"))
+    return scored.where(F.col("score") >= floor).select("canonical", "canonical_name", "score").unionByName(sure.select("canonical", "canonical_name", "score"))
+
+
+def _first_ids(firms: DataFrame, most: int) -> DataFrame:
+    """canonical_name, firm_id: of each name the ``most`` firms with the smallest ids; a name of very many firms is ranked over shares first."""
+    f = firms.select("canonical_name", F.col("id").alias("firm_id")).withColumn("__share", F.pmod(F.xxhash64("firm_id"), F.lit(SHARES)))
+    for by in (["canonical_name", "__share"], ["canonical_name"]):
+        f = f.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("firm_id"))).where(F.col("__n") <= most)
+    return f.select("canonical_name", "firm_id")
 
 
 def scored_candidates(mentions: DataFrame, firms: DataFrame, floor: float = REVIEW_FLOOR) -> DataFrame:
     """mention_id and candidates (by effective score, then id) of mentions (mention_id, canonical, text, address, phone, parcel_id)."""
-    words = mentions.select("canonical", F.explode(naming.distinctive_words(F.col("canonical"))).alias("token")).distinct()
-    f = firms.select(F.col("id").alias("firm_id"), "canonical_name", F.explode(naming.distinctive_words(F.col("canonical_name"))).alias("token"))
-    salt, salts = F.pmod(F.xxhash64("canonical"), F.lit(SALTS)).cast("int"), F.sequence(F.lit(0), F.lit(SALTS - 1))
-    # Distinct only where a pair shares several words.
-    met = words.withColumn("__salt", salt).join(f.withColumn("__salt", F.explode(salts)), ["token", "__salt"]).where(may_reach(F.col("canonical"), F.col("canonical_name"), floor))
-    named = met.select("canonical", "firm_id", "canonical_name").distinct()
-    named = named.withColumn("score", fuzzy.token_set_column(F.col("canonical"), F.col("canonical_name"))).where(F.col("score") >= floor)
-    kept = Window.partitionBy("canonical").orderBy(F.desc("score"), "firm_id")
-    named = named.withColumn("__n", F.row_number().over(kept)).where(F.col("__n") <= MOST_CANDIDATES)
+    named = scored_pairs(met_pairs(mentions, firms), floor).join(_first_ids(firms, MOST_CANDIDATES), "canonical_name")
+    best = Window.partitionBy("canonical").orderBy(F.desc("score"), "firm_id")
+    named = named.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= MOST_CANDIDATES)
     named = named.where(fuzzy.token_sort_column(F.col("canonical"), F.col("canonical_name")) >= SORT_FLOOR).select("canonical", "firm_id", "score")
     told = firms.select(F.col("id").alias("firm_id"), "name", F.col("address").alias("firm_address"), F.col("phone").alias("firm_phone"), "parcel_ids")
     pairs = mentions.select("mention_id", "canonical", "address", "phone", "parcel_id").join(named.join(told, "firm_id"), "canonical")

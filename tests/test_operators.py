@@ -379,3 +379,12 @@ def test_vector_index_recall(spark):
     full = made.index_recall(spark, "/root/testdata/sf0.001").first()
     few = made.index_recall(spark, "/root/testdata/sf0.001", probes=4).first()
     assert full.n == few.n == 250 and full.recall >= 0.9 > few.recall
+
+
+def test_every_recipient_gets_every_enquiry(spark):
+    from plinth.operators import delivery
+
+    leads = spark.createDataFrame([(1, "Ann Lee", "ann@h.org", None, None)], "id long, full_name string, work_email string, company string, message string")
+    to = spark.range(1500).select(F.concat(F.lit("to"), F.col("id").cast("string"), F.lit("@h.org")).alias("email"))
+    got = delivery.contact_messages(leads, to.union(to.select(F.upper("email"))))
+    assert got.count() == got.select("email").distinct().count() == 1500

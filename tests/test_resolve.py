@@ -1,7 +1,11 @@
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plinth.functions import naming
+from plinth.functions import fuzzy, naming
 from plinth.operators import resolve as R
 from plinth.plans import catalogue
 
@@ -164,3 +168,54 @@ def test_token_ratios_against_brute_force(spark):
     for r in rows:
         assert r.set_ratio == pytest.approx(plain_set_ratio(r.p_name, other), abs=1e-5)
         assert r.sort_ratio == pytest.approx(plain_ratio(" ".join(sorted(r.p_name.split())), " ".join(sorted(other.split()))), abs=1e-5)
+
+
+def test_lcs_batch_against_plain():
+    """Ties of length, empty texts, texts over 64 characters, and alphabets too large for a table."""
+    rng = random.Random(5)
+    texts = ["", "a", "abc", "é漢字", "x" * 64, "ab" * 32, "ab" * 40, *("".join(rng.choice("abcd e") for _ in range(rng.randint(0, 80))) for _ in range(60))]
+    for more in ([], ["".join(map(chr, range(200, 900)))]):
+        a, b = rng.choices([*texts, *more], k=250), rng.choices([*texts, *more], k=250)
+        want = [plain_lcs(x, y) for x, y in zip(a, b, strict=True)]
+        assert fuzzy.lcs_batch(a, b).tolist() == want
+        need = np.array([rng.randint(0, 40) for _ in a])
+        got = fuzzy.lcs_batch(a, b, need)
+        both = [sum((Counter(x) & Counter(y)).values()) for x, y in zip(a, b, strict=True)]
+        assert got.tolist() == [w if c >= n else -1 for w, c, n in zip(want, both, need.tolist(), strict=True)]
+    assert fuzzy.lcs_batch([], []).tolist() == []
+
+
+def met_pairs(spark, sf):
+    m, f = catalogue.resolver_case(spark, sf)
+    keyed = m.withColumn("canonical", naming.canonicalize(F.col("text")))
+    return R.met_pairs(R.exact_and_alias(keyed, f).where("canonical <> '' AND exact_id IS NULL AND alias_id IS NULL"), f)
+
+
+def test_few_pairs_are_scored(spark):
+    """Of the pairs that meet on sf0.1, under 5 % need a subsequence (1.4 %)."""
+    met = met_pairs(spark, "/root/testdata/sf0.1").cache()
+    n = met.count()
+    assert n > 1_500_000
+    assert R.subsequences(R.open_pairs(met, 80.0)).count() < 0.05 * n
+    met.unpersist()
+
+
+def test_no_pair_that_scores_the_floor_is_left_out(spark):
+    met = met_pairs(spark, "/root/testdata/sf0.01").cache()
+    assert met.select("canonical", "canonical_name").distinct().count() == met.count()
+    got = {(r.canonical, r.canonical_name): r.score for r in R.scored_pairs(met, 80.0).collect()}
+    for r in met.select("canonical", "canonical_name").orderBy(F.xxhash64("canonical", "canonical_name")).limit(4000).collect():
+        score = plain_set_ratio(r.canonical, r.canonical_name)
+        assert (score >= 80.0) == ((r.canonical, r.canonical_name) in got)
+        if score >= 80.0:
+            assert got[r.canonical, r.canonical_name] == pytest.approx(score)
+
+
+def test_hot_words_and_names_are_split(spark, monkeypatch):
+    """Salts and shares change no row."""
+    m, f = catalogue.resolver_case(spark, SF)
+    keyed = m.withColumn("canonical", naming.canonicalize(F.col("text")))
+    whole = sorted(map(str, R.scored_candidates(keyed, f).collect()))
+    monkeypatch.setattr(R, "SPLIT", 3)
+    monkeypatch.setattr(R, "SHARES", 2)
+    assert sorted(map(str, R.scored_candidates(keyed, f).collect())) == whole
