@@ -55,9 +55,9 @@ class Side:
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """The ids of all texts, how many each has, and the bytes that they join to."""
-        lists = [np.asarray(ids, np.int64) for ids in self.encode(texts)]
+        lists = [np.asarray(ids, np.int32) for ids in self.encode(texts)]
         count = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        ids = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
         joined = self.tokens.take(pa.array(ids))
         data = bytes(joined.buffers()[2] or b"") if len(ids) else b""
         ends = np.append(0, np.cumsum(self.size[ids]))[np.append(0, np.cumsum(count))].tolist()
@@ -73,7 +73,7 @@ def byte_level(data: bytes, pattern: str) -> Side:
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         tokens[i] = token
-    return Side(lambda texts: [encode(" " + t) for t in texts], tokens)
+    return Side(lambda texts: (encode(" " + t) for t in texts), tokens)
 
 
 def pieces(model: bytes) -> Side:
@@ -82,7 +82,7 @@ def pieces(model: bytes) -> Side:
 
     p = sentencepiece.SentencePieceProcessor(model_proto=model)
     tokens = [bytes([int(t[3:5], 16)]) if p.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(map(p.id_to_piece, range(p.vocab_size())))]
-    return Side(lambda texts: p.encode(texts, num_threads=1), tokens)
+    return Side(lambda texts: (ids for k in range(0, len(texts), 64) for ids in p.encode(texts[k : k + 64], num_threads=1)), tokens)
 
 
 class Bits:
