@@ -202,6 +202,27 @@ def pdf_pages(spark, d):
     return pdf.pages_from_spans(spans).where("page < 3")
 
 
+def _form_feeds(data: bytes):
+    """A reader of files whose pages a form feed ends: a span for each page that has a text."""
+    pages = data.decode().split("\f")[:-1]
+    return len(pages), (([{"block": 0, "line": 0, "span": 0, "text": p, "x0": 0.0, "x1": 9.0, "size": 10.0, "flags": 0, "font": ""}] if p else [], []) for p in pages)
+
+
+@_query(
+    """WITH t AS (SELECT doc_id, doc_id % 4 AS kind, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) < 40 AS bare FROM documents),
+p AS (SELECT doc_id, CAST(CASE kind WHEN 0 THEN 10 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS INTEGER) AS page_count, kind IN (0, 1) OR bare AS is_scanned FROM t)
+SELECT doc_id, page_count, is_scanned, is_scanned AS is_left_out FROM p"""
+)
+def pdf_files(spark, d):
+    """Files read page by page: ten pages of which nine are blank, none at all, one, and two of which one is blank."""
+    k = F.col("doc_id")
+    content = F.when(k % 4 == 0, F.concat("text", F.lit("\f" * 10))).when(k % 4 == 1, "").when(k % 4 == 2, F.concat("text", F.lit("\f"))).otherwise(F.concat("text", F.lit("\f\f")))
+    files = table(spark, d, "documents").select(k.alias("path"), content.cast("binary").alias("content"))
+    docs = pdf.documents_from_files(files, reader=_form_feeds)
+    told = documents.pdf_outcomes(docs.select("doc_id", "page_count", "is_scanned", F.col("text").alias("cleaned_text")), spark.createDataFrame([], "content_hash string"), ["doc_id"])
+    return told.select("doc_id", "page_count", "is_scanned", (F.col("outcome") == "scanned_pdf").alias("is_left_out"))
+
+
 @_query(
     f"""WITH t AS (SELECT doc_id, {_BODY} AS body FROM documents), g AS (SELECT doc_id, body, lower(left(body, 2000)) AS x, sha256(body) AS h FROM t),
 o AS (SELECT doc_id, h, CASE WHEN length(body) < 200 THEN 'too_short' WHEN {_CHALLENGE} THEN 'bot_challenge' END AS gate FROM g WHERE doc_id % 4 <> 0)
@@ -278,67 +299,50 @@ def trigram_candidates(spark, d):
     return resolve.trigram_candidates(p.select(F.col("p_name").alias("mention_id"), F.col("p_name").alias("canonical")).distinct(), firms).select("mention_id", "firm_id", F.round("similarity", 6).alias("similarity"))
 
 
-#: id, name, aliases, address, phone, parcels.
-_LADDER_FIRMS = [
-    ("comstock", "Comstock Holding Companies, Inc.", ["CHCI", "Comstock Partners"], "1900 Reston Metro Plaza, Reston, VA", "703-230-1985", []),
-    ("jbg", "JBG SMITH Properties", ["JBG"], None, None, []),
-    ("stanley_martin", "Stanley Martin Companies, LLC", [], "11710 Plaza America Drive, Suite 1100", "+1 (703) 964-5000", ["p-77"]),
-    ("rapp_capital", "Rappahannock Capital", [], None, None, []),
-    ("rapp_partners", "Rappahannock Partners", [], None, None, []),
-]
-#: text, address, phone, parcel; then the rule's outcome: status, firm, method.
-_LADDER = [
-    ("Comstock Holding Companies, Inc.", None, None, None, "resolved", "comstock", "exact"),
-    ("COMSTOCK HOLDING COS INC", None, None, None, "resolved", "comstock", "exact"),
-    ("CHCI", None, None, None, "resolved", "comstock", "alias"),
-    ("Comstock Partners", None, None, None, "resolved", "comstock", "alias"),
-    ("Stanley Martin Comapnies LLC", None, None, None, "resolved", "stanley_martin", "fuzzy"),
-    ("Stanley Martin Homes", None, None, None, "resolved", "stanley_martin", "fuzzy"),
-    ("JBG Smith Properties, L.P.", None, None, None, "resolved", "jbg", "fuzzy"),
-    ("JBG SMITH", None, None, None, "resolved", "jbg", "fuzzy"),
-    ("Stanley Martin Excavating Subcontractors of Virginia LLC", None, None, None, "unmatched", None, None),
-    ("Martin Stanley Plumbing and Heating", None, None, None, "unmatched", None, None),
-    ("Rappahannock Holdings LLC", None, None, None, "unmatched", None, None),
-    ("Rappahannock", None, None, None, "ambiguous", None, None),
-    ("Stanleigh Martin Co", None, None, None, "ambiguous", None, None),
-    ("Stanleigh Martin Co", None, "7039645000", None, "resolved", "stanley_martin", "corroborated"),
-    ("Stanleigh Martin Co", "11710 Plaza America Dr, Ste 1100", None, None, "resolved", "stanley_martin", "corroborated"),
-    ("Stanleigh Martin Co", None, None, "p-77", "resolved", "stanley_martin", "corroborated"),
-    ("", None, None, None, "unmatched", None, None),
-    ("---", None, None, None, "unmatched", None, None),
-]
-
-
-def _ladder(spark) -> tuple[DataFrame, DataFrame]:
-    firms = spark.createDataFrame(_LADDER_FIRMS, "id string, name string, aliases array<string>, address string, phone string, parcel_ids array<string>").withColumn("canonical_name", naming.canonicalize(F.col("name")))
-    mentions = spark.createDataFrame([(k, *m[:4]) for k, m in enumerate(_LADDER)], "mention_id long, text string, address string, phone string, parcel_id string")
-    return mentions, firms
+def _letters(key):
+    """A word of 12 letters a to p that hardly two keys share."""
+    return F.left(F.translate(F.md5(key), "0123456789", "ghijklmnop"), F.lit(12))
 
 
-def _sql(value) -> str:
-    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+def _ladder(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A firm of two made words and a mention of it for each customer; the rest of the key by 8 is the rung at which the mention is decided."""
+    k = F.col("c_custkey")
+    one, two, id_ = _letters(_cat("one ", k.cast("string"))), _letters(_cat("two ", k.cast("string"))), k.cast("string")
+    c = table(spark, d, "customer")
+    firms = c.select(
+        id_.alias("id"), _cat(F.initcap(one), " ", F.initcap(two), ", LLC").alias("name"), F.array(_cat(two, " wharf")).alias("aliases"), _cat(id_, " Mill Street").alias("address"),
+        F.concat(F.lit("808"), F.lpad(id_, 7, "0")).alias("phone"), F.array(_cat("parcel ", id_)).alias("parcel_ids"),
+    ).withColumn("canonical_name", naming.canonicalize(F.col("name")))
+    near, far = _cat(one, " ", F.left(two, F.lit(8)), F.lit("zzzz")), _cat(one, " ", F.left(two, F.lit(11)))
+    kind = k % 8
+    text = F.when(kind == 0, _cat(F.upper(one), "  ", two, " L.L.C.")).when(kind == 1, _cat(F.upper(two), " Wharf, Inc.")).when(kind == 2, far).when(kind == 6, _cat("zz", one)).when(kind == 7, "--").otherwise(near)
+    # Of near ones, which alone score 84, some have a phone, some an address, some nothing that speaks for the firm.
+    mentions = c.select(k.alias("mention_id"), text.alias("text"), F.when(kind == 4, _cat(id_, " Mill St.")).alias("address"), F.when(kind == 3, F.concat(F.lit("1-808-"), F.lpad(id_, 7, "0"))).alias("phone"), _none().alias("parcel_id"))
+    return mentions, firms
 
 
-_LADDER_SQL = ", ".join(f"({k}, {_sql(m[0])}, {_sql(m[4])}, {_sql(m[5])}, {_sql(m[6])})" for k, m in enumerate(_LADDER))
+_LADDER_SQL = """SELECT c_custkey AS mention_id, CASE WHEN c_custkey % 8 < 5 THEN 'resolved' WHEN c_custkey % 8 = 5 THEN 'ambiguous' ELSE 'unmatched' END AS status,
+CASE WHEN c_custkey % 8 < 5 THEN CAST(c_custkey AS VARCHAR) END AS firm_id, CASE c_custkey % 8 WHEN 0 THEN 'exact' WHEN 1 THEN 'alias' WHEN 2 THEN 'fuzzy' WHEN 3 THEN 'corroborated' WHEN 4 THEN 'corroborated' END AS method FROM customer"""
 
 
-@_query(f"SELECT CAST(k AS BIGINT) AS mention_id, t AS text, CAST(s AS VARCHAR) AS status, CAST(f AS VARCHAR) AS firm_id, CAST(m AS VARCHAR) AS method FROM (VALUES {_LADDER_SQL}) v(k, t, s, f, m)")
+@_query(_LADDER_SQL)
 def resolution_ladder(spark, d):
-    """Mentions whose outcome the rules fix: every rung, the dilution guard, ties and each kind of corroboration."""
-    return resolve.resolve(*_ladder(spark)).select("mention_id", "text", "status", "firm_id", "method")
+    """Mentions that are decided at each rung: key, alias, score, score with evidence, doubt, nobody."""
+    return resolve.resolve(*_ladder(spark, d)).select("mention_id", "status", "firm_id", "method")
 
 
-@_query(f"SELECT CAST({len(_LADDER)} AS BIGINT) AS n, CAST({len(_LADDER)} AS BIGINT) AS correct, CAST(0 AS BIGINT) AS wrong, 1.0::DOUBLE AS share")
+@_query("SELECT count(*) AS n, count(*) AS correct, CAST(0 AS BIGINT) AS wrong, 1.0::DOUBLE AS share FROM customer")
 def resolution_accuracy(spark, d):
-    expected = spark.createDataFrame([(k, m[5]) for k, m in enumerate(_LADDER)], "mention_id long, expected_id string")
-    return resolve.accuracy(resolve.resolve(*_ladder(spark)), expected)
+    mentions, firms = _ladder(spark, d)
+    expected = mentions.select("mention_id", F.when(F.col("mention_id") % 8 < 5, F.col("mention_id").cast("string")).alias("expected_id"))
+    return resolve.accuracy(resolve.resolve(mentions, firms), expected)
 
 
-@_query("SELECT * FROM (VALUES (CAST(11 AS BIGINT), 'resolved', 'rapp_capital', 'llm', 0.9::DOUBLE), (12, 'resolved', 'stanley_martin', 'llm', 0.9)) v(mention_id, status, firm_id, method, confidence)")
+@_query("SELECT c_custkey AS mention_id, 'resolved' AS status, CAST(c_custkey AS VARCHAR) AS firm_id, 'llm' AS method, 0.9::DOUBLE AS confidence FROM customer WHERE c_custkey % 8 = 5")
 def resolution_adjudicated(spark, d):
     """An adjudicator that picks the first candidate decides what scores leave open, and only that."""
     choose = lambda asked: asked.select("mention_id", F.get("candidates", F.lit(0))["firm_id"].alias("chosen_id"), F.lit(0.9).alias("certainty"), F.lit("first").alias("rationale"))
-    return resolve.resolve(*_ladder(spark), adjudicator=choose).where("method = 'llm'").select("mention_id", "status", "firm_id", "method", "confidence")
+    return resolve.resolve(*_ladder(spark, d), adjudicator=choose).where("method = 'llm'").select("mention_id", "status", "firm_id", "method", "confidence")
 
 
 @_query(
