@@ -23,6 +23,8 @@ from plinth.session import kept
 AUTO_ACCEPT, REVIEW_FLOOR, BONUS, SORT_FLOOR, MOST_CANDIDATES, TIE = 92.0, 80.0, 12.0, 60.0, 25, 2.0
 #: Mentions of one word that one task meets with its firms; shares over which the firms of one name are ranked first.
 SPLIT, SHARES = 4096, 64
+#: Rarest trigrams of a key that are looked up first.
+SEEDS = 3
 _PARTS = ("__shared", "__first", "__second")
 CANDIDATE = "firm_id string, name string, score double, effective double, corroborated boolean, corroboration array<string>"
 
@@ -48,6 +50,16 @@ def exact_and_alias(mentions: DataFrame, firms: DataFrame) -> DataFrame:
     return mentions.join(exact, "canonical", "left").join(alias, "canonical", "left")
 
 
+def _met(m: DataFrame, f: DataFrame, on: str, key: str) -> DataFrame:
+    """Inner join of ``m`` and ``f`` on a value that very many rows may have: those of ``m`` are dealt over salts by ``key``, as many as each value needs, and only its rows of ``f`` are copied."""
+    salts = m.groupBy(on).agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("__n"))
+    m = m.join(salts, on).withColumn("__salt", F.pmod(F.xxhash64(key), F.col("__n")).cast("int")).drop("__n")
+    f = f.join(salts, on).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    # Few rows make many pairs, so the tasks are told apart by number and not merged by their sizes.
+    n = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return m.repartition(n, on, "__salt").join(f.repartition(n, on, "__salt"), [on, "__salt"]).drop("__salt")
+
+
 def met_pairs(mentions: DataFrame, firms: DataFrame) -> DataFrame:
     """canonical, canonical_name and their words (__a, __b): distinct keys that share a distinctive word, each pair once, at the first such word.
 
@@ -57,12 +69,7 @@ def met_pairs(mentions: DataFrame, firms: DataFrame) -> DataFrame:
     each = lambda df, key, words, all_: df.where(f"{key} <> ''").select(key).distinct().withColumns({words: naming.distinctive_words(F.col(key)), all_: fuzzy.set_words(F.col(key))})
     m, f = each(mentions, "canonical", "__m", "__a"), each(firms, "canonical_name", "__f", "__b")
     m, f = (x.withColumn("token", F.explode(words)) for x, words in ((m, "__m"), (f, "__f")))
-    salts = m.groupBy("token").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("__n"))
-    m = m.join(salts, "token").withColumn("__salt", F.pmod(F.xxhash64("canonical"), F.col("__n")).cast("int")).drop("__n")
-    f = f.join(salts, "token").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
-    # Few rows make many pairs, so the tasks are told apart by number and not merged by their sizes.
-    n = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = m.repartition(n, "token", "__salt").join(f.repartition(n, "token", "__salt"), ["token", "__salt"])
+    met = _met(m, f, "token", "canonical")
     return met.where(F.col("token") == F.array_min(F.array_intersect("__m", "__f"))).select("canonical", "canonical_name", "__a", "__b")
 
 
@@ -233,17 +240,55 @@ def accuracy(resolutions: DataFrame, expected: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.count_if(right).alias("correct"), F.count_if(~right & F.col("firm_id").isNotNull()).alias("wrong"), F.avg(right.cast("double")).alias("share"))
 
 
+def _ordered_grams(keys: DataFrame, key: str, counts: DataFrame, name: str) -> DataFrame:
+    """``keys`` with their trigrams, the rarest among the firms first (those that no firm has before them), and how many no firm has."""
+    each = keys.select(key, F.explode(fuzzy.trigrams(F.col(key))).alias("g")).join(counts, "g", "left")
+    ordered = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("__c", F.lit(0)).alias("c"), "g"))).alias("__o"))
+    return ordered.select(key, F.transform("__o", lambda x: x["g"]).alias(name), F.size(F.filter("__o", lambda x: x["c"] == 0)).alias("__unknown"))
+
+
+def gram_pairs(m: DataFrame, f: DataFrame) -> DataFrame:
+    """canonical, canonical_name, similarity of pairs that may reach the mention's ``__least``, each made once, at its first shared trigram.
+
+    ``m``: canonical, __x (its trigrams, rarest first), __unknown, __least, __upto (how many
+    trigrams are looked up). ``f``: canonical_name, __y. Sizes bound a similarity, and the
+    places of the first shared trigram bound how many more can be shared: what they rule
+    out isn't made.
+    """
+    start = F.col("__unknown")
+    mine = m.where(F.col("__upto") > start).select("canonical", "__x", "__least", start, F.posexplode(F.slice("__x", start + 1, F.col("__upto") - start)).alias("__i", "g")).withColumn("__i", F.col("__i") + start).drop("__unknown")
+    theirs = f.select("canonical_name", "__y", F.posexplode("__y").alias("__j", "g"))
+    x, y = F.size("__x"), F.size("__y")
+    needed = F.ceil(F.col("__least") / (1 + F.col("__least")) * (x + y) - 1e-9)
+    possible = F.least(x - F.col("__i"), y - F.col("__j"))
+    met = _met(mine, theirs, "g", "canonical").where((possible >= needed) & (F.least(x, y) >= needed))
+    # A generator holds the shared trigrams, so that what follows doesn't work them out again.
+    met = met.select("canonical", "canonical_name", "__least", "g", (x + y).alias("__both"), F.explode(F.array(F.array_intersect("__x", "__y"))).alias("__s"))
+    met = met.where(F.col("g") == F.get("__s", F.lit(0)))
+    return met.withColumn("similarity", F.size("__s") / (F.col("__both") - F.size("__s"))).where(F.col("similarity") >= F.col("__least")).select("canonical", "canonical_name", "similarity")
+
+
 def trigram_candidates(mentions: DataFrame, firms: DataFrame, least: float = 0.1, most: int = MOST_CANDIDATES) -> DataFrame:
-    """mention_id, firm_id, similarity: firms whose key shares trigrams with a mention's, the best ``most`` of each.
+    """mention_id, firm_id, similarity: firms whose key shares trigrams with a mention's, the best ``most`` of each, over ``least``.
 
-    Pairs come from an equi-join on exploded trigrams; their counts give the similarity.
+    First each key meets the firms of its few rarest trigrams only; the last of the best
+    ``most`` raises what a pair must reach, and a pair that reaches it shares one of the
+    first trigrams, as many as that similarity leaves. Keys are met once, however often
+    they occur. Keys without trigrams have no rows.
     """
-    m = mentions.select("mention_id", F.size(fuzzy.trigrams(F.col("canonical"))).alias("m"), F.explode(fuzzy.trigrams(F.col("canonical"))).alias("g"))
-    f = firms.select(F.col("id").alias("firm_id"), F.size(fuzzy.trigrams(F.col("canonical_name"))).alias("f"), F.explode(fuzzy.trigrams(F.col("canonical_name"))).alias("g"))
-    shared = m.join(f, "g").groupBy("mention_id", "firm_id", "m", "f").agg(F.count("*").alias("both"))
-    scored = shared.withColumn("similarity", F.col("both") / (F.col("m") + F.col("f") - F.col("both"))).where(F.col("similarity") > least)
-    w = Window.partitionBy("mention_id").orderBy(F.desc("similarity"), "firm_id")
-    return scored.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).select("mention_id", "firm_id", "similarity")
+    names, keys = firms.select("canonical_name").distinct(), mentions.select("canonical").distinct()
+    counts = names.select(F.explode(fuzzy.trigrams(F.col("canonical_name"))).alias("g")).groupBy("g").agg(F.count("*").alias("__c"))
+    f = kept(_ordered_grams(names, "canonical_name", counts, "__y"), "firm-grams").drop("__unknown")
+    m = kept(_ordered_grams(keys, "canonical", counts, "__x"), "mention-grams").withColumn("__least", F.lit(least))
+    first = gram_pairs(m.withColumn("__upto", F.least(F.col("__unknown") + SEEDS, F.size("__x"))), f)
+    # Of each key the similarity that ``most`` names reach already.
+    rank = Window.partitionBy("canonical").orderBy(F.desc("similarity"), "canonical_name")
+    reached = first.withColumn("__n", F.row_number().over(rank)).where(F.col("__n") == most).select("canonical", F.col("similarity").alias("__reached"))
+    m = m.join(reached, "canonical", "left").withColumn("__least", F.greatest("__least", F.coalesce("__reached", F.lit(0.0)))).drop("__reached")
+    pairs = gram_pairs(m.withColumn("__upto", F.size("__x") - F.ceil(F.col("__least") * F.size("__x") - 1e-9).cast("int") + 1), f).where(F.col("similarity") > least)
+    best = Window.partitionBy("canonical").orderBy(F.desc("similarity"), "firm_id")
+    told = pairs.join(_first_ids(firms, most), "canonical_name").withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= most)
+    return mentions.select("mention_id", "canonical").join(told, "canonical").select("mention_id", "firm_id", "similarity")
 
 
 __all__ = ["accuracy", "exact_and_alias", "firm_records", "first_rows", "learned_aliases", "resolve", "review_queue", "scored_candidates", "trigram_candidates", "with_alias_memory"]

@@ -219,3 +219,32 @@ def test_hot_words_and_names_are_split(spark, monkeypatch):
     monkeypatch.setattr(R, "SPLIT", 3)
     monkeypatch.setattr(R, "SHARES", 2)
     assert sorted(map(str, R.scored_candidates(keyed, f).collect())) == whole
+
+
+def test_trigram_join_against_brute_force(spark, monkeypatch):
+    """Best of each mention over all firms; copies of keys, ties, keys without trigrams; pairs that bounds rule out aren't made."""
+    words = ["alder", "birch", "cedar", "dogwood", "elder", "fir", "holdings", "homes", "group"]
+    rng = random.Random(7)
+    name = lambda: " ".join(rng.sample(words, rng.randint(1, 3)))
+    firms = [(i, name()) for i in range(200)] + [(200, "")]
+    asked = [(i, (name() + rng.choice(["", "s", "x"])) if i else "--") for i in range(60)]
+    grams = {r.x: set(r.g) for r in spark.createDataFrame([(x,) for x in {n for _, n in firms + asked}], "x string").select("x", fuzzy.trigrams(F.col("x")).alias("g")).collect()}
+    like = lambda a, b: len(grams[a] & grams[b]) / max(1, len(grams[a] | grams[b]))
+    want = set()
+    for k, a in asked:
+        scored = sorted(((-like(a, b), i) for i, b in firms if like(a, b) > 0.1))[:5]
+        want |= {(k, i, round(-s, 9)) for s, i in scored}
+    f = spark.createDataFrame(firms, "id long, canonical_name string")
+    m = spark.createDataFrame(asked, "mention_id long, canonical string")
+    run = lambda: {(r.mention_id, r.firm_id, round(r.similarity, 9)) for r in R.trigram_candidates(m, f, most=5).collect()}
+    assert run() == want
+    monkeypatch.setattr(R, "SPLIT", 2)
+    assert run() == want
+
+
+def test_pairs_that_bounds_rule_out_are_not_made(spark):
+    x, y = ["aaa", "bbb", "ccc", "ddd"], ["ddd", "eee", "fff", "ggg"]
+    m = spark.createDataFrame([("m", x, 0, 0.5, 3)], "canonical string, __x array<string>, __unknown int, __least double, __upto int")
+    f = spark.createDataFrame([("same", x), ("late", y), ("long", x + [f"z{i}z" for i in range(9)])], "canonical_name string, __y array<string>")
+    got = R.gram_pairs(m, f).collect()
+    assert [(r.canonical_name, r.similarity) for r in got] == [("same", 1.0)]
