@@ -754,17 +754,38 @@ def stream_alert_fan_out(spark, d):
     return spark.read.parquet(posixpath.join(base, "ledger")).select("alert_id", "signal_id")
 
 
+def _careers(e, seen: str):
+    """Events as rows of careers pages: a firm for each user, 40 titles."""
+    return e.select(F.col("user_id").alias("firm_id"), F.col("event_id").alias("place"), _cat("Analyst ", (F.col("event_id") % 40).cast("string")).alias("title"), _none().alias("location"), F.lit(seen).cast("timestamp").alias("seen_at"))
+
+
 @_query("SELECT user_id AS firm_id, count(*) AS open_after FROM (SELECT DISTINCT user_id, event_id % 40 AS t FROM events) GROUP BY user_id HAVING count(*) >= 5")
 def stream_snapshot_diff(spark, d):
     """Careers pages as a stream of snapshots: the first one's surges."""
-    base = shared_dir(spark, "snapshots")
-    state = "id string, firm_id long, title string, location string, is_open boolean, first_seen_at timestamp, last_seen_at timestamp, closed_at timestamp"
-    signal = "id string, firm_id long, signal_type string, dedupe_key string, payload string"
-    shots = streams.parquet_stream(spark, d, "events.parquet").select(F.col("user_id").alias("firm_id"), F.col("event_id").alias("place"), _cat("Analyst ", (F.col("event_id") % 40).cast("string")).alias("title"), _none().alias("location"))
-    diff = lambda old, new, known: roster.job_diff(old, new, known, _now())
-    empty = spark.createDataFrame([], state), spark.createDataFrame([], signal)
-    streams.snapshot_diffs(shots, diff, f"{base}/state", f"{base}/signals", f"{base}/check", *empty).awaitTermination()
-    return spark.read.schema(signal).parquet(f"{base}/signals/*").select("firm_id", F.get_json_object("payload", "$.open_after").cast("long").alias("open_after"))
+    changes = streams.finished(spark, streams.snapshot_changes(streams.job_snapshots(_careers(streams.parquet_stream(spark, d, "events.parquet"), "2024-01-01"))))
+    return streams.hiring_surges(changes).select(F.col("firm_id").cast("long").alias("firm_id"), "open_after")
+
+
+@_query(
+    """WITH e AS (SELECT DISTINCT user_id, event_id % 40 AS t, event_id % 3 <> 1 AS late, event_id % 3 <> 0 AS early FROM events),
+a AS (SELECT DISTINCT user_id, t FROM e WHERE early), b AS (SELECT DISTINCT user_id, t FROM e WHERE late),
+n AS (SELECT user_id, count(*) AS n FROM a GROUP BY user_id), m AS (SELECT user_id, count(*) AS m FROM b GROUP BY user_id)
+SELECT user_id AS firm_id, 1 AS snapshot, 'analyst ' || t AS title, 'open' AS change, CAST(0 AS BIGINT) AS open_before, n AS open_after FROM a JOIN n USING (user_id)
+UNION ALL SELECT coalesce(a.user_id, b.user_id), 2, 'analyst ' || coalesce(a.t, b.t), CASE WHEN a.t IS NULL THEN 'open' ELSE 'close' END, coalesce(n, 0), m
+FROM a FULL JOIN b ON a.user_id = b.user_id AND a.t = b.t LEFT JOIN n ON n.user_id = coalesce(a.user_id, b.user_id) JOIN m ON m.user_id = coalesce(a.user_id, b.user_id) WHERE a.t IS NULL OR b.t IS NULL"""
+)
+def stream_two_snapshots(spark, d):
+    """Two snapshots in two runs of one stream: the second is told apart from what the first one left in the state."""
+    base, changes = shared_dir(spark, "two-snapshots"), None
+    for rest, seen in ((0, "2024-01-01"), (1, "2024-01-08")):
+        _careers(table(spark, d, "events").where(F.col("event_id") % 3 != rest), seen).write.mode("append").parquet(f"{base}/in")
+        rows = spark.readStream.schema("firm_id long, place long, title string, location string, seen_at timestamp").parquet(f"{base}/in")
+        changes = streams.snapshot_changes(streams.job_snapshots(rows))
+        streams.to_table(changes, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    got = spark.read.schema(changes.schema).parquet(f"{base}/out")
+    return got.select(
+        F.col("group").cast("long").alias("firm_id"), F.when(F.col("seen_at") < "2024-01-08", 1).otherwise(2).alias("snapshot"), F.element_at(F.split("key", "\x1f"), 1).alias("title"), "change", "open_before", "open_after"
+    )
 
 
 @_query(

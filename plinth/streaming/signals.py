@@ -11,11 +11,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from plinth.functions import naming
 from plinth.operators import alerts as A
-from plinth.operators.upsert import new_only
-from plinth.session import shared_dir
+from plinth.operators import roster
+from plinth.session import shared_dir, workers_find_package
 
 LATENESS, RATE_WINDOW = "2 days", 60.0
 # Requests a minute.
@@ -48,12 +49,31 @@ def sessions(signals: DataFrame, gap: str, late: str = LATENESS) -> DataFrame:
     return signals.withWatermark("occurred_at", late).groupBy(F.session_window("occurred_at", gap), "firm_id").agg(F.count("*").alias("n"))
 
 
-def _limited(limit: int, seconds: float):
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+#: State of single rows needs this store.
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _row_state(df: DataFrame) -> None:
+    """Let the session's next streams keep their state by row; ones that were started before keep theirs."""
+    if df.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "") != _ROCKSDB:
+        df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    workers_find_package(df.sparkSession)
+
+
+class _Limited(StatefulProcessor):
+    """A key's window: when it began, and how many requests it has let pass. A key that is idle for ``forget`` is forgotten."""
+
+    def __init__(self, limit: int, seconds: float, forget: int | None):
+        self.limit, self.seconds, self.forget = limit, seconds, forget
+
+    def init(self, handle) -> None:
+        self.window = handle.getValueState("window", "start double, n long", self.forget)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # A batch's requests of one key come in several parts, in any order: put in order as a whole, 16 bytes each.
-        rows = pd.concat([p[["at", "id"]] for p in parts], ignore_index=True).sort_values(["at", "id"], ignore_index=True)
-        at, n = rows["at"].to_numpy(), len(rows)
-        start, used = state.get if state.exists else (None, 0)
+        rows = pd.concat([p[["at", "id"]] for p in rows], ignore_index=True).sort_values(["at", "id"], ignore_index=True)
+        at, n, limit, seconds = rows["at"].to_numpy(), len(rows), self.limit, self.seconds
+        start, used = self.window.get() if self.window.exists() else (None, 0)
         allowed, i = np.zeros(n, bool), 0
         while i < n:
             if start is None or at[i] - start >= seconds:
@@ -65,23 +85,27 @@ def _limited(limit: int, seconds: float):
                 end += 1
             allowed[i : min(end, i + max(0, limit - used))] = True
             used, i = min(limit, used + end - i), end
+        self.window.update((float(start), int(used)))
         for k in range(0, n, 10_000):
             yield pd.DataFrame({"uid": key[0], "id": rows["id"][k : k + 10_000], "allowed": allowed[k : k + 10_000]})
-        if start is not None:
-            state.update((float(start), int(used)))
 
-    return run
+    def close(self) -> None:
+        pass
 
 
-def rate_limited(requests: DataFrame, limit: int, seconds: float = RATE_WINDOW) -> DataFrame:
+def rate_limited(requests: DataFrame, limit: int, seconds: float = RATE_WINDOW, forget: str | None = None) -> DataFrame:
     """uid, id, allowed of each request (uid, id, ts): a window begins with the first request after the last one's end.
 
     A key's requests of one batch are put in the order of time and id, in memory: the
     source's trigger bounds them. One that comes in a later batch than a later request
-    counts when it comes.
+    counts when it comes. A key's state is one row. With ``forget``, which must be longer
+    than a window, it goes when the key has made no request for so much processing time;
+    such a stream never comes to an end, so it isn't for a trigger that takes what is there now.
     """
+    _row_state(requests)
     rows = requests.select(F.col("uid").cast("string"), F.col("id").cast("long"), (F.unix_micros("ts") / 1e6).alias("at"))
-    return rows.groupBy("uid").applyInPandasWithState(_limited(limit, seconds), "uid string, id long, allowed boolean", "start double, n long", "append", "NoTimeout")
+    processor = _Limited(limit, seconds, int(pd.Timedelta(forget).total_seconds() * 1000) if forget else None)
+    return rows.groupBy("uid").transformWithStateInPandas(processor, "uid string, id long, allowed boolean", "Append", "ProcessingTime" if forget else "None")
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -122,24 +146,67 @@ def alert_fan_out(signals: DataFrame, alerts: DataFrame, ledger: str, checkpoint
     return signals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def snapshot_diffs(snapshots: DataFrame, diff: Callable[[DataFrame, DataFrame, DataFrame], tuple], state: str, signals: str, checkpoint: str, empty_state: DataFrame, empty_signals: DataFrame) -> StreamingQuery:
-    """Run ``diff`` (state, batch, signals) -> (state, new signals) on each batch, keeping versions of the state by batch."""
+class _Snapshots(StatefulProcessor):
+    """What a group's last snapshot had: a row of state for each key that was ever in one."""
+
+    def init(self, handle) -> None:
+        self.held = handle.getMapState("held", "key string", "payload string, is_open boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows), ignore_index=True)
+        held = {k[0]: v for k, v in self.held.iterator()}
+        out = []
+        for seen, shot in rows.groupby("seen", sort=True):
+            shot = shot.sort_values("place", kind="stable").drop_duplicates("key")
+            now = dict(zip(shot["key"], (None if pd.isna(p) else p for p in shot["payload"]), strict=True))
+            before = sum(is_open for _, is_open in held.values())
+            changes = []
+            for k, payload in now.items():
+                was = held.get(k)
+                change = "open" if was is None else "reopen" if not was[1] else "update" if was[0] != payload else None
+                if change:
+                    changes.append((k, change, payload, True))
+            changes += [(k, "close", payload, False) for k, (payload, is_open) in held.items() if is_open and k not in now]
+            for k, _, payload, is_open in changes:  # only rows that change are written
+                held[k] = (payload, is_open)
+                self.held.updateValue((k,), held[k])
+            out += [(key[0], seen, k, change, payload, before, len(now)) for k, change, payload, _ in changes]
+        if out:
+            yield pd.DataFrame(out, columns=["group", "seen", "key", "change", "payload", "open_before", "open_after"])
+
+    def close(self) -> None:
+        pass
+
+
+def snapshot_changes(rows: DataFrame) -> DataFrame:
+    """group, seen_at, key, change, payload, open_before, open_after: what is new, back, different or gone in each snapshot of a group.
+
+    ``rows``: group, key, place, seen_at, payload (text), a row for each thing that a
+    group's page shows. Rows of one group and seen_at are a snapshot, of which the first
+    of each key counts; a group without rows has none, so nothing of it is closed. A
+    snapshot must not be cut by a batch; several in one batch are taken in order. State is
+    kept by row (group and key), and only rows that change are written.
+    """
+    _row_state(rows)
+    given = rows.select(F.col("group").cast("string").alias("group"), F.col("key").cast("string").alias("key"), F.col("place").cast("long").alias("place"), F.unix_micros("seen_at").alias("seen"), F.col("payload").cast("string").alias("payload"))
+    kind = "`group` string, seen long, key string, change string, payload string, open_before long, open_after long"
+    out = given.where("key IS NOT NULL").groupBy("group").transformWithStateInPandas(_Snapshots(), kind, "Append", "None")
+    return out.select("group", F.timestamp_micros("seen").alias("seen_at"), "key", "change", "payload", "open_before", "open_after")
 
-    def batch(df: DataFrame, number: int) -> None:
-        from pyspark.errors import AnalysisException
 
-        spark = df.sparkSession
+def job_snapshots(listings: DataFrame) -> DataFrame:
+    """Rows of careers pages (firm_id, place, title, location, seen_at) as snapshot_changes takes them: postings are the same if title and location are, but for case."""
+    key = F.concat_ws("\x1f", F.lower("title"), F.lower(F.coalesce("location", F.lit(""))))
+    return listings.select(F.col("firm_id").alias("group"), key.alias("key"), "place", "seen_at", F.to_json(F.struct("title", "location")).alias("payload"))
+
 
-        def at(path: str, empty: DataFrame) -> DataFrame:
-            try:
-                return spark.read.schema(empty.schema).parquet(path)
-            except AnalysisException:
-                return empty
+def roster_snapshots(members: DataFrame) -> DataFrame:
+    """Rows of team pages (firm_id, place, name, title, seen_at): people are the same if their names are; another title is an update."""
+    return members.select(F.col("firm_id").alias("group"), naming.normalize_person(F.col("name")).alias("key"), "place", "seen_at", F.to_json(F.struct("name", "title")).alias("payload")).where("key <> ''")
 
-        old = at(f"{state}/v{number - 1}", empty_state) if number else empty_state
-        known = at(f"{signals}/*", empty_signals)
-        after, fresh = diff(old, df, known)
-        after.select(*empty_state.columns).write.mode("overwrite").parquet(f"{state}/v{number}")
-        new_only(fresh, known, ["dedupe_key"]).select(*empty_signals.columns).write.mode("overwrite").parquet(f"{signals}/batch-{number}")
 
-    return snapshots.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def hiring_surges(changes: DataFrame) -> DataFrame:
+    """firm_id, seen_at, open_before, open_after of snapshots with a surge of open roles (the rule of ``roster.job_diff``); a snapshot that changes nothing is none."""
+    b, a = F.col("open_before"), F.col("open_after")
+    surge = (a >= roster.SURGE_OPEN) & ((b == 0) | (a >= b * roster.SURGE_RATIO))
+    return changes.where(surge).groupBy(F.col("group").alias("firm_id"), "seen_at").agg(F.first("open_before").alias("open_before"), F.first("open_after").alias("open_after"))

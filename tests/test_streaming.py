@@ -2,7 +2,6 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from plinth.operators import roster
 from plinth.plans import catalogue, made
 from plinth.streaming import signals as S
 
@@ -55,17 +54,32 @@ def test_alert_fan_out_resumes(spark, tmp_path):
     assert sorted(sent) == first
 
 
-def test_snapshot_diffs(spark, tmp_path):
-    state = spark.createDataFrame([], "id string, firm_id string, name string, canonical_name string, title string, role_type string, email string, linkedin_url string, end_date date, is_current boolean, first_seen_at timestamp, last_seen_at timestamp")
-    known = spark.createDataFrame([], "id string, firm_id string, signal_type string, dedupe_key string, occurred_at timestamp")
-    shot = "firm_id string, place int, name string, title string, email string, linkedin_url string"
-    for k, names in enumerate((["Ann Lee", "Bob Ray"], ["Ann Lee"])):
-        spark.createDataFrame([("f", i, n, None, None, None) for i, n in enumerate(names)], shot).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        diff = lambda old, new, signals, k=k: roster.roster_diff(old, new, signals, F.lit(f"2026-0{k + 1}-01").cast("timestamp"))
-        stream = spark.readStream.schema(shot).parquet(f"{tmp_path}/in")
-        S.snapshot_diffs(stream, diff, f"{tmp_path}/state", f"{tmp_path}/signals", f"{tmp_path}/check", state, known).awaitTermination()
-    assert sorted((r.canonical_name, r.is_current) for r in spark.read.parquet(f"{tmp_path}/state/v1").collect()) == [("ann lee", True), ("bob ray", False)]
-    assert sorted(r.signal_type for r in spark.read.parquet(f"{tmp_path}/signals/*").collect()) == ["departure", "key_hire", "key_hire"]
+def test_snapshots_in_two_runs(spark, tmp_path):
+    """The state outlives a run: people who come, go, come back and change titles; copies of a name; several snapshots in one batch."""
+    kind = "firm_id string, place int, name string, title string, seen_at timestamp"
+    shots = [
+        [(1, [("Ann Lee", "VP"), ("Bob Ray", None), ("Ann Lee", "copy")])],
+        [(2, [("Ann Lee", "CEO")]), (3, [("Ann Lee", "CEO"), ("Bob Ray", None), ("Cy Dow", None)])],
+    ]
+    for run in shots:
+        rows = [("f", k, n, t, datetime(2026, day, 1)) for day, people in run for k, (n, t) in enumerate(people)]
+        spark.createDataFrame(rows, kind).write.mode("append").parquet(f"{tmp_path}/in")
+        changes = S.snapshot_changes(S.roster_snapshots(spark.readStream.schema(kind).parquet(f"{tmp_path}/in")))
+        S.to_table(changes, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = sorted((r.seen_at.month, r.key, r.change, r.open_before, r.open_after) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [
+        (1, "ann lee", "open", 0, 2), (1, "bob ray", "open", 0, 2), (2, "ann lee", "update", 2, 1), (2, "bob ray", "close", 2, 1), (3, "bob ray", "reopen", 1, 3), (3, "cy dow", "open", 1, 3),
+    ]
+    assert S.hiring_surges(spark.read.parquet(f"{tmp_path}/out")).count() == 0
+
+
+def test_rate_limit_goes_on_in_a_second_run(spark, tmp_path):
+    rows = [("u", k, k * 10) for k in range(12)]
+    for part in (rows[:4], rows[4:]):
+        spark.createDataFrame(part, "uid string, id long, at long").select("uid", "id", F.timestamp_seconds("at").alias("ts")).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("uid string, id long, ts timestamp").parquet(f"{tmp_path}/in")
+        S.to_table(S.rate_limited(stream, 5, 60.0), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert {r.id: r.allowed for r in spark.read.parquet(f"{tmp_path}/out").collect()} == brute_limits([(u, k, float(t)) for u, k, t in rows], 5, 60.0)
 
 
 def test_tumbling_has_no_undated_rows(spark, tmp_path):
