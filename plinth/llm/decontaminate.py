@@ -30,8 +30,8 @@ from plinth.llm.common import column, columns_of, map_arrow, small, stored, utf8
 
 #: Words are runs of 0-9, a-z (after lower-casing A-Z) and anything beyond ASCII.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Bytes of item text that are sent to all tasks, at most.
-BLOCK_BYTES = 8 << 20
+#: Bytes of item text that are sent to all tasks, at most: about 75,000 windows, some 50 MB of dictionary in the driver and each worker.
+BLOCK_BYTES = 512 << 10
 
 
 def words_of(text: bytes) -> list[bytes]:
