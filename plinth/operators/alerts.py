@@ -15,6 +15,8 @@ from plinth.schemas import row_id
 LOOKBACK_HOURS, EMAIL_ROWS, SLACK_ROWS, WEBHOOK = 25, 10, 5, "https://hooks.slack.com/"
 #: Into how many shares the signals of one value are cut.
 SALTS = 16
+#: Combinations of facets' values that an alert is found by, at most.
+KEYS = 4096
 
 
 def matches() -> Column:
@@ -26,31 +28,52 @@ def matches() -> Column:
     return out
 
 
+_FACETS = ("firm_ids", "localities", "signal_types", "asset_classes")
+
+
+def alert_keys(alerts: DataFrame) -> DataFrame:
+    """``alerts`` with __mask (which facets its keys have) and __key, a row for each combination of one value of each of these facets.
+
+    Facets are taken in order as long as an alert has no more than ``KEYS`` combinations;
+    the rest is left to :func:`matches`. An alert without a facet has one key, which every
+    signal has.
+    """
+    df = alerts.withColumn("__mask", F.lit(0))
+    product = F.lit(1)
+    for i, facet in enumerate(_FACETS):
+        values = F.array_distinct(F.filter(F.coalesce(f"filters.{facet}", F.array().cast("array<string>")), lambda v: v.isNotNull()))
+        full = F.coalesce(F.size(f"filters.{facet}"), F.lit(0)) > 0
+        df = df.withColumn(f"__v{i}", values).withColumn(f"__p{i}", product * F.greatest(F.size(f"__v{i}"), F.lit(1)))
+        used = full & (F.col(f"__p{i}") <= KEYS)
+        df = df.withColumns({f"__p{i}": F.when(used, F.col(f"__p{i}")).otherwise(product), "__mask": F.col("__mask") + F.when(used, 1 << i).otherwise(0)})
+        product = F.col(f"__p{i}")
+    df = df.withColumn("__key", F.col("__mask").cast("string"))
+    for i, _ in enumerate(_FACETS):
+        used = F.col("__mask").bitwiseAND(1 << i) > 0
+        # A facet of nulls alone is met by no signal.
+        df = df.withColumn("__v", F.explode(F.when(used, F.col(f"__v{i}")).otherwise(F.array(F.lit("")))))
+        df = df.withColumn("__key", F.when(used, F.concat("__key", F.lit("\x1f"), "__v")).otherwise(F.col("__key")))
+    return df.drop("__v", *[f"__{k}{i}" for k in "vp" for i in range(len(_FACETS))])
+
+
 def alert_matches(signals: DataFrame, alerts: DataFrame) -> DataFrame:
     """alert and signal columns (alert_id, signal_id, …) of each pair of an active alert and a signal that it matches.
 
-    An alert meets signals by an equi-join on the values of its first facet that isn't
-    empty: firms, localities, types or classes. Only alerts without any facet are held
-    against every signal, as they ask for every signal: their matches are the output's
-    size. Each join has a key of SALTS salts too, so that a value that many signals share
-    is spread over tasks; a row of an alert is sent once for each salt.
+    An alert meets a signal by an equi-join on the values of all its facets at once, so it
+    doesn't meet signals of a common type in other places; its score is a condition of the
+    join. A signal has a key for each set of facets that alerts have, 16 at most. Keys
+    have SALTS salts too, so that one that many signals share is spread over tasks; a row
+    of an alert is sent once for each salt.
     """
-    a = alerts.where("is_active").select(F.col("id").alias("alert_id"), F.col("name").alias("alert_name"), "channel", "channel_target", "filters")
+    a = alert_keys(alerts.where("is_active").select(F.col("id").alias("alert_id"), F.col("name").alias("alert_name"), "channel", "channel_target", "filters"))
     s = signals.select(F.col("id").alias("signal_id"), "firm_id", "signal_type", "title", "score", "locality", "asset_class", "occurred_at")
-    salted = s.withColumn("__salt", F.pmod(F.xxhash64("signal_id"), F.lit(SALTS)).cast("int"))
-    facets = (("firm_ids", F.col("firm_id").cast("string")), ("localities", F.col("locality")), ("signal_types", F.col("signal_type")), ("asset_classes", F.col("asset_class")))
-    empty, out = F.lit(True), None
-    for facet, value in (*facets, (None, F.lit(""))):
-        if facet is None:
-            own = a.where(empty).withColumn("__value", F.lit(""))
-        else:
-            full = F.coalesce(F.size(f"filters.{facet}"), F.lit(0)) > 0
-            own = a.where(empty & full).withColumn("__value", F.explode(F.array_distinct(f"filters.{facet}")))
-            empty = empty & ~full
-        spread = own.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = spread.join(salted.withColumn("__value", value), ["__value", "__salt"]).where(matches()).drop("__value", "__salt", "filters")
-        out = met if out is None else out.unionByName(met)
-    return out
+    values = (F.col("firm_id").cast("string"), F.col("locality"), F.col("signal_type"), F.col("asset_class"))
+    masks = sorted(r[0] for r in a.select("__mask").distinct().collect())  # 16 at most
+    key = lambda mask: F.concat(F.lit(str(mask)), *[x for i, v in enumerate(values) if mask >> i & 1 for x in (F.lit("\x1f"), v)])
+    keyed = s.withColumns({"__key": F.explode(F.array_compact(F.array(*map(key, masks or [0])))), "__salt": F.pmod(F.xxhash64("signal_id"), F.lit(SALTS)).cast("int")})
+    spread = a.drop("__mask").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"__key": "__k", "__salt": "__s"})
+    met = spread.join(keyed, (F.col("__k") == F.col("__key")) & (F.col("__s") == F.col("__salt")) & matches())
+    return met.drop("__key", "__k", "__salt", "__s", "filters")
 
 
 def recent(signals: DataFrame, now: Column, hours: int = LOOKBACK_HOURS) -> DataFrame:

@@ -388,3 +388,29 @@ def test_every_recipient_gets_every_enquiry(spark):
     to = spark.range(1500).select(F.concat(F.lit("to"), F.col("id").cast("string"), F.lit("@h.org")).alias("email"))
     got = delivery.contact_messages(leads, to.union(to.select(F.upper("email"))))
     assert got.count() == got.select("email").distinct().count() == 1500
+
+
+def test_alerts_meet_signals_by_all_facets(spark, monkeypatch):
+    """Against every pair; facets of nulls, repeated values, unknown values, scores; alerts of a common type meet its signals of their places only."""
+    import itertools
+    import random
+
+    from plinth.operators import alerts
+
+    rng = random.Random(3)
+    pick = lambda values, k: None if rng.random() < 0.3 else [rng.choice(values) for _ in range(rng.randint(0, k))]
+    filters = [(pick(["1", "2", "3"], 3), pick(["permit", "hire"], 2), pick(["L1", "L2", "L3", "L4", None], 3), pick(["office", "land"], 2), rng.choice([None, 0.2, 0.8])) for _ in range(60)]
+    filters += [(None, ["permit"], [None], None, None), (None, ["permit"], ["L1"], None, None), ([], [], [], [], None)]
+    kind = "id long, name string, filters struct<firm_ids array<string>, signal_types array<string>, localities array<string>, asset_classes array<string>, min_score double>, channel string, channel_target string, is_active boolean"
+    a = spark.createDataFrame([(i, "n", f, "email", "x", i != 5) for i, f in enumerate(filters)], kind)
+    signals = [(i, rng.choice([1, 2, 3, None]), rng.choice(["permit"] * 4 + ["hire"]), "t", rng.random(), rng.choice(["L1", "L2", "L3", None]), rng.choice(["office", "land", None])) for i in range(150)]
+    s = spark.createDataFrame(signals, "id long, firm_id long, signal_type string, title string, score double, locality string, asset_class string").withColumn("occurred_at", F.lit(None).cast("timestamp"))
+    ok = lambda values, v: not values or (v is not None and v in values)
+    pairs = itertools.product(enumerate(filters), signals)
+    want = [(i, x[0]) for (i, f), x in pairs if i != 5 and ok(f[0], None if x[1] is None else str(x[1])) and ok(f[1], x[2]) and ok(f[2], x[5]) and ok(f[3], x[6]) and x[4] >= (f[4] or 0.0)]
+    want.sort(key=str)
+    assert rows(alerts.alert_matches(s, a), "alert_id", "signal_id") == want
+    keys = alerts.alert_keys(a.where("id = 61")).collect()
+    assert [(r["__mask"], r["__key"]) for r in keys] == [(6, "6\x1fL1\x1fpermit")]
+    monkeypatch.setattr(alerts, "KEYS", 2)  # fewer facets are keys, the rest is a condition
+    assert rows(alerts.alert_matches(s, a), "alert_id", "signal_id") == want
