@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import dates
@@ -12,8 +12,11 @@ PREFIX = 12
 
 
 def with_alerts(alerts: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
-    """``alerts`` and the new ones of ``wanted`` (user_id, name, filters, channel, channel_target), active and never fired."""
-    new = wanted.withColumns({"id": row_id(F.col("user_id"), F.col("name"), now), "is_active": F.lit(True), "last_fired_at": F.lit(None).cast("timestamp"), "fire_count": F.lit(0), "created_at": now})
+    """``alerts`` and the new ones of ``wanted`` (user_id, name, filters, channel, channel_target), active and never fired; several of one name are told apart."""
+    same = Window.partitionBy("user_id", "name").orderBy("channel", "channel_target", F.to_json("filters"))
+    numbered = wanted.withColumn("__n", F.row_number().over(same))
+    id_ = F.when(F.col("__n") == 1, row_id(F.col("user_id"), F.col("name"), now)).otherwise(row_id(F.col("user_id"), F.col("name"), now, F.col("__n")))
+    new = numbered.withColumn("id", id_).drop("__n").withColumns({"is_active": F.lit(True), "last_fired_at": F.lit(None).cast("timestamp"), "fire_count": F.lit(0), "created_at": now})
     return alerts.unionByName(new, allowMissingColumns=True)
 
 

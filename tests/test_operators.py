@@ -414,3 +414,12 @@ def test_alerts_meet_signals_by_all_facets(spark, monkeypatch):
     assert [(r["__mask"], r["__key"]) for r in keys] == [(6, "6\x1fL1\x1fpermit")]
     monkeypatch.setattr(alerts, "KEYS", 2)  # fewer facets are keys, the rest is a condition
     assert rows(alerts.alert_matches(s, a), "alert_id", "signal_id") == want
+
+
+def test_alerts_of_one_name_have_their_own_ids(spark):
+    from plinth.operators import accounts
+
+    none = spark.createDataFrame([], "id string, user_id long, name string, filters struct<signal_types array<string>>, channel string, channel_target string, is_active boolean, last_fired_at timestamp, fire_count int, created_at timestamp")
+    wanted = spark.createDataFrame([(1, "n", (["hire"],), "email", "a"), (1, "n", (["permit"],), "email", "a"), (2, "n", None, "email", "b")], "user_id long, name string, filters struct<signal_types array<string>>, channel string, channel_target string")
+    got = accounts.with_alerts(none, wanted, F.lit("2024-01-01").cast("timestamp")).collect()
+    assert len({r.id for r in got}) == 3 and all(r.is_active and r.fire_count == 0 for r in got)
