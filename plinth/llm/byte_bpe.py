@@ -198,7 +198,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """``df`` with a binary column ``data``: the bytes that its tokens stand for, joined.
 
-    Null is no tokens. An unknown token number fails. All other columns stay.
+    Null is no tokens. An unknown token number fails. All other columns stay; one named as
+    ``data`` is replaced. Rows that repeat are each a row; an empty table gives none.
     """
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 

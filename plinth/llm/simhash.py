@@ -137,7 +137,7 @@ def _fingerprints(words: int, seed: int):
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, row, print) for each row of ``docs``: the fingerprint as a signed long."""
+    """(doc_id, row, print) for each row of ``docs``: the fingerprint as a signed long. Keys must be whole numbers, or cast to them: others fail under ANSI rules."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), utf8(text).alias("text"))
     return map_arrow(rows, _fingerprints(words, seed), "doc_id long, row long, print long")
 

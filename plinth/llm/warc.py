@@ -401,7 +401,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01
     payloads are all responses. A null url leaves the target out; a null page_id is
     written as "null". Other columns are not read. Archives go to ``folder``, by default a
     new one in shared storage; a failed task leaves files that nothing lists. An empty
-    table writes none.
+    table writes none. ``pages`` must be a stored table: its rows are numbered in two reads.
     """
     spark = pages.sparkSession
     folder = folder or shared_dir(spark, "archives")
