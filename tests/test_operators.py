@@ -423,3 +423,16 @@ def test_alerts_of_one_name_have_their_own_ids(spark):
     wanted = spark.createDataFrame([(1, "n", (["hire"],), "email", "a"), (1, "n", (["permit"],), "email", "a"), (2, "n", None, "email", "b")], "user_id long, name string, filters struct<signal_types array<string>>, channel string, channel_target string")
     got = accounts.with_alerts(none, wanted, F.lit("2024-01-01").cast("timestamp")).collect()
     assert len({r.id for r in got}) == 3 and all(r.is_active and r.fire_count == 0 for r in got)
+
+
+def test_sketches_merge(spark):
+    """A stored level and a new batch merged are as good as all facts at once; nulls, and a group without a value."""
+    from plinth.operators import sketches
+
+    facts = spark.range(30_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 2).alias("h"), (F.col("id") % 5000).alias("k"), F.when(F.col("id") % 3 < 2, F.col("id").cast("double")).alias("v"))
+    fine = sketches.sketched(facts.where("k < 2500"), ["g", "h"], "k", "v")
+    more = sketches.sketched(facts.where("k >= 2500"), ["g", "h"], "k", "v")
+    got = {r.g: r for r in sketches.estimates(sketches.merged(fine.unionByName(more), ["g"]), {"median": 0.5, "top": 0.99}).collect()}
+    assert {k: r.n for k, r in got.items()} == {0: 10_000, 1: 10_000, 2: 10_000} and got[2].median is None
+    for g in (0, 1):
+        assert abs(got[g].n_distinct - 5000) < 0.05 * 5000 and abs(got[g].median - 15_000) < 0.04 * 30_000 and got[g].top > 28_500
