@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.text import day_label
+from plinth.operators import outbox
 from plinth.schemas import row_id
+from plinth.session import shared_dir
 
 # Hours looked back, signals named in a message, where webhooks may go.
 LOOKBACK_HOURS, EMAIL_ROWS, SLACK_ROWS, WEBHOOK = 25, 10, 5, "https://hooks.slack.com/"
@@ -114,11 +118,11 @@ def slack_texts(matched: DataFrame, product: str = "Plinth") -> DataFrame:
 
 
 class RecordingSink:
-    """Keeps what would be sent; the interface of other sinks: send(channel, target, body) -> whether it went."""
+    """Keeps what would be sent, a file in shared storage for each message; the interface of other sinks: send(channel, target, body) -> whether it went."""
 
-    def __init__(self, default_webhook: str | None = None):
-        self.sent: list[tuple[str, str, str]] = []
+    def __init__(self, default_webhook: str | None = None, folder: str | None = None):
         self.default_webhook = default_webhook
+        self.folder = folder or shared_dir(SparkSession.active(), "recorded")
 
     def send(self, channel: str, target: str | None, body: str) -> bool:
         if channel == "slack":
@@ -127,16 +131,26 @@ class RecordingSink:
                 return False
         elif channel != "email" or not target:
             return False
-        self.sent.append((channel, target, body))
+        store, root = outbox._folder(self.folder)
+        store.create_dir(root)
+        outbox._put(store, f"{root}/{uuid.uuid4().hex}", json.dumps([channel, target, body]))
         return True
 
+    @property
+    def sent(self) -> list[tuple[str, str, str]]:
+        """What was kept, in no order: for tests and for looking at a small run."""
+        from pyarrow import fs
+
+        store, root = outbox._folder(self.folder)
+        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        return [tuple(json.loads(outbox._get(store, f.path))) for f in found if not f.base_name.startswith(".")]
+
 
 def deliver(signals: DataFrame, alerts: DataFrame, deliveries: DataFrame, now: Column, sink: Any, since_hours: int = LOOKBACK_HOURS, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Send what is new; returns the delivery rows with their outcome.
 
     ``keep`` stores the pending rows (a table) before anything is sent, so that no pair is
-    sent twice. Messages, one for each alert, stream to the driver, which is where a
-    webhook is called.
+    sent twice. Messages, one for each alert, go out from the executors (``outbox``).
     """
     fresh = new_matches(alert_matches(recent(signals, now, since_hours), alerts), deliveries)
     pending = keep(pending_deliveries(fresh))
@@ -144,9 +158,9 @@ def deliver(signals: DataFrame, alerts: DataFrame, deliveries: DataFrame, now: C
     to = sure.groupBy("alert_id").agg(F.first("channel").alias("channel"), F.first("channel_target").alias("target"))
     bodies = email_bodies(sure).withColumn("kind", F.lit("email")).unionByName(slack_texts(sure).withColumn("kind", F.lit("slack")))
     messages = to.join(bodies, "alert_id").where("kind = channel OR (kind = 'email' AND channel NOT IN ('email', 'slack'))")
-    went = [(row.alert_id, sink.send(row.channel, row.target, row.body)) for row in messages.toLocalIterator()]
-    told = alerts.sparkSession.createDataFrame(went, alerts.select(F.col("id").alias("alert_id")).schema.add("ok", "boolean"))
-    return pending.join(told, "alert_id", "left").withColumn("status", F.when(F.col("ok"), "sent").otherwise("failed")).withColumn("delivered_at", F.when(F.col("ok"), now)).drop("ok")
+    told = outbox.sent(messages.withColumn("message_id", F.col("alert_id").cast("string")), sink)
+    told = told.groupBy("message_id").agg(F.bool_or("ok").alias("ok"))
+    return pending.join(told, F.col("alert_id").cast("string") == F.col("message_id"), "left").drop("message_id").withColumn("status", F.when(F.col("ok"), "sent").otherwise("failed")).withColumn("delivered_at", F.when(F.col("ok"), now)).drop("ok")
 
 
 def fired(alerts: DataFrame, outcome: DataFrame, now: Column) -> DataFrame:

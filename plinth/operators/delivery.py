@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions import naming
+from plinth.operators import outbox
 from plinth.operators.digest import latest
 
 
@@ -42,13 +43,9 @@ def contact_messages(leads: DataFrame, recipients: DataFrame) -> DataFrame:
     return rows.crossJoin(to)  # the output is every enquiry for every recipient
 
 
-def sent(messages: DataFrame, sink: Any, body: str) -> DataFrame:
-    """recipients, sent, errors: one row, after the sink has taken all messages, which stream to the driver; a failed one stops none."""
-    n = ok = 0
-    for row in messages.select("email", F.col(body).alias("body")).toLocalIterator():
-        n += 1
-        try:
-            ok += bool(sink.send("email", row.email, row.body))
-        except Exception:  # noqa: BLE001  a sink may fail in any way; delivery goes on
-            continue
-    return messages.sparkSession.createDataFrame([(n, ok, n - ok)], "recipients long, sent long, errors long")
+def sent(messages: DataFrame, sink: Any, body: str, folder: str | None = None) -> DataFrame:
+    """recipients, sent, errors: one row, after the sink has taken all messages on the executors; a failed one stops none, equal rows go once."""
+    id_ = F.sha2(F.to_json(F.struct(*[c for c in messages.columns if c != body])), 256)
+    told = outbox.sent(messages.select(id_.alias("message_id"), F.lit("email").alias("channel"), F.col("email").alias("target"), F.col(body).alias("body")), sink, folder)
+    n, ok = F.count("*"), F.count_if("ok")
+    return told.agg(n.alias("recipients"), ok.alias("sent"), (n - ok).alias("errors"))

@@ -376,7 +376,7 @@ def permit_batch_repeats(spark, d):
         F.when(k % 3 == 0, F.col("o_totalprice")).alias("valuation_usd"), F.when(k % 11 != 0, F.col("o_orderstatus")).alias("status"), *[_none().alias(c) for c in text], *[_none("double").alias(c) for c in ("lat", "lon")], *[_none("date").alias(c) for c in ("filed_date", "issued_date")], k.alias("position"),
     )
     old = spark.range(0, 600, 3).select(F.lit("Fairfax").alias("locality"), F.col("id").cast("string").alias("permit_number"), F.lit("filed").alias("status"), permits.permit_id(F.lit("Fairfax"), F.col("id")).alias("id"), _none().alias("firm_id"))
-    firms = _ladder(spark)[1]
+    firms = _ladder(spark, d)[1]
     got = permits.ingest_permits(records, old, firms, _keys(spark, "canonical_alias"), _keys(spark), _keys(spark, "canonical_mention"), _now())
     return got.permits.select("permit_number", "permit_type", "address", "valuation_usd", "status", F.col("__change").alias("change"))
 
@@ -388,7 +388,7 @@ def permit_batch_signals(spark, d):
     text = ("permit_type", "address", "status", "description", "applicant_name_raw", "mention_field", "parcel_id", "source_url", "raw")
     records = table(spark, d, "orders").select(F.lit("Fairfax").alias("locality"), (k % 400).cast("string").alias("permit_number"), F.floor(F.col("o_totalprice") * 5).cast("double").alias("valuation_usd"), *[_none().alias(c) for c in text], *[_none("double").alias(c) for c in ("lat", "lon")], *[_none("date").alias(c) for c in ("filed_date", "issued_date")], k.alias("position"))
     old = spark.createDataFrame([], "locality string, permit_number string, status string, id string, firm_id string")
-    got = permits.ingest_permits(records, old, _ladder(spark)[1], _keys(spark, "canonical_alias"), _keys(spark), _keys(spark, "canonical_mention"), _now())
+    got = permits.ingest_permits(records, old, _ladder(spark, d)[1], _keys(spark, "canonical_alias"), _keys(spark), _keys(spark, "canonical_mention"), _now())
     return got.signals.select("dedupe_key", F.get_json_object("payload", "$.valuation_usd").cast("double").cast("long").alias("value"))
 
 

@@ -436,3 +436,46 @@ def test_sketches_merge(spark):
     assert {k: r.n for k, r in got.items()} == {0: 10_000, 1: 10_000, 2: 10_000} and got[2].median is None
     for g in (0, 1):
         assert abs(got[g].n_distinct - 5000) < 0.05 * 5000 and abs(got[g].median - 15_000) < 0.04 * 30_000 and got[g].top > 28_500
+
+
+def test_outbox_sends_each_message_once(spark, tmp_path):
+    """Run again after its task died, a job resends nothing; what was claimed without an outcome counts as failed."""
+    from pathlib import Path
+
+    from plinth.operators import outbox
+
+    # Made here, so that it is pickled by value.
+    class Died(BaseException):
+        """Not an error of a sink: the task's."""
+
+    class FailingOnce:
+        """Sends to a folder; the first attempt of a task dies after its third message has gone."""
+
+        def __init__(self, folder):
+            self.folder = folder
+
+        def send(self, channel, target, body):
+            import os
+            import uuid
+
+            if body == "refused":
+                raise ValueError(body)
+            with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as file:
+                file.write(target)
+            if target == "c" and not os.path.exists(f"{self.folder}-died"):
+                open(f"{self.folder}-died", "w").close()
+                raise Died
+            return True
+
+    folder, box = tmp_path / "sent", (tmp_path / "box").as_uri()
+    folder.mkdir()
+    rows_ = [(x, "email", x, "refused" if x == "b" else "hello") for x in "abcde"] + [(None, "email", "x", "no id")]
+    m = spark.createDataFrame(rows_, "message_id string, channel string, target string, body string").coalesce(1)
+    sink = FailingOnce(str(folder))
+    with pytest.raises(Exception):  # noqa: B017, PT011  local mode doesn't try a task again
+        outbox.sent(m, sink, box).collect()
+    got = rows(outbox.sent(m, sink, box), "message_id", "ok")
+    assert got == [("a", True), ("b", False), ("c", False), ("d", True), ("e", True)]
+    assert sorted(Path(f).read_text() for f in folder.iterdir()) == ["a", "c", "d", "e"]
+    assert rows(outbox.sent(m, sink, box), "message_id", "ok") == got and len(list(folder.iterdir())) == 4
+    assert outbox.sent(m.where("false"), sink, None).count() == 0
