@@ -381,6 +381,23 @@ def permit_batch_repeats(spark, d):
     return got.permits.select("permit_number", "permit_type", "address", "valuation_usd", "status", F.col("__change").alias("change"))
 
 
+@_query(
+    """SELECT CAST(c_custkey AS VARCHAR) AS permit_number, CASE WHEN c_custkey % 8 IN (0, 1, 2, 4) THEN CAST(c_custkey AS VARCHAR) END AS firm_id, CASE c_custkey % 8 WHEN 0 THEN 'exact' WHEN 1 THEN 'alias' WHEN 2 THEN 'fuzzy' WHEN 4 THEN 'corroborated' END AS resolution_method FROM customer
+UNION ALL SELECT concat('again ', c_custkey), CAST(c_custkey AS VARCHAR), 'alias' FROM customer WHERE c_custkey % 8 = 4"""
+)
+def permit_attribution(spark, d):
+    """Applicants as mentions of firms: each rung, and what an address has settled once holds for the same name later in the feed."""
+    mentions, firms = _ladder(spark, d)
+    k = F.col("mention_id")
+    first = mentions.select(k.cast("string").alias("permit_number"), F.col("text").alias("applicant_name_raw"), "address", k.alias("position"))
+    again = mentions.where(k % 8 == 4).select(_cat("again ", k.cast("string")).alias("permit_number"), F.col("text").alias("applicant_name_raw"), _none().alias("address"), (k + 1_000_000_000_000).alias("position"))
+    text = ("permit_type", "status", "description", "mention_field", "parcel_id", "source_url", "raw")
+    records = first.unionByName(again).select("*", F.lit("Fairfax").alias("locality"), *[_none().alias(c) for c in text], *[_none("double").alias(c) for c in ("valuation_usd", "lat", "lon")], *[_none("date").alias(c) for c in ("filed_date", "issued_date")])
+    old = spark.createDataFrame([], "locality string, permit_number string, status string, id string, firm_id string")
+    got = permits.ingest_permits(records, old, firms, _keys(spark, "canonical_alias"), _keys(spark), _keys(spark, "canonical_mention"), _now())
+    return got.permits.select("permit_number", "firm_id", "resolution_method")
+
+
 @_query("SELECT concat('permit:Fairfax:', number) AS dedupe_key, CAST(arg_min(v, pos) AS BIGINT) AS value FROM (SELECT o_orderkey AS pos, o_orderkey % 400 AS number, floor(o_totalprice * 5) AS v FROM orders) WHERE v >= 1000000 GROUP BY number")
 def permit_batch_signals(spark, d):
     """Of a permit that a feed names many times, the first row that reaches the floor makes the signal."""
