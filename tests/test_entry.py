@@ -1,5 +1,7 @@
 """The registered queries against DuckDB on the smallest tables."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -67,3 +69,23 @@ def test_queries_meet_all_rows(spark, duck):
     assert len({r.page_count for r in scanned}) > 3 and {r.is_scanned for r in scanned} == {True, False}
     surges = {r.firm_id % 3 for r in catalogue.QUERIES["careers_surge_all"](spark, SF).collect()}
     assert surges == {0, 1, 2}
+
+
+def _like_sql(spark, duck_dir, name, tmp_path):
+    """A query's rows over the tables of a folder and those of its SQL."""
+    c = duckdb.connect()
+    for path in sorted(Path(duck_dir).glob("*.parquet")):
+        c.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}{'/*.parquet' if path.is_dir() else ''}')")
+    catalogue.QUERIES[name](spark, str(duck_dir)).write.parquet(f"{tmp_path}/out-{name}")
+    c.execute(f"CREATE TABLE want AS {catalogue.ORACLE[name]}")
+    names = ", ".join(f'"{r[0]}"' for r in c.sql("DESCRIBE want").fetchall())
+    return [sorted(map(repr, c.sql(f"SELECT {names} FROM {t}").fetchall())) for t in ("want", f"read_parquet('{tmp_path}/out-{name}/*.parquet')")]
+
+
+def test_headlines_with_references_cut_off(spark, tmp_path):
+    """A heading that ends within a reference, or has other references than the ampersand's, is what SQL makes of it."""
+    rows = [(1, "https://a.example.org/", "<h1>The&amp;&amp;&amp</h1>"), (2, "https://a.example.org/b", "<h1>x &quot;y&am</h1>"), (3, "https://a.example.org/c", "<h1>a &lt; b & c &amp;amp;</h1>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/in/pages.parquet")
+    spark.read.parquet(f"{SF}/part.parquet").limit(8).write.parquet(f"{tmp_path}/in/part.parquet")
+    want, got = _like_sql(spark, tmp_path / "in", "page_headlines", tmp_path)
+    assert len(got) == 11 and got == want
