@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from plinth.plans import catalogue, made, more, searches  # noqa: F401  these register their queries
@@ -89,3 +90,14 @@ def test_headlines_with_references_cut_off(spark, tmp_path):
     spark.read.parquet(f"{SF}/part.parquet").limit(8).write.parquet(f"{tmp_path}/in/part.parquet")
     want, got = _like_sql(spark, tmp_path / "in", "page_headlines", tmp_path)
     assert len(got) == 11 and got == want
+
+
+def test_orders_are_numbered_without_one_task_for_all(spark):
+    """Places by key over several runs of keys; no window is over all rows."""
+    rows = spark.range(0, 300_000, 7).withColumn("half", F.col("id") % 2).repartition(5)
+    got = made._numbered(rows, "id")
+    assert got.where(F.col("n") != F.col("id") / 7).count() == 0 and got.count() == rows.count()
+    largest = rows.groupBy((F.col("id") / made._RUN).cast("int")).count().agg(F.max("count")).first()[0]
+    assert largest < rows.count() / 4
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "row_number() windowspecdefinition(__run" in plan
