@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plinth.functions import fuzzy, naming
 from plinth.operators.upsert import first_rows, new_only
 from plinth.schemas import row_id
-from plinth.session import kept
+from plinth.session import kept, spread
 
 # Thresholds.
 AUTO_ACCEPT, REVIEW_FLOOR, BONUS, SORT_FLOOR, MOST_CANDIDATES, TIE = 92.0, 80.0, 12.0, 60.0, 25, 2.0
@@ -140,7 +140,10 @@ def resolve(mentions: DataFrame, firms: DataFrame, auto_accept: float = AUTO_ACC
     :func:`firm_records`. ``adjudicator`` maps (mention_id, text, candidates) to
     (mention_id, chosen_id, certainty, rationale) for mentions that scores leave open.
     """
-    keyed = mentions.withColumn("canonical", naming.canonicalize(F.coalesce("text", F.lit(""))))
+    # Both are read several times and a small file of them is one task, so they are dealt and stored, with their keys, once.
+    mentions = spread(mentions.select("mention_id", "text", "address", "phone", "parcel_id"), "mention_id")
+    keyed = kept(mentions.withColumn("canonical", naming.canonicalize(F.coalesce("text", F.lit("")))), "mentions")
+    firms = kept(spread(firms.select("id", "name", "canonical_name", "aliases", "address", "phone", "parcel_ids"), "id"), "firms")
     rungs = exact_and_alias(keyed, firms)
     open_ = rungs.where("canonical <> '' AND exact_id IS NULL AND alias_id IS NULL")
     told = rungs.join(scored_candidates(open_, firms, floor), "mention_id", "left")

@@ -248,3 +248,17 @@ def test_pairs_that_bounds_rule_out_are_not_made(spark):
     f = spark.createDataFrame([("same", x), ("late", y), ("long", x + [f"z{i}z" for i in range(9)])], "canonical_name string, __y array<string>")
     got = R.gram_pairs(m, f).collect()
     assert [(r.canonical_name, r.similarity) for r in got] == [("same", 1.0)]
+
+
+def test_a_small_file_of_mentions_is_many_tasks_work(spark, monkeypatch):
+    """Mentions and firms are dealt by number and stored before their keys are compared; no later step goes back to the file."""
+    stored = {}
+    real = R.kept
+    monkeypatch.setattr(R, "kept", lambda df, name: stored.setdefault(name, df) and real(df, name))
+    m = spark.createDataFrame([(1, "Acme LLC", None, None, None), (2, "Else", None, None, None)], "mention_id long, text string, address string, phone string, parcel_id string").coalesce(1)
+    f = spark.createDataFrame([("7", "Acme", "acme", [], None, None, [])], "id string, name string, canonical_name string, aliases array<string>, address string, phone string, parcel_ids array<string>").coalesce(1)
+    out = R.resolve(m, f)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert all("REPARTITION_BY_NUM" in plan(stored[name]) for name in ("mentions", "firms"))
+    assert "ExistingRDD" not in plan(out) and "LocalTableScan" not in plan(out)
+    assert {r.mention_id: r.firm_id for r in out.collect()} == {1: "7", 2: None}
