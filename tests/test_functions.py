@@ -172,3 +172,20 @@ def test_keys(value):
     a = value(dates.window_key(F.lit("hiring_surge"), F.lit("f"), F.lit("2026-01-01")))
     assert len(a) == 40 and a != value(dates.window_key(F.lit("other"), F.lit("f"), F.lit("2026-01-01")))
     assert value(dates.quarter_key(F.lit("2026-05-01").cast("timestamp"))) == "2026:Q2"
+
+
+def test_embedder_holds_batches_small(spark):
+    """Batches have few bytes, and a model may give doubles."""
+    import numpy as np
+
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64MB")
+        embed = vectors.embedder(lambda texts: np.array([[len(t), 0.5] for t in texts], np.float64))
+        assert spark.conf.get(key) == f"{4 << 20}b"
+        rows = spark.createDataFrame([("abc",), (None,), ("",)], "t string").coalesce(1).select(embed("t").alias("v")).collect()
+        assert [r.v for r in rows] == [[3.0, 0.5], None, [0.0, 0.5]]
+    finally:
+        spark.conf.set(key, before)
