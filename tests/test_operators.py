@@ -247,6 +247,15 @@ def test_expansion(spark):
     assert rows(trends.geographic_expansions(p, firms, AS_OF), "locality") == [("Later",), ("New",)]
 
 
+def test_expansion_deals_permits_over_a_given_number_of_tasks(spark):
+    firms = spark.createDataFrame([("f", "Firm", None, True), ("g", "Gone", None, False)], "id string, name string, county string, is_active boolean")
+    p = spark.createDataFrame([("f", "New", date(2026, 3, 1)), ("g", "New", date(2026, 3, 1)), (None, "New", date(2026, 3, 1))], "firm_id string, locality string, filed_date date")
+    got = trends.geographic_expansions(p, firms, AS_OF)
+    assert rows(got, "firm_id", "locality") == [("f", "New")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Join") < plan.index("Aggregate") < plan.index("RepartitionByExpression [firm_id")  # firms meet what is left of the groups
+
+
 def test_run_trend_detection_twice(spark):
     firms = spark.createDataFrame([("f", "Firm", "Reston", True)], "id string, name string, county string, is_active boolean")
     jobs = spark.createDataFrame([], "firm_id string, first_seen_at timestamp, closed_at timestamp")
