@@ -111,11 +111,22 @@ def _first_ids(firms: DataFrame, most: int) -> DataFrame:
     return f.select("canonical_name", "firm_id")
 
 
+def best_firms(scored: DataFrame, firms: DataFrame, most: int) -> DataFrame:
+    """canonical, canonical_name, score, firm_id: of each key of ``scored`` (canonical, canonical_name, score) the ``most`` firms with the best scores, then the smallest ids.
+
+    A name that as many others come before, by score and their firms' smallest ids, has
+    none of these firms, so only the ``most`` first names of a key are met with all their firms.
+    """
+    ids = _first_ids(firms, most)
+    named = scored.join(ids.groupBy("canonical_name").agg(F.min("firm_id").alias("firm_id")), "canonical_name")
+    best = Window.partitionBy("canonical").orderBy(F.desc("score"), "firm_id")
+    first = lambda df: df.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= most).drop("__n")
+    return first(first(named).drop("firm_id").join(ids, "canonical_name"))
+
+
 def scored_candidates(mentions: DataFrame, firms: DataFrame, floor: float = REVIEW_FLOOR) -> DataFrame:
     """mention_id and candidates (by effective score, then id) of mentions (mention_id, canonical, text, address, phone, parcel_id)."""
-    named = scored_pairs(met_pairs(mentions, firms), floor).join(_first_ids(firms, MOST_CANDIDATES), "canonical_name")
-    best = Window.partitionBy("canonical").orderBy(F.desc("score"), "firm_id")
-    named = named.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= MOST_CANDIDATES)
+    named = best_firms(scored_pairs(met_pairs(mentions, firms), floor), firms, MOST_CANDIDATES)
     named = named.where(fuzzy.token_sort_column(F.col("canonical"), F.col("canonical_name")) >= SORT_FLOOR).select("canonical", "firm_id", "score")
     told = firms.select(F.col("id").alias("firm_id"), "name", F.col("address").alias("firm_address"), F.col("phone").alias("firm_phone"), "parcel_ids")
     pairs = mentions.select("mention_id", "canonical", "address", "phone", "parcel_id").join(named.join(told, "firm_id"), "canonical")
@@ -127,7 +138,8 @@ def scored_candidates(mentions: DataFrame, firms: DataFrame, floor: float = REVI
         )
     )
     effective = F.least(F.lit(100.0), F.col("score") + F.when(F.size("corroboration") > 0, BONUS).otherwise(0.0))
-    pairs = pairs.withColumn("corroboration", evidence).withColumn("effective", effective)
+    # A mention's candidates hold much that compresses well, so their tasks are told apart by number and not merged by their sizes.
+    pairs = spread(pairs, "mention_id").withColumn("corroboration", evidence).withColumn("effective", effective)
     one = F.struct((-F.col("effective")).alias("order"), F.col("firm_id").cast("string").alias("firm_id"), "name", "score", "effective", (F.size("corroboration") > 0).alias("corroborated"), "corroboration")
     ranked = pairs.groupBy("mention_id").agg(F.sort_array(F.collect_list(one)).alias("c"))
     return ranked.select("mention_id", F.transform("c", lambda x: F.struct(*[x[k].alias(k) for k in ("firm_id", "name", "score", "effective", "corroborated", "corroboration")])).alias("candidates"))

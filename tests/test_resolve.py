@@ -262,3 +262,13 @@ def test_a_small_file_of_mentions_is_many_tasks_work(spark, monkeypatch):
     assert all("REPARTITION_BY_NUM" in plan(stored[name]) for name in ("mentions", "firms"))
     assert "ExistingRDD" not in plan(out) and "LocalTableScan" not in plan(out)
     assert {r.mention_id: r.firm_id for r in out.collect()} == {1: "7", 2: None}
+
+
+def test_only_the_first_names_of_a_key_meet_their_firms(spark):
+    # Forty names of three firms each, all with one score but one: every name's firms can't be among the best four.
+    firms = spark.range(120).select("id", F.concat(F.lit("n"), (F.col("id") % 40).cast("string")).alias("canonical_name"))
+    scored = spark.range(40).select(F.lit("m").alias("canonical"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("canonical_name"), F.when(F.col("id") == 39, 95.0).otherwise(90.0).alias("score"))
+    got = R.best_firms(scored, firms, 4)
+    assert sorted((-r.score, r.firm_id) for r in got.collect()) == [(-95.0, 39), (-95.0, 79), (-95.0, 119), (-90.0, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Join") < plan.rindex("Window", 0, plan.rindex("Join"))  # ranked, met with all firms, ranked
