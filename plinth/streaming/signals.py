@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -146,19 +146,29 @@ def alert_fan_out(signals: DataFrame, alerts: DataFrame, ledger: str, checkpoint
     return signals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: A group's state is written anew when it has this many rows more than twice its keys.
+_SLACK = 64
+
+
 class _Snapshots(StatefulProcessor):
-    """What a group's last snapshot had: a row of state for each key that was ever in one."""
+    """What a group's last snapshot had: a list of changes, of which the last of each key counts, for each key that was ever in one."""
 
     def init(self, handle) -> None:
-        self.held = handle.getMapState("held", "key string", "payload string, is_open boolean")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(rows), ignore_index=True)
-        held = {k[0]: v for k, v in self.held.iterator()}
-        out = []
-        for seen, shot in rows.groupby("seen", sort=True):
-            shot = shot.sort_values("place", kind="stable").drop_duplicates("key")
-            now = dict(zip(shot["key"], (None if pd.isna(p) else p for p in shot["payload"]), strict=True))
+        self.held = handle.getListState("held", "key string, payload string, is_open boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # The list is read and written in one call each, not one for each key.
+        known, held = 0, {}
+        for k, payload, is_open in self.held.get():
+            known, held[k] = known + 1, (payload, is_open)
+        shots: dict[int, dict[str, tuple]] = {}
+        for r in rows:  # of each snapshot and key the first by its place
+            shot, at = shots.setdefault(r.seen, {}), (r.place is None, r.place or 0)
+            if r.key not in shot or at < shot[r.key][0]:
+                shot[r.key] = (at, r.payload)
+        written = []
+        for seen in sorted(shots):
+            now = {k: payload for k, (_, payload) in sorted(shots[seen].items(), key=lambda e: e[1][0])}
             before = sum(is_open for _, is_open in held.values())
             changes = []
             for k, payload in now.items():
@@ -167,12 +177,14 @@ class _Snapshots(StatefulProcessor):
                 if change:
                     changes.append((k, change, payload, True))
             changes += [(k, "close", payload, False) for k, (payload, is_open) in held.items() if is_open and k not in now]
-            for k, _, payload, is_open in changes:  # only rows that change are written
+            for k, change, payload, is_open in changes:  # only rows that change are written
                 held[k] = (payload, is_open)
-                self.held.updateValue((k,), held[k])
-            out += [(key[0], seen, k, change, payload, before, len(now)) for k, change, payload, _ in changes]
-        if out:
-            yield pd.DataFrame(out, columns=["group", "seen", "key", "change", "payload", "open_before", "open_after"])
+                written.append((k, payload, is_open))
+                yield Row(group=key[0], seen=seen, key=k, change=change, payload=payload, open_before=before, open_after=len(now))
+        if known + len(written) > 2 * len(held) + _SLACK:
+            self.held.put([(k, payload, is_open) for k, (payload, is_open) in held.items()])
+        elif written:
+            self.held.appendList(written)
 
     def close(self) -> None:
         pass
@@ -185,12 +197,13 @@ def snapshot_changes(rows: DataFrame) -> DataFrame:
     group's page shows. Rows of one group and seen_at are a snapshot, of which the first
     of each key counts; a group without rows has none, so nothing of it is closed. A
     snapshot must not be cut by a batch; several in one batch are taken in order. State is
-    kept by row (group and key), and only rows that change are written.
+    a list of rows for each group, to which those that change are added; it is cut to a row for each key
+    when it has grown to over twice as many.
     """
     _row_state(rows)
     given = rows.select(F.col("group").cast("string").alias("group"), F.col("key").cast("string").alias("key"), F.col("place").cast("long").alias("place"), F.unix_micros("seen_at").alias("seen"), F.col("payload").cast("string").alias("payload"))
     kind = "`group` string, seen long, key string, change string, payload string, open_before long, open_after long"
-    out = given.where("key IS NOT NULL").groupBy("group").transformWithStateInPandas(_Snapshots(), kind, "Append", "None")
+    out = given.where("key IS NOT NULL AND seen IS NOT NULL").groupBy("group").transformWithState(_Snapshots(), kind, "Append", "None")
     return out.select("group", F.timestamp_micros("seen").alias("seen_at"), "key", "change", "payload", "open_before", "open_after")
 
 

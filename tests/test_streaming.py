@@ -88,3 +88,20 @@ def test_tumbling_has_no_undated_rows(spark, tmp_path):
     stream = spark.readStream.schema("firm_id int, occurred_at timestamp, score double").parquet(f"{tmp_path}/in")
     got = S.finished(spark, S.tumbling(stream), S.to_snapshot).collect()
     assert [r.n for r in got] == [1]
+
+
+def test_snapshot_state_is_read_and_written_in_one_call_each():
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    calls, stored = [], []
+    held = SimpleNamespace(get=lambda: calls.append("get") or iter(list(stored)), appendList=lambda new: calls.append("append") or stored.extend(new), put=lambda new: calls.append("put") or stored.__setitem__(slice(None), new))
+    processor = S._Snapshots()
+    processor.init(SimpleNamespace(getListState=lambda name, schema: held))
+    for n in range(9):  # every other snapshot lacks half of the keys
+        rows = (Row(key=f"k{k}", place=k, seen=n, payload="p") for k in range(500) if n % 2 == 0 or k % 2)
+        got = list(processor.handleInputRows(("g",), rows, None))
+        assert [r.change for r in got] == (["open"] * 500 if n == 0 else ["close"] * 250 if n % 2 else ["reopen"] * 250)
+        assert calls.count("get") == n + 1 and len(calls) == 2 * (n + 1) and len(stored) <= 2 * 500 + S._SLACK
+    assert "put" in calls
