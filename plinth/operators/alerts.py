@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plinth.functions.text import day_label
 from plinth.operators import outbox
 from plinth.schemas import row_id
-from plinth.session import shared_dir
+from plinth.session import kept, shared_dir, spread
 
 # Hours looked back, signals named in a message, where webhooks may go.
 LOOKBACK_HOURS, EMAIL_ROWS, SLACK_ROWS, WEBHOOK = 25, 10, 5, "https://hooks.slack.com/"
@@ -67,16 +67,18 @@ def alert_matches(signals: DataFrame, alerts: DataFrame) -> DataFrame:
     doesn't meet signals of a common type in other places; its score is a condition of the
     join. A signal has a key for each set of facets that alerts have, 16 at most. Keys
     have SALTS salts too, so that one that many signals share is spread over tasks; a row
-    of an alert is sent once for each salt.
+    of an alert is sent once for each salt. Signals are dealt by their ids before they get
+    their keys: a join with few alerts reads what each task made of its part of the table,
+    and recent signals may be in one part of it.
     """
     a = alert_keys(alerts.where("is_active").select(F.col("id").alias("alert_id"), F.col("name").alias("alert_name"), "channel", "channel_target", "filters"))
-    s = signals.select(F.col("id").alias("signal_id"), "firm_id", "signal_type", "title", "score", "locality", "asset_class", "occurred_at")
+    s = spread(signals.select(F.col("id").alias("signal_id"), "firm_id", "signal_type", "title", "score", "locality", "asset_class", "occurred_at"), "signal_id")
     values = (F.col("firm_id").cast("string"), F.col("locality"), F.col("signal_type"), F.col("asset_class"))
     masks = sorted(r[0] for r in a.select("__mask").distinct().collect())  # 16 at most
     key = lambda mask: F.concat(F.lit(str(mask)), *[x for i, v in enumerate(values) if mask >> i & 1 for x in (F.lit("\x1f"), v)])
     keyed = s.withColumns({"__key": F.explode(F.array_compact(F.array(*map(key, masks or [0])))), "__salt": F.pmod(F.xxhash64("signal_id"), F.lit(SALTS)).cast("int")})
-    spread = a.drop("__mask").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"__key": "__k", "__salt": "__s"})
-    met = spread.join(keyed, (F.col("__k") == F.col("__key")) & (F.col("__s") == F.col("__salt")) & matches())
+    each = a.drop("__mask").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"__key": "__k", "__salt": "__s"})
+    met = each.join(keyed, (F.col("__k") == F.col("__key")) & (F.col("__s") == F.col("__salt")) & matches())
     return met.drop("__key", "__k", "__salt", "__s", "filters")
 
 
@@ -85,8 +87,8 @@ def recent(signals: DataFrame, now: Column, hours: int = LOOKBACK_HOURS) -> Data
 
 
 def new_matches(matched: DataFrame, deliveries: DataFrame) -> DataFrame:
-    """Pairs without a delivery row, whatever its status: a failed one isn't tried again."""
-    return matched.join(deliveries.select("alert_id", "signal_id"), ["alert_id", "signal_id"], "left_anti")
+    """Pairs without a delivery row, whatever its status: a failed one isn't tried again. Deliveries grow without bound and are never broadcast."""
+    return matched.join(deliveries.select("alert_id", "signal_id").hint("merge"), ["alert_id", "signal_id"], "left_anti")
 
 
 def pending_deliveries(fresh: DataFrame) -> DataFrame:
@@ -150,9 +152,10 @@ def deliver(signals: DataFrame, alerts: DataFrame, deliveries: DataFrame, now: C
     """Send what is new; returns the delivery rows with their outcome.
 
     ``keep`` stores the pending rows (a table) before anything is sent, so that no pair is
-    sent twice. Messages, one for each alert, go out from the executors (``outbox``).
+    sent twice. Messages, one for each alert, go out from the executors (``outbox``). New
+    pairs are stored, as bodies, counts and outcomes are all made of them.
     """
-    fresh = new_matches(alert_matches(recent(signals, now, since_hours), alerts), deliveries)
+    fresh = kept(new_matches(alert_matches(recent(signals, now, since_hours), alerts), deliveries), "new-matches")
     pending = keep(pending_deliveries(fresh))
     sure = fresh.join(pending.select("alert_id", "signal_id"), ["alert_id", "signal_id"], "left_semi")
     to = sure.groupBy("alert_id").agg(F.first("channel").alias("channel"), F.first("channel_target").alias("target"))

@@ -488,3 +488,22 @@ def test_outbox_sends_each_message_once(spark, tmp_path):
     assert sorted(Path(f).read_text() for f in folder.iterdir()) == ["a", "c", "d", "e"]
     assert rows(outbox.sent(m, sink, box), "message_id", "ok") == got and len(list(folder.iterdir())) == 4
     assert outbox.sent(m.where("false"), sink, None).count() == 0
+
+
+def test_signals_are_dealt_before_alerts_and_deliveries_are_not_broadcast(spark):
+    """Recent signals that lie in one part of the table meet alerts in many tasks; however small they seem, deliveries are no broadcast."""
+    s, a = spark.createDataFrame([signal(1)], SIGNALS), spark.createDataFrame([subscription(1)], FILTERS)
+    fresh = alerts.new_matches(alerts.alert_matches(s, a), spark.createDataFrame([(1, 1)], "alert_id long, signal_id long"))
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    assert "SortMergeJoin [alert_id" in plan and "BroadcastHashJoin [alert_id" not in plan
+
+
+def test_new_pairs_are_matched_once(spark, monkeypatch):
+    """What goes out and its outcomes are made of the stored pairs."""
+    stored, held = [], alerts.kept
+    monkeypatch.setattr(alerts, "kept", lambda df, name: stored.append(name) or held(df, name))
+    s, a = spark.createDataFrame([signal(1)], SIGNALS), spark.createDataFrame([subscription(1)], FILTERS)
+    got = alerts.deliver(s, a, spark.createDataFrame([], "alert_id long, signal_id long"), NOW, alerts.RecordingSink())
+    assert rows(got, "alert_id", "signal_id", "status") == [(1, 1, "sent")] and stored == ["new-matches"]
+    assert "filters" not in got._jdf.queryExecution().optimizedPlan().toString()
